@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.query,
+    "op7_decontaminate": decontaminate.query,
 }
 
 SQL = {
     "op5_quality_rules": quality_rules.SQL,
+    "op7_decontaminate": decontaminate.SQL,
 }
