@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import decontaminate, quality_rules, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.query,
     "op5_quality_rules": quality_rules.query,
     "op7_decontaminate": decontaminate.query,
 }
