@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, mixing, quality_rules, simhash
 
 QUERIES = {
     "op4_simhash": simhash.query,
     "op5_quality_rules": quality_rules.query,
     "op7_decontaminate": decontaminate.query,
+    "op9_mixing": mixing.query,
 }
 
 SQL = {
