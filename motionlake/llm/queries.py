@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, simhash
+from . import decontaminate, language, mixing, quality_cnn, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
+    "op3_quality_cnn": quality_cnn.query,
     "op4_simhash": simhash.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_language": language.query,
     "op7_decontaminate": decontaminate.query,
     "op9_mixing": mixing.query,
 }
