@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, quality_cnn, quality_rules, simhash, toxicity
+from . import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_language": language.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_html_text": html_text.query,
     "op9_mixing": mixing.query,
 }
 
