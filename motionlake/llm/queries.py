@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, simhash, toxicity
+from . import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, simhash, token_output, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_html_text": html_text.query,
     "op9_mixing": mixing.query,
+    "op10_token_output": token_output.query,
 }
 
 SQL = {
