@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, simhash, token_output, toxicity
+from . import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, simhash, suffix_dedup, token_output, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_toxicity": toxicity.query,
     "op3_quality_cnn": quality_cnn.query,
     "op4_simhash": simhash.query,
