@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_names
+from . import q_names, q_tables
 
-_ALL = {**q_names.QUERIES}
+_ALL = {**q_names.QUERIES, **q_tables.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
