@@ -267,7 +267,7 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.threshold_shares(_clip_frames(spark, sf_dir), "n_frames", [60, 65, 70, 90])
 
 
-SHARES = with_views(_CF + " SELECT t AS threshold, count_if(n_frames >= t) AS n, count_if(n_frames >= t) / count(*) AS share FROM cf, (SELECT unnest([60, 65, 70, 90]) AS t) GROUP BY t", "frames")
+SHARES = with_views(_CF + " SELECT t AS threshold, CAST(count_if(n_frames >= t) AS BIGINT) AS n, count_if(n_frames >= t) / count(*) AS share FROM cf, (SELECT unnest([60, 65, 70, 90]) AS t) GROUP BY t", "frames")
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +303,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COVERAGE = with_views(
-    """SELECT rig, count(*) AS n, count_if(l IN ('ForeArm', 'Spine')) AS n_odd, 1 - count_if(l IN ('ForeArm', 'Spine')) / count(*) AS clean_share
+    """SELECT rig, count(*) AS n, CAST(count_if(l IN ('ForeArm', 'Spine')) AS BIGINT) AS n_odd, 1 - count_if(l IN ('ForeArm', 'Spine')) / count(*) AS clean_share
     FROM (SELECT rig, regexp_replace(raw, '^(Left|Right)|_[0-9]+$', '', 'g') AS l FROM labels_raw) t GROUP BY GROUPING SETS ((rig), ())""",
     "labels_raw",
 )
