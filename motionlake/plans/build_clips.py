@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames as fr
+from ..sources.staging import staged
 from .views import load
 
 LENGTH, STRIDE, LEAST = 40, 30, 8
@@ -14,11 +15,11 @@ LENGTH, STRIDE, LEAST = 40, 30, 8
 def build_clips(positions: DataFrame, skip_clips: DataFrame, skip_rigs: DataFrame, keep: DataFrame, activity: float = 0.02, step: float = 0.2, ratio: float = 8.0) -> tuple[DataFrame, DataFrame]:
     """positions(clip, rig, frame, j, px, py, pz) to (frames of kept windows, rejects)."""
     chosen = fr.select_clips(positions, skip_clips, skip_rigs)
-    trimmed = fr.ground_clip(fr.trim_static_ends(chosen))
+    trimmed = staged(fr.ground_clip(fr.trim_static_ends(staged(chosen, "chosen"))), "trimmed")
     short = fr.min_frames_gate(trimmed, LEAST)
     sizes = trimmed.groupBy("clip").agg((F.max("frame") + 1).alias("n_frames")).join(short, "clip", "left_anti")
     windows = fr.clip_windows(sizes, LENGTH, STRIDE)
-    sliced = fr.slice_frames(trimmed, windows)
+    sliced = staged(fr.slice_frames(trimmed, windows), "windows")
     still = fr.low_activity_gate(fr.activity_metrics(sliced), keep, activity)
     jumps = fr.discontinuity_gate(fr.discontinuity_metrics(sliced), step, ratio)
     rejects = fr.reject_ledger({"frames": short, "activity": still, "discontinuity": jumps})
