@@ -67,7 +67,7 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """(copies of every document, documents of each length to take once more) for one source."""
+    """(copies of every document, further copies to take of each length) for one source."""
     total = int((lengths * counts).sum())
     if total == 0:
         return 0, np.zeros(len(lengths), np.int64)
@@ -85,10 +85,18 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np
         n = min(int(counts[k] - taken[k]), budget // int(lengths[k])) if lengths[k] else 0
         taken[k] += n
         budget -= n * int(lengths[k])
-    ok = np.flatnonzero((lengths > 0) & (lengths <= budget) & (counts > taken))
-    if budget <= KNAPSACK and len(ok):
-        more = knapsack(lengths[ok].tolist(), (counts - taken)[ok].tolist(), budget)
-        taken[ok] += np.array(more, np.int64)
+    if 0 < budget <= KNAPSACK:
+        # first what has been left out; copies beyond that, as far as the cap goes, only to come nearer
+        room = counts * (math.ceil(CAP) - whole) - taken
+        once = np.minimum(counts - taken, room)
+        for left in (once, room):
+            ok = np.flatnonzero((lengths > 0) & (lengths <= budget) & (left > 0))
+            again = ok[(room - once)[ok] > 0] if left is room else ok[:0]
+            which = np.concatenate((ok, again))
+            more = np.array(knapsack(lengths[which].tolist(), np.concatenate((once[ok], (room - once)[again])).tolist(), budget), np.int64) if len(which) else np.zeros(0, np.int64)
+            if left is room or int((lengths[which] * more).sum()) == budget:
+                np.add.at(taken, which, more)
+                break
     return whole, taken
 
 
@@ -112,8 +120,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with all their columns, plus one struct column _mix(size, source_size, target, copies)."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("_size"))
+    return mix_sizes(rows, seed).select("_row.*", "_mix")
+
+
+def mix_sizes(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """rows(_row, doc_id, source, _size): _row and _mix."""
     # a key that is never null, so that joins and windows deal rows out alike
-    sized = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("_size", F.size(words_of(F.col("text"))).cast("long"))
+    sized = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     sized = sized.withColumn("_draw", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_range", F.pmod(F.col("_draw"), F.lit(RANGES)))
     keys = staged(sized.groupBy("source", "_source", "_size", "_range").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     lengths = keys.groupBy("source", "_source", "_size").agg(F.sum("n").alias("n"))
@@ -123,7 +137,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     def plan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_size", ignore_index=True)
         whole, more = fit(rows["_size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), float(rows["target"].iloc[0]))
-        return rows[["_source", "_size", "source_size", "target"]].assign(whole=whole, more=more)
+        n = rows["n"].to_numpy(np.int64)
+        return rows[["_source", "_size", "source_size", "target"]].assign(whole=whole + more // n, more=more % n)
 
     plans = lengths.drop("source").join(targets, "_source").groupBy("_source").applyInPandas(plan, "_source string, _size long, source_size long, target double, whole long, more long")
     before = Window.partitionBy("_source", "_size").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +147,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     ranges = ranges.select("_source", "_size", "_range", "whole", "source_size", "target", "take")
     rank = F.row_number().over(Window.partitionBy("_source", "_size", "_range").orderBy("_draw", "doc_id"))
     out = sized.join(ranges.hint("merge"), ["_source", "_size", "_range"]).withColumn("_rank", rank)
-    copies = F.col("whole") + ((F.col("_rank") <= F.col("take")) & (F.col("_size") > 0)).cast("long")
-    return out.withColumn("_mix", F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))).select(*docs.columns, "_mix")
+    copies = F.when(F.col("_size") > 0, F.col("whole") + (F.col("_rank") <= F.col("take")).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out.withColumn("_mix", F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))).select("_row", "_mix")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -146,5 +161,6 @@ def _repeat(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.struct("doc_id").alias("_row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("_size"))
+    return mix_sizes(rows).select("_row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
