@@ -3,7 +3,7 @@
 A block is coded by itself: models start afresh, and its header has its length
 and the CRC-32 of its ids. For every id, contexts of order 2, 1 and 0 each
 predict one id; the share of right predictions so far, at each level of
-confidence, mixes them into one distribution of 2**22 parts: the order-2 guess
+confidence, mixes them into one distribution of 2**20 parts: the order-2 guess
 takes its share, order 1 its share of the rest, order 0 its share of what is
 left, and the remainder is even over all ids. A carry-propagating range coder
 with 32-bit words codes the id in that distribution.
@@ -22,7 +22,8 @@ import numpy as np
 MAGIC = b"CMR1"
 HEADER = struct.Struct("<4sII")
 SLOTS = 1 << 11
-TOTAL = 22
+TOTAL = 20
+ODDS = 11
 LEVELS = 4
 LANES = 2048
 LOW = np.uint32(0xFFFF)
@@ -34,7 +35,7 @@ class _Lanes:
 
     def __init__(self, k: int):
         self.cells = [np.zeros(k * SLOTS, np.uint32), np.zeros(k * SLOTS, np.uint32), np.zeros(k, np.uint32)]
-        self.right = [np.full(k * LEVELS, 1024, np.uint64) for _ in range(3)]
+        self.right = [np.full(k * LEVELS, 512, np.uint32) for _ in range(3)]
         self.base = np.arange(k, dtype=np.int64) * SLOTS
         self.row = np.arange(k, dtype=np.int64) * LEVELS
         self.last = np.zeros(k, np.int64)
@@ -54,21 +55,21 @@ class _Lanes:
         two += self.base[:n]
         self.at = (two, one, slice(0, n))
         self.cell = (self.cells[0].take(two), self.cells[1].take(one), self.cells[2][:n])
-        rest = np.full(n, (1 << TOTAL) - (1 << 16), np.uint64)
+        rest = np.full(n, (1 << TOTAL) - (1 << 16), np.uint32)
         self.guess, self.level, self.place, self.odds, self.share = [], [], [], [], []
         for right, cell in zip(self.right, self.cell, strict=True):
             level = cell >> SIXTEEN
             place = self.row[:n] + level
             odds = right.take(place)
             share = rest * odds
-            share >>= np.uint64(12)
+            share >>= np.uint32(ODDS)
             rest -= share
             for name, value in (("guess", cell & LOW), ("level", level), ("place", place), ("odds", odds), ("share", share)):
                 getattr(self, name).append(value)
-        rest >>= np.uint64(16)
-        rest += np.uint64(1)
+        rest >>= SIXTEEN
+        rest += np.uint32(1)
         self.even = rest
-        two_from = rest << np.uint64(16)
+        two_from = rest << SIXTEEN
         one_from = two_from + self.share[2]
         self.start = (one_from + self.share[1], one_from, two_from)
 
@@ -76,10 +77,12 @@ class _Lanes:
         """Learn the ids (uint32) of the first n lanes; hits: where each order's guess is right."""
         for k in range(3):
             hit, odds, level = hits[k], self.odds[k], self.level[k]
-            # towards 4064 after a right guess, towards 32 after a wrong one
-            goal = hit * np.uint64(4032)
-            goal += np.uint64(32)
-            self.right[k][self.place[k]] = odds - (odds >> np.uint64(5)) + (goal >> np.uint64(5))
+            # towards 2016 after a right guess, towards 32 after a wrong one
+            now = hit * np.uint32(62)
+            now += odds
+            now -= odds >> np.uint32(5)
+            now += np.uint32(1)
+            self.right[k][self.place[k]] = now
             keep = hit | (level > 0)
             up = np.minimum(level + hit, np.uint32(LEVELS - 1))
             up -= (~hit & keep)
@@ -127,13 +130,13 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             np.copyto(start, models.start[order_], where=hits[order_])
             np.copyto(part, models.share[order_], where=hits[order_])
         unit = width[:n] >> np.uint64(TOTAL)
-        now = low[:n] + start * unit
+        now = low[:n] + start.astype(np.uint64) * unit
         over = now < low[:n]
         if over.any():
             for lane in np.flatnonzero(over).tolist():
                 _carry(words[lane], int(used[lane]))
         low[:n] = now
-        width[:n] = unit * part
+        width[:n] = unit * part.astype(np.uint64)
         out = np.flatnonzero(width[:n] < np.uint64(1 << 32))
         words[out, used[out]] = low[out] >> np.uint64(32)
         used[out] += 1
@@ -176,17 +179,16 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
         n = int(active[t])
         models.predict(n)
         unit = width[:n] >> np.uint64(TOTAL)
-        v = np.minimum(code[:n] // unit, top)
-        x = np.minimum(v // models.even, np.uint64(0xFFFF))
+        v = np.minimum(code[:n] // unit, top).astype(np.uint32)
+        x = np.minimum(v // models.even, LOW)
         start, part = x * models.even, models.even.copy()
-        x = x.astype(np.uint32)
         for order_ in (2, 1, 0):
             above = v >= models.start[order_]
             np.copyto(x, models.guess[order_], where=above)
             np.copyto(start, models.start[order_], where=above)
             np.copyto(part, models.share[order_], where=above)
-        code[:n] -= start * unit
-        width[:n] = unit * part
+        code[:n] -= start.astype(np.uint64) * unit
+        width[:n] = unit * part.astype(np.uint64)
         more = np.flatnonzero(width[:n] < np.uint64(1 << 32))
         code[more] = code[more] << np.uint64(32) | words[more, np.minimum(used[more], longest - 1)]
         used[more] += 1

@@ -35,7 +35,7 @@ BLOCK = 4096
 RECORD = 1 << 16
 AT_ONCE = BLOCK * range_coder.LANES
 #: Words whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 700_000
 _HEAD = struct.Struct("<4sII")
 _MAGIC = b"TOKR"
 _workers: dict[str, tuple] = {}
@@ -58,6 +58,8 @@ class Words:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.known: dict[bytes, bytes] = {}
+        # a character that is one id, which nothing else gives
+        self.mark, self.mark_id = next((c, e[0]) for c in "♥★™€£" for e in [self.tokenizer.encode(c, add_special_tokens=False).ids] if len(e) == 1)
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -68,12 +70,21 @@ class Words:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
+        new = list(set().union(*split).difference(self.known))
         known = self.known
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+        mark = self.mark.encode()
+        alone = [w for w in new if mark in w]
+        together = [w for w in new if mark not in w] if alone else new
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u2").tobytes()
+        # many words as one text, parted by a sign that is an id of its own
+        some = [together[k : k + 2000] for k in range(0, len(together), 2000)]
+        for ws, e in zip(some, self.tokenizer.encode_batch_fast([(b" " + mark + b" ").join(ws).decode() for ws in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            for w, a, b in zip(ws, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True):
+                known[w] = raw[a:b]
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
         if len(known) > CACHE:
             for w in new:
