@@ -162,7 +162,7 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.plan_windows(t, 60, 20).select("timeline", "ord", "windows", fr.edit_window_count(F.col("end") - F.col("start"), 60, 40).alias("edit_windows"))
 
 
-PLANNED = _T + """ SELECT timeline, ord, CAST(greatest(1, 1 + round_even(("end" - start - CASE WHEN ord = 1 THEN 60 ELSE 40 END) / 40, 0)) AS INT) AS windows, CAST(1 + greatest(0, ceil(("end" - start - 60) / 40)) AS INT) AS edit_windows FROM t"""
+PLANNED = _T + """ SELECT timeline, CAST(ord AS INT) AS ord, CAST(greatest(1, 1 + round_even(("end" - start - CASE WHEN ord = 1 THEN 60 ELSE 40 END) / 40, 0)) AS INT) AS windows, CAST(1 + greatest(0, ceil(("end" - start - 60) / 40)) AS INT) AS edit_windows FROM t"""
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

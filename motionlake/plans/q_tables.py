@@ -200,7 +200,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MANIFESTS = """WITH o AS (SELECT p_partkey AS sample, p_partkey % (SELECT count(*) FROM supplier) + 1 AS asset FROM part),
-k AS (SELECT sample, asset, 'new' AS made FROM o WHERE sample % 5 = 0 UNION ALL SELECT sample, asset, 'old' FROM o WHERE sample % 5 <> 0 AND asset % 4 <> 0)
+k AS (SELECT sample, asset, 'new' AS made FROM o WHERE sample % 5 = 0 UNION ALL SELECT sample, asset, 'old' FROM o WHERE sample % 5 <> 0 AND (asset % 4 <> 0 OR asset NOT IN (SELECT s_suppkey FROM supplier)))
 SELECT sample, asset, made, s_nationkey + CASE WHEN asset % 4 = 0 THEN 1 ELSE 0 END AS topology FROM k LEFT JOIN supplier ON s_suppkey = asset"""
 
 
