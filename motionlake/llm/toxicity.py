@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 from .subwords import BUCKETS, Batch, labelled_sample, map_texts
 
-SAMPLE = 2500
+SAMPLE = 1200
 SEED = 11
 WINDOW = 8
 DIMENSION = 8
@@ -103,9 +103,9 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Mode
     vocabulary: dict[bytes, int] = {}
     tokens = np.array([vocabulary.setdefault(raw[a:b], len(vocabulary)) for a, b in zip(batch.words.tolist(), ends.tolist(), strict=True)], np.int64)
     words = Batch([w.decode("utf-8", "surrogatepass") for w in vocabulary])
-    word_of = np.zeros(len(words.buf), np.int64)
+    word_of = np.zeros(len(words.buf), np.int32)
     word_of[np.maximum(words.words - 1, 0)[1:]] = 1
-    word_of = np.cumsum(word_of)
+    word_of = np.cumsum(word_of, dtype=np.int32)
     ids, owner = [], []
     for first, g in words.grams():
         ok = g < BUCKETS
@@ -121,7 +121,8 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Mode
     slot = np.full(BUCKETS, -1)
     slot[used] = np.arange(len(used))
     ok = slot[ids] >= 0
-    ids, owner = slot[ids[ok]], owner[ok]
+    ids, owner = slot[ids[ok]].astype(np.int32), owner[ok]
+    del words, word_of, pairs, raw, ok
     first, last, of = _windows(batch.of, batch.n)
     size = np.concatenate(([0.0], np.cumsum(count[tokens])))
     size = np.maximum(size[last] - size[first], 1.0)
