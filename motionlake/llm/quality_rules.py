@@ -86,10 +86,14 @@ def host_rates(failures: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def _judged(measured: DataFrame) -> DataFrame:
-    """Join host verdicts to rows with source and _rules; adds _rate, _kept. The hosts' side is an aggregate, so Spark sizes it and splits hot hosts."""
-    hosts = host_rates(measured.select(F.col("source").alias("host"), F.col("_rules.base_failed").alias("failed"))).select(
-        F.col("host").alias("_host"), F.col("rate").alias("_rate"), F.col("host_failed").alias("_host_failed")
-    )
+    """Join host verdicts to rows with source and _rules; adds _rate, _kept.
+
+    The hosts' table is written first, so that Spark knows its size: a small one
+    is broadcast without a shuffle of the rows, a large one is joined by sorting,
+    with hot hosts split.
+    """
+    rates = host_rates(measured.select(F.col("source").alias("host"), F.col("_rules.base_failed").alias("failed")))
+    hosts = staged(rates.select(F.col("host").alias("_host"), F.col("rate").alias("_rate"), F.col("host_failed").alias("_host_failed")), "hosts")
     out = measured.join(hosts, F.col("source") == F.col("_host"), "left")
     return out.withColumn("_kept", ~F.col("_rules.base_failed") & ~F.coalesce(F.col("_host_failed"), F.lit(False))).drop("_host", "_host_failed")
 
