@@ -15,10 +15,10 @@ dp AS (SELECT rig, j, max(d) AS depth FROM up GROUP BY rig, j)"""
 
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     (joints,) = load(spark, sf_dir, "joints")
-    return t.joint_depths(joints).join(t.edges(joints).groupBy("rig", F.col("a").alias("j")).agg(F.count(F.lit(1)).alias("degree")), ["rig", "j"], "left")
+    return t.joint_depths(joints).join(t.edges(joints).groupBy("rig", F.col("a").alias("j")).agg(F.count(F.lit(1)).alias("degree")), ["rig", "j"], "left").fillna(0, ["degree"])
 
 
-DEPTHS = with_views(_UP + ", e AS (SELECT rig, j, parent AS b FROM joints WHERE parent >= 0 UNION ALL SELECT rig, parent, j FROM joints WHERE parent >= 0) SELECT dp.rig, dp.j, depth, (SELECT nullif(count(*), 0) FROM e WHERE e.rig = dp.rig AND e.j = dp.j) AS degree FROM dp", "joints")
+DEPTHS = with_views(_UP + ", e AS (SELECT rig, j, parent AS b FROM joints WHERE parent >= 0 UNION ALL SELECT rig, parent, j FROM joints WHERE parent >= 0) SELECT dp.rig, dp.j, depth, (SELECT count(*) FROM e WHERE e.rig = dp.rig AND e.j = dp.j) AS degree FROM dp", "joints")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def connect(sf_dir):
@@ -15,10 +16,11 @@ def connect(sf_dir):
 
 
 def plain(v):
-    if v is None or isinstance(v, (float, np.floating)) and v != v:
+    if v is None or v is pd.NA or isinstance(v, (float, np.floating)) and v != v:
         return "None"
     if isinstance(v, (float, np.floating)):
-        return repr(round(float(v), 6) + 0.0)
+        # whole numbers beside nulls come as floats from one side and not from the other
+        return str(int(v)) if float(v).is_integer() else repr(round(float(v), 6))
     if isinstance(v, (list, tuple, np.ndarray)):
         return str([plain(x) for x in v])
     return str(bool(v)) if isinstance(v, (bool, np.bool_)) else str(v)
