@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motionlake.llm import decontaminate, mixing, quality_rules, simhash, token_output
+from motionlake.llm import decontaminate, mixing, quality_rules, shingle_join, token_output
 from motionlake.llm.common import staged, table
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, three differing bits."""
-    return simhash.deduplicate(docs, width=5)
+    """One document of each group of near-duplicates: similarity of five-word shingles of 0.8 or more. Three of 64 SimHash bits don't reach that, so the pairs are found by an exact join."""
+    return shingle_join.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
