@@ -2,8 +2,10 @@
 
 All pairs at 0.8 or more are linked, none below. A text of n distinct shingles,
 in any one order of all shingles, has one of its first n - ceil(0.8 n) + 1 in
-common with the like of every text that similar, so pairs meet under those; the
-bytes of both texts' shingles then decide. The order puts shingles that a
+common with the like of every text that similar, so pairs meet under those. The
+parities of 512 bits of each text's shingles differ in no more places than the
+shingles do, which rules out most other pairs without their texts; the bytes of
+both texts' shingles then decide. The order puts shingles that a
 bounded sample finds common last, and goes by XXH64 otherwise: it decides how
 many pairs are compared, never which are linked.
 
@@ -37,6 +39,9 @@ SMALL = 16
 SAMPLE = 20_000
 COMMON = 50_000
 BLOCK = 1024
+#: Longs of parities, a power of two.
+MARKS = 8
+PREFIXES = "h long, node long, n int, pos int, marks array<long>"
 SEED = 42
 
 
@@ -56,16 +61,18 @@ def prefix_length(n: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, weights: np.ndarray, whole: bool = False) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (h, node, n, pos) for each shingle of the prefix, or for all; repeated nodes of a task only once."""
+    """(node, text) to (h, node, n, pos, marks) for each shingle of the prefix, or for all, the marks with the first only; repeated nodes of a task only once."""
     seen: set[int] = set()
     for batch in batches:
-        hs, nodes, sizes, places = [], [], [], []
+        hs, nodes, sizes, places, marks = [], [], [], [], []
         for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if node in seen:
                 continue
             seen.add(node)
             h = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.as_py())], np.uint64).view(np.int64))
             n = len(h)
+            odd = (np.bincount(h & (64 * MARKS - 1), minlength=64 * MARKS) & 1).astype(np.uint8)
+            marks.append(np.packbits(odd, bitorder="little").view("<i8"))
             if not whole:
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
@@ -76,7 +83,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, weights: np
             sizes.append(np.full(len(h), n, np.int32))
             places.append(np.arange(len(h), dtype=np.int32))
         if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, nodes, sizes, places)], names=["h", "node", "n", "pos"])
+            columns = [np.concatenate(x) for x in (hs, nodes, sizes, places)]
+            ends = np.concatenate(([0], np.cumsum(np.where(columns[3] == 0, MARKS, 0)))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(marks)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), listed], names=["h", "node", "n", "pos", "marks"])
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -154,6 +164,13 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.
         yield from pairs(left)
 
 
+def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Candidates (a, b) without those whose parities differ in too many places for a similarity of 0.8; marks(node, n, marks)."""
+    x, y = (marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}")) for k in "ab")
+    apart = " + ".join(f"bit_count(ma[{k}] ^ mb[{k}])" for k in range(MARKS))
+    return staged(pairs.join(x, "a").join(y, "b").where(f"9 * ({apart}) <= na + nb").select("a", "b"), "likely")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of candidates (a, b), those that are similar; texts(node, text) may repeat a node."""
 
@@ -178,7 +195,7 @@ def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     one_of = max(1, texts.count() // SAMPLE)
     none = np.zeros(0, np.int64)
     sample = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(one_of)) == 0)
-    counted = sample.mapInArrow(lambda b: _prefixes(b, none, none, True), "h long, node long, n int, pos int").groupBy("h").count()
+    counted = sample.mapInArrow(lambda b: _prefixes(b, none, none, True), PREFIXES).groupBy("h").count()
     rows = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
     return rows["h"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
@@ -188,22 +205,23 @@ def groups(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     common, weights = _order(docs)
     shared = docs.sparkSession.sparkContext.broadcast((common, weights))
-    rows = docs.mapInArrow(lambda b: _prefixes(b, *shared.value), "h long, node long, n int, pos int")
+    rows = docs.mapInArrow(lambda b: _prefixes(b, *shared.value), PREFIXES)
     rows = staged(rows, "prefixes")
+    marks = staged(rows.where("pos = 0").select("node", "n", "marks").dropDuplicates(["node"]), "marks")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pairs(rows: DataFrame, rest: bool) -> DataFrame:
         dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "n", "node")
         return dealt.mapInArrow(lambda b: _bucket_pairs(b, rest), "a long, b long").distinct()
 
-    found = staged(pairs(rows.withColumn("root", F.lit(0).cast("long")), False), "candidates")
-    links = _verified(found.where("b IS NOT NULL"), docs)
+    found = staged(pairs(rows.select("h", "node", "n", "pos", F.lit(0).cast("long").alias("root")), False), "candidates")
+    links = _verified(_likely(found.where("b IS NOT NULL"), marks), docs)
     roots = components(links)
     large = found.where("b IS NULL").select(F.col("a").alias("h"))
     if large.isEmpty():
         return roots
     left = rows.join(large, "h", "left_semi").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    more = _verified(staged(pairs(left, True), "candidates"), docs)
+    more = _verified(_likely(staged(pairs(left, True), "candidates"), marks), docs)
     return components(links.union(more))
 
 
