@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from motionlake.llm import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, range_coder, simhash, suffix_array, suffix_dedup, token_output, toxicity
@@ -76,8 +77,6 @@ def test_suffix_dedup(spark):
 
 def test_suffix_dedup_split_shards(monkeypatch):
     """Steps by hand, with shards so small that minimizers are split and merged by binary search."""
-    import pyarrow as pa
-
     monkeypatch.setattr(suffix_dedup, "SPLIT", 2)
     monkeypatch.setattr(suffix_dedup, "SHARD", 300)
     monkeypatch.setattr(suffix_dedup, "ROWS", 5)
@@ -427,15 +426,50 @@ def test_mixing_cases(spark, odd):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(1)
-    for blocks in ([], [np.zeros(0, np.uint16)], [rng.integers(0, 65536, n).astype(np.uint16) for n in (5, 0, 4096, 100)], [np.full(3000, 65535, np.uint16), np.zeros(3000, np.uint16)], [rng.integers(0, 3, 3000).astype(np.uint16)] * 3):
+    top = range_coder.MOST - 1
+    for blocks in ([], [np.zeros(0, np.uint16)], [rng.integers(0, top + 1, n).astype(np.uint16) for n in (5, 0, 4096, 100)], [np.full(3000, top, np.uint16), np.zeros(3000, np.uint16)], [rng.integers(0, 3, 3000).astype(np.uint16)] * 3):
         coded = range_coder.encode(blocks)
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, range_coder.decode(coded), strict=True))
     coded = range_coder.encode([rng.integers(0, 9, 500).astype(np.uint16)])
     with pytest.raises(ValueError):
         range_coder.decode([coded[0][:20] + bytes([coded[0][20] ^ 1]) + coded[0][21:]])
+    with pytest.raises(ValueError):
+        range_coder.encode([np.array([top + 1], np.uint16)])
     assert len(range_coder.encode([np.tile(np.arange(50, dtype=np.uint16), 80)])[0]) < 1500
 
 
+def test_token_files_are_below_order_0_entropy(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").toPandas()
+    ids, _ = token_output.Words(token_output.tokenizer_path()).ids(pa.array(docs["text"]))
+    listed = np.argsort(-np.bincount(ids), kind="stable")
+    place = np.empty(len(listed), np.uint16)
+    place[listed] = np.arange(len(listed))
+    places = place[ids]
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    coded = range_coder.encode([places[k : k + token_output.BLOCK] for k in range(0, len(places), token_output.BLOCK)])
+    assert 8 * sum(map(len, coded)) < -(share * np.log2(share)).sum() * len(ids)
+
+
+def test_words_have_the_ids_that_they_have_in_texts():
+    words = token_output.Words(token_output.tokenizer_path())
+    texts = ["Word, word. WORD!? it's don't x.y a0b 12,5 <|endoftext|>.A a<|endoftext|> ♥ a♥b é. e\u0301, İI. ß; ＡＢ. K. ..., ,a .", "naïve café—no “quotes”, ½ x² ﬁn. a.b.c ?! word..word word.) 'S 's. I'LL l'ecole's"]
+    for _ in range(2):
+        ids, ends = words.ids(pa.array([*texts, None, ""]))
+        for k, t in enumerate(texts):
+            assert ids[ends[k - 1] if k else 0 : ends[k]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ends[2] == ends[3] == len(ids)
+
+
+def test_token_records_notice_damage():
+    ids = np.arange(300, dtype=np.uint16) % 17
+    ((n, record),) = token_output.coded(np.array([4, 9]), np.array([False, True]), np.array([100, 300]), ids)
+    docs, null, lengths, listed, blocks = token_output.unpack(record)
+    assert n == 300 and docs.tolist() == [4, 9] and null.tolist() == [0, 1] and lengths.tolist() == [100, 200]
+    assert (listed[np.concatenate(range_coder.decode(blocks))] == ids).all()
+    with pytest.raises(ValueError):
+        token_output.unpack(record[:40] + bytes([record[40] ^ 1]) + record[41:])
+
+
 def test_token_output(spark, odd):
     from tokenizers import Tokenizer
 
