@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -348,14 +350,49 @@ def test_html_text():
     assert html_text.main_text("<p>Hello") == "Hello"
 
 
-def test_html_text_query(spark, sf_dir):
+def article_blocks(page):
     import html
 
+    inner = re.search(r"<article>(.*)</article>", page, re.DOTALL)[1]
+    parts = [" ".join(html.unescape(re.sub(r"</?[ab]\b[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return [x for x in parts if x]
+
+
+def test_html_text_query(spark, sf_dir):
     pages = {r.page_id: r.html for r in table(spark, sf_dir, "pages").collect()}
     for r in QUERIES["op8_html_text"](spark, sf_dir).collect():
-        inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.DOTALL)[1]
-        parts = [" ".join(html.unescape(re.sub(r"</?[ab]\b[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
-        assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+        assert r.text == "\n".join(article_blocks(pages[r.page_id])) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("around", ["layout has-sidebar", "post category-promo", "content ad-free"])
+def test_html_text_names_around_an_article(around, spark, sf_dir):
+    for r in table(spark, sf_dir, "pages").limit(20).collect():
+        page = r.html.replace("<article>", f'<div class="{around}"><article class="{around}">').replace("</article>", "</article></div>")
+        assert html_text.main_text(page).split("\n") == article_blocks(r.html)
+
+
+def test_html_text_without_an_article_goes_by_density(spark, sf_dir):
+    found = wanted = 0
+    for r in table(spark, sf_dir, "pages").collect():
+        want = Counter(article_blocks(r.html))
+        got = Counter(html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n"))
+        found, wanted = found + sum((got & want).values()), wanted + sum(want.values())
+        assert sum((got - want).values()) <= 2
+    assert found > 0.97 * wanted
+
+
+def test_html_text_drops_links_in_an_article_and_keeps_the_rest():
+    prose = "This is one of the long paragraphs of the article, and it has all of the words that are in use."
+    page = f"""<main><h2><a href="x">The title is a link</a></h2><p>{prose}</p><p><a href="m">Read more</a></p><ul><li><a href="1">One</a> <a href="2">Two</a> <a href="3">Three</a></ul>
+    <p>Short.</p><p>{prose} <math><mi>x</mi></math></p><article class="comment"><p>{prose} So says a reader.</p></article><div class="promo"><p>{prose} Buy it.</p></div></main><div><p>{prose} Elsewhere.</p></div>"""
+    assert html_text.main_text(page).split("\n") == ["The title is a link", prose, "Short.", prose + " x"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<!--", "<div>", "<b><p>", "<", "</p", "<script>"])
+def test_html_text_takes_time_in_proportion(part):
+    start = time.process_time()
+    html_text.main_text(part * (500_000 // len(part)))
+    assert time.process_time() - start < 10
 
 
 def test_html_text_cases(spark):
