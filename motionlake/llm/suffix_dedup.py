@@ -16,14 +16,20 @@ Strings never cross documents and are judged on the input.
    suffix array (Larsson-Sadakane) and Kasai's common prefixes show which
    windows are equal.
 3. A minimizer with more segments than a shard holds is split over several
-   shards. Their sorted windows are merged by binary search.
+   shards. Their sorted windows are merged by binary search, one range of the
+   windows' hashes after another.
 
 Texts are shuffled once, by doc_id; both joins use that exchange.
 
+Every row is judged by its own key (doc_id, and where ids repeat the XXH64 of
+the text, which also orders rows of one id), so ranges never meet another row.
+A text longer than PIECE is filed piece by piece, with overlaps of a window.
+
 Cases: null text is empty; documents under `width` bytes lose nothing; a null
-doc_id comes before all others; rows that share a doc_id are one document whose
-repeats are looked up by position, so equal rows don't remove each other; an
-empty table gives an empty table; other columns are ignored.
+doc_id comes before all others; of rows with one doc_id and different texts one
+comes first, and only the others lose what they share with it; equal rows with
+one doc_id are one document, so they don't remove each other; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +54,8 @@ ROWS = 200_000
 #: Segments of one minimizer in a shard, and bytes of text in a shard.
 SPLIT = 8192
 SHARD = 2 << 20
+#: Ranges of hashes in which a task merges windows; it holds one range at a time.
+RANGES = 4096
 NO_ID = -(1 << 63)
 
 
@@ -106,67 +114,76 @@ def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[
     return (m[new] >> np.uint64(24)).astype(np.int64), code, of, first - (ends - lengths)[of], count
 
 
-def _joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(doc: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges of windows, adjacent and overlapping ones made one."""
     if not len(doc):
-        return doc, start, n
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], (start + n)[order]
-    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+        return doc, row, start, n
+    order = np.lexsort((start, row, doc))
+    doc, row, start, stop = doc[order], row[order], start[order], (start + n)[order]
+    first = np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
     # running maximum of the ends within a document
     shift = (np.cumsum(first) - 1) * (int(stop.max()) + 1)
     reach = np.maximum.accumulate(stop + shift) - shift
     new = np.flatnonzero(first | np.concatenate(([True], start[1:] > reach[:-1])))
-    return doc[new], start[new], reach[np.concatenate((new[1:], [len(doc)])) - 1] - start[new]
+    return doc[new], row[new], start[new], reach[np.concatenate((new[1:], [len(doc)])) - 1] - start[new]
 
 
-SEGMENT = "key long, code long, doc long, start long, n long"
+SEGMENT = "key long, code long, doc long, row long, start long, n long"
 #: code of a row of removed windows, whose key only spreads it.
-_DONE = {"key": pa.int64(), "code": pa.int64(), "doc": pa.int64(), "start": pa.int64(), "n": pa.int64(), "kind": pa.int8()}
+_DONE = {"key": pa.int64(), "code": pa.int64(), "doc": pa.int64(), "row": pa.int64(), "start": pa.int64(), "n": pa.int64(), "kind": pa.int8()}
+
+
+def _batch(kind: int, key, code, *place) -> pa.RecordBatch:
+    """place: doc, row, start and n of each range of windows."""
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (key, code, *place, np.full(len(key), kind, np.int8))], names=list(_DONE))
 
 
-def _batch(kind: int, key, code, doc, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code), pa.array(doc), pa.array(start), pa.array(n), pa.array(np.full(len(doc), kind, np.int8))], names=list(_DONE))
+def _removed(*place) -> pa.RecordBatch:
+    doc, _, start, _ = place
+    return _batch(REMOVED, (doc * 0x9E3779B1 + start) & ((1 << 40) - 1), np.zeros(len(doc), np.int64), *place)
 
 
 REMOVED, SEGMENTS, HOT = 0, 1, 2
 
 
-def _collapse(key: np.ndarray, code: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The earliest of identical segments; the others' windows are removed."""
-    order = np.lexsort((start, doc, code, key))
-    key, code, doc, start, n = (v[order] for v in (key, code, doc, start, n))
+def _collapse(*rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """rows: key, code, doc, row, start, n. The earliest of identical segments; the others' windows are removed."""
+    order = np.lexsort((rows[4], rows[3], rows[2], rows[1], rows[0]))
+    key, code, doc, row, start, n = (v[order] for v in rows)
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (code[1:] != code[:-1])))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    first = (doc == doc[head]) & (start == start[head])
+    first = (doc == doc[head]) & (row == row[head]) & (start == start[head])
     if first.any():
-        yield _batch(SEGMENTS, key[new], code[new], doc[new], start[new], n[new])
-    d, s, m = _joined(doc[~first], start[~first], n[~first])
-    if len(d):
-        yield _batch(REMOVED, (d * 0x9E3779B1 + s) & ((1 << 40) - 1), np.zeros(len(d), np.int64), d, s, m)
+        yield _batch(SEGMENTS, key[new], code[new], doc[new], row[new], start[new], n[new])
+    lost = _joined(*(v[~first] for v in (doc, row, start, n)))
+    if len(lost[0]):
+        yield _removed(*lost)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    docs: list[int] = []
-    texts: list[bytes] = []
+    """Rows (doc, text, row) to the segments of each task, collapsed, and the windows removed by that."""
+    held: list[tuple[int, int, int, bytes]] = []  # doc, row, where the bytes begin in the text, bytes
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, code, of, start, n = segments(texts, width)
+        docs, rows, first, texts = zip(*held, strict=True)
+        key, code, of, start, n = segments(list(texts), width)
         if len(key):
-            yield from _collapse(key, code, np.array(docs, np.int64)[of], start, n)
+            yield from _collapse(key, code, np.array(docs, np.int64)[of], np.array(rows, np.int64)[of], np.array(first, np.int64)[of] + start, n)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text and len(text) >= width // 4:
-                raw = text.encode("utf-8", "surrogatepass")
-                if size and size + len(raw) > PIECE:
+        for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            # pieces that have each window of the text once
+            for at in range(0, len(raw) - width + 1, PIECE):
+                part = raw[at : at + PIECE + width - 1]
+                if size and size + len(part) > PIECE:
                     yield from flush()
-                    docs, texts, size = [], [], 0
-                docs.append(doc)
-                texts.append(raw)
-                size += len(raw)
-    yield from flush()
+                    held, size = [], 0
+                held.append((doc, row, at, part))
+                size += len(part)
+    if held:
+        yield from flush()
 
 
 def _buffered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -189,64 +206,60 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     that fills more than one shard is named in a HOT row. One row is held back
     from step to step, so a minimizer may have any number of rows.
     """
-    kept: tuple[int, ...] | None = None  # the last segment's key, code, doc, start, n, number under its key
+    kept: tuple[int, ...] | None = None  # the last segment's key, code, doc, row, start, n, number under its key
     told = False  # whether it has gone on
     for batch in _buffered(batches, ROWS):
-        key, code, doc, start, n, kind = (batch.column(k).to_numpy() for k in range(6))
+        key, code, doc, row, start, n, kind = (batch.column(k).to_numpy() for k in range(7))
         done = kind == REMOVED
         if done.any():
-            yield _batch(REMOVED, key[done], code[done], doc[done], start[done], n[done])
-        key, code, doc, start, n = (v[~done] for v in (key, code, doc, start, n))
+            yield _batch(REMOVED, *(v[done] for v in (key, code, doc, row, start, n)))
+        key, code, doc, row, start, n = (v[~done] for v in (key, code, doc, row, start, n))
         if not len(key):
             continue
         if kept is not None:
-            key, code, doc, start, n = (np.concatenate(([k], v)) for k, v in zip(kept, (key, code, doc, start, n), strict=False))
+            key, code, doc, row, start, n = (np.concatenate(([k], v)) for k, v in zip(kept, (key, code, doc, row, start, n), strict=False))
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new = new_key | np.concatenate(([True], code[1:] != code[:-1]))
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = ~new & ((doc != doc[head]) | (start != start[head]))
+        later = ~new & ((doc != doc[head]) | (row != row[head]) | (start != start[head]))
         if later.any():
-            d, s, m = _joined(doc[later], start[later], n[later])
-            yield _batch(REMOVED, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, s, m)
+            yield _removed(*_joined(*(v[later] for v in (doc, row, start, n))))
         at = np.flatnonzero(new)
         same = ~new_key[at]
         begins = np.flatnonzero(~same)[np.cumsum(~same) - 1]
         number = np.arange(len(at)) - begins
         if kept is not None:
-            number[begins == 0] += kept[5]
+            number[begins == 0] += kept[6]
         shared = same | np.concatenate((same[1:], [False]))
         if kept is not None:
             shared[0] = not told and len(same) > 1 and bool(same[1])
         last = at[-1]
-        kept, told = (int(key[last]), int(code[last]), int(doc[last]), int(start[last]), int(n[last]), int(number[-1])), bool(shared[-1]) or (len(at) == 1 and told)
+        kept = tuple(int(v[last]) for v in (key, code, doc, row, start, n)) + (int(number[-1]),)
+        told = bool(shared[-1]) or (len(at) == 1 and told)
         go = at[shared]
         if len(go):
-            yield _batch(SEGMENTS, key[go], number[shared] // SPLIT, doc[go], start[go], n[go])
+            yield _batch(SEGMENTS, key[go], number[shared] // SPLIT, doc[go], row[go], start[go], n[go])
             hot = go[number[shared] == SPLIT]
             if len(hot):
-                yield _batch(HOT, key[hot], np.zeros(len(hot), np.int64), doc[hot], start[hot], n[hot])
+                yield _batch(HOT, key[hot], np.zeros(len(hot), np.int64), doc[hot], row[hot], start[hot], n[hot])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, found array) to one row a segment with its bytes."""
+    """Rows (doc, row, text, found array) to one row a segment with its bytes."""
+    kinds = {"key": pa.int64(), "code": pa.int64(), "hot": pa.bool_(), "doc": pa.int64(), "row": pa.int64(), "start": pa.int64(), "bytes": pa.binary()}
     for batch in batches:
-        rows = []
-        for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            rows += [(f["key"], f["code"], f["hot"], doc, f["start"], raw[f["start"] : f["start"] + f["n"] + width - 1]) for f in found]
-        if rows:
-            key, code, hot, doc, start, text = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(code, pa.int64()), pa.array(hot, pa.bool_()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.binary())],
-                names=["key", "code", "hot", "doc", "start", "bytes"],
-            )
+        for doc, row, text, found in zip(*(batch.column(k) for k in range(4)), strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            rows = [(f["key"], f["code"], f["hot"], doc.as_py(), row.as_py(), f["start"], raw[f["start"] : f["start"] + f["n"] + width - 1]) for f in found.as_py()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-_WINDOWS = ["spread", "shard", "window", "doc", "start", "n"]
+_WINDOWS = {"spread": pa.int64(), "shard": pa.int64(), "window": pa.binary(), "doc": pa.int64(), "row": pa.int64(), "start": pa.int64(), "n": pa.int64()}
 
 
-def _windows(spread, of, window, doc, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(spread, pa.int64()), pa.array(of, pa.int64()), pa.array(window, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], names=_WINDOWS)
+def _windows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _WINDOWS.values(), strict=True)], names=list(_WINDOWS))
 
 
 def _in_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -255,7 +268,7 @@ def _in_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     size = 0
 
     def solve() -> Iterator[pa.RecordBatch]:
-        key, code, hot, doc, start, texts = zip(*held, strict=True)
+        _, code, hot, doc, row, start, texts = zip(*held, strict=True)
         symbols, starts, ends = shard(list(texts))
         sa = suffix_array(symbols, ends)
         lcp = common_prefixes(symbols, starts, ends, sa)
@@ -263,81 +276,101 @@ def _in_shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         group = np.cumsum(lcp < width)[whole]
         at = sa[whole]
         of = np.searchsorted(starts, at, side="right") - 1
-        d, s = np.array(doc, np.int64)[of], np.array(start, np.int64)[of] + at - starts[of]
-        order = np.lexsort((s, d, group))
-        group, at, of, d, s = (v[order] for v in (group, at, of, d, s))
+        d, r, s = np.array(doc, np.int64)[of], np.array(row, np.int64)[of], np.array(start, np.int64)[of] + at - starts[of]
+        order = np.lexsort((s, r, d, group))
+        group, at, of, d, r, s = (v[order] for v in (group, at, of, d, r, s))
         new = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.zeros(0, bool)
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (d != d[head]) | (s != s[head])
+        later = (d != d[head]) | (r != r[head]) | (s != s[head])
         if later.any():
-            p, q, m = _joined(d[later], s[later], np.ones(int(later.sum()), np.int64))
-            yield _windows(p * 31 + q, np.zeros(len(p), np.int64), [b""] * len(p), p, q, m)
+            p, o, q, m = _joined(d[later], r[later], s[later], np.ones(int(later.sum()), np.int64))
+            yield _windows(p * 31 + q, np.zeros(len(p), np.int64), [b""] * len(p), p, o, q, m)
         split = np.flatnonzero(new & np.array(hot, bool)[of])
         for k in range(0, len(split), 50_000):
             some = split[k : k + 50_000]
             found = [texts[o][a : a + width] for o, a in zip(of[some].tolist(), (at - starts[of])[some].tolist(), strict=True)]
             digest = np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64).view(np.int64)
-            yield _windows(digest, np.array(code, np.int64)[of[some]] + 1, found, d[some], s[some], np.ones(len(some), np.int64))
+            yield _windows(digest, np.array(code, np.int64)[of[some]] + 1, found, d[some], r[some], s[some], np.ones(len(some), np.int64))
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             if held and size >= SHARD and row[:2] != held[-1][:2]:
                 yield from solve()
                 held, size = [], 0
             held.append(row)
-            size += len(row[5])
+            size += len(row[6])
     if held:
         yield from solve()
 
 
+def _merged(of: np.ndarray, windows: np.ndarray, *place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of one range, by shard: each shard's sorted windows are looked up in those seen before, and the later of two equal ones is removed."""
+    seen, *first = windows[:0], *(v[:0] for v in place)
+    for one in np.unique(of).tolist():
+        own = np.flatnonzero(of == one)
+        own = own[np.argsort(windows[own], kind="stable")]
+        w, now = windows[own], [v[own] for v in place]
+        at = np.searchsorted(seen, w)
+        met = np.zeros(len(w), bool)
+        inside = at < len(seen)
+        met[inside] = seen[at[inside]] == w[inside]
+        old = at[met]
+        (d, r, s), (p, o, q) = ([v[old] for v in first], [v[met] for v in now])
+        earlier = (p < d) | (p == d) & ((o < r) | (o == r) & (q < s))
+        equal = (p == d) & (o == r) & (q == s)
+        lost = [np.where(earlier, x, y)[~equal] for x, y in zip((d, r, s), (p, o, q), strict=True)]
+        if len(lost[0]):
+            yield _ranges(*_joined(*lost, np.ones(len(lost[0]), np.int64)))
+        for v, x in zip(first, (p, o, q), strict=True):
+            v[old[earlier]] = x[earlier]
+        seen, *first = (np.insert(a, at[~met], b[~met]) for a, b in zip((seen, *first), (w, *now), strict=True))
+
+
 def _merge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, window): passes removed windows on (shard 0) and merges the shards' sorted windows by binary search; the later of two equal ones is removed."""
-    seen, doc, start = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows sorted by (range, shard): passes removed windows on (shard 0) and merges the shards' windows, holding one range's at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    last = None
     for batch in _buffered(batches, ROWS):
-        of, d, s, n = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
+        spread, of, doc, row, start, n = (batch.column(k).to_numpy() for k in (0, 1, 3, 4, 5, 6))
         done = of == 0
         if done.any():
-            yield _ranges(d[done], s[done], n[done])
+            yield _ranges(*(v[done] for v in (doc, row, start, n)))
         if done.all():
             continue
         windows = np.array(batch.column(2).filter(pa.array(~done)).to_pylist(), f"S{width}")
-        of, d, s = of[~done], d[~done], s[~done]
-        for one in np.unique(of).tolist():
-            w, p, q = windows[of == one], d[of == one], s[of == one]
-            order = np.argsort(w, kind="stable")
-            w, p, q = w[order], p[order], q[order]
-            at = np.searchsorted(seen, w)
-            met = np.zeros(len(w), bool)
-            inside = at < len(seen)
-            met[inside] = seen[at[inside]] == w[inside]
-            old = at[met]
-            earlier = (p[met] < doc[old]) | ((p[met] == doc[old]) & (q[met] < start[old]))
-            equal = (p[met] == doc[old]) & (q[met] == start[old])
-            lost_doc, lost_start = np.where(earlier, doc[old], p[met])[~equal], np.where(earlier, start[old], q[met])[~equal]
-            if len(lost_doc):
-                yield _ranges(*_joined(lost_doc, lost_start, np.ones(len(lost_doc), np.int64)))
-            doc[old[earlier]], start[old[earlier]] = p[met][earlier], q[met][earlier]
-            seen, doc, start = (np.insert(a, at[~met], b[~met]) for a, b in ((seen, w), (doc, p), (start, q)))
-
-
-def _ranges(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(n)], names=["doc", "start", "n"])
+        spread, *rest = (v[~done] for v in (spread, of, doc, row, start))
+        cuts = np.flatnonzero(np.concatenate(([True], spread[1:] != spread[:-1], [True])))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and spread[a] != last:
+                yield from _merged(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                held = []
+            last = spread[a]
+            held.append((rest[0][a:b], windows[a:b], *(v[a:b] for v in rest[1:])))
+    if held:
+        yield from _merged(*(np.concatenate(v) for v in zip(*held, strict=True)))
+
+
+def _ranges(*place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in place], names=["doc", "row", "start", "n"])
 
 
 def removed_ranges(dealt: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc, start, n: ranges of window starts that repeat, so bytes start to start + n + width - 1 go. dealt: docs(doc, text), partitioned by doc."""
+    """doc, row, start, n: ranges of window starts that repeat, so bytes start to start + n + width - 1 go. dealt: docs(doc, text, row), partitioned by doc."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(lambda b: _candidates(b, width), f"{SEGMENT}, kind byte").repartition(parts, "key").sortWithinPartitions("key", "code", "doc", "start")
+    rows = docs.mapInArrow(lambda b: _candidates(b, width), f"{SEGMENT}, kind byte").repartition(parts, "key").sortWithinPartitions("key", "code", "doc", "row", "start")
     marks = staged(rows.mapInArrow(_sift, f"{SEGMENT}, kind byte"), "repeats")
-    hot = marks.where(F.col("kind") == HOT).select(F.col("key").alias("_hot")).distinct()
+    # one row for SPLIT segments at least; written, so that Spark knows the size and broadcasts it only if small
+    hot = staged(marks.where(F.col("kind") == HOT).select(F.col("key").alias("_hot")).distinct(), "hot-minimizers")
     open_ = marks.where(F.col("kind") == SEGMENTS).drop("kind")
-    open_ = open_.join(hot, open_["key"] == hot["_hot"], "left").select("doc", F.struct("key", "code", F.col("_hot").isNotNull().alias("hot"), "start", "n").alias("f"))
-    found = open_.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("f").alias("found"))
-    texts = dealt.join(found, dealt["doc"] == found["_doc"]).select("doc", "text", "found").mapInArrow(lambda b: _cut(b, width), "key long, code long, hot boolean, doc long, start long, bytes binary")
-    shards = texts.repartition(parts, "key", "code").sortWithinPartitions("key", "code").mapInArrow(lambda b: _in_shards(b, width), "spread long, shard long, window binary, doc long, start long, n long")
-    merged = shards.repartition(parts, "spread").sortWithinPartitions("shard", "window").mapInArrow(lambda b: _merge(b, width), "doc long, start long, n long")
-    return marks.where(F.col("kind") == REMOVED).select("doc", "start", "n").unionByName(merged)
+    open_ = open_.join(hot, open_["key"] == hot["_hot"], "left").select("doc", "row", F.struct("key", "code", F.col("_hot").isNotNull().alias("hot"), "start", "n").alias("f"))
+    found = open_.groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_own")).agg(F.collect_list("f").alias("found"))
+    texts = dealt.join(found, (dealt["doc"] == found["_doc"]) & (dealt["row"] == found["_own"])).select("doc", "row", "text", "found")
+    cut = texts.mapInArrow(lambda b: _cut(b, width), "key long, code long, hot boolean, doc long, row long, start long, bytes binary")
+    shards = cut.repartition(parts, "key", "code").sortWithinPartitions("key", "code").mapInArrow(lambda b: _in_shards(b, width), "spread long, shard long, window binary, doc long, row long, start long, n long")
+    ranges = shards.withColumn("spread", F.pmod("spread", F.lit(RANGES * parts)))
+    merged = ranges.repartition(parts, "spread").sortWithinPartitions("spread", "shard").mapInArrow(lambda b: _merge(b, width), "doc long, row long, start long, n long")
+    return marks.where(F.col("kind") == REMOVED).select("doc", "row", "start", "n").unionByName(merged)
 
 
 def _apply(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -366,15 +399,25 @@ def _apply(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc (doc_id, or NO_ID), text, and row: 0, or the text's hash where several rows have that doc_id. Finding those reads the ids alone."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    again = staged(own.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_again")), "repeated-ids")
+    if again.isEmpty():
+        return own.withColumn("row", F.lit(0).cast("long"))
+    row = F.when(F.col("_again").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(again, own["doc"] == again["_again"], "left").select("doc", "text", row.alias("row"))
+
+
 def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed bytes, [first, last)) for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    dealt = own.repartition(parts, "doc")
-    ranges = removed_ranges(dealt, own, width).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    out = dealt.join(ranges, dealt["doc"] == ranges["_doc"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "found")
+    own = _keyed(docs)
+    dealt = own.repartition(parts, "doc", "row")
+    ranges = removed_ranges(dealt, own, width).groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_own")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    out = dealt.join(ranges, (dealt["doc"] == ranges["_doc"]) & (dealt["row"] == ranges["_own"]), "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "found")
     return out.mapInArrow(lambda b: _apply(b, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>")
 
 

@@ -91,16 +91,16 @@ def test_suffix_dedup_split_shards(monkeypatch):
         return [tuple(r.values()) for b in step(iter(batches)) for r in b.to_pylist()]
 
     long, flag, raw = pa.int64(), pa.bool_(), pa.binary()
-    rows = through(lambda b: suffix_dedup._candidates(b, 100), docs, {"doc": long, "text": pa.string()})
-    marks = through(suffix_dedup._sift, rows, suffix_dedup._DONE, order=range(4))
-    hot = {r[0] for r in marks if r[5] == suffix_dedup.HOT}
+    rows = through(lambda b: suffix_dedup._candidates(b, 100), [(d, t, 0) for d, t in docs], {"doc": long, "text": pa.string(), "row": long})
+    marks = through(suffix_dedup._sift, rows, suffix_dedup._DONE, order=range(5))
+    hot = {r[0] for r in marks if r[6] == suffix_dedup.HOT}
     assert hot
     texts = {d: (t or "").encode() for d, t in docs}
-    cut = [(k, c, k in hot, d, s, texts[d][s : s + n + 99]) for k, c, d, s, n, kind in marks if kind == suffix_dedup.SEGMENTS]
-    windows = through(lambda b: suffix_dedup._in_shards(b, 100), cut, {"key": long, "code": long, "hot": flag, "doc": long, "start": long, "bytes": raw}, order=(0, 1))
-    merged = through(lambda b: suffix_dedup._merge(b, 100), windows, dict(zip(suffix_dedup._WINDOWS, (long, long, raw, long, long, long), strict=True)), order=(1, 2))
+    cut = [(k, c, k in hot, d, 0, s, texts[d][s : s + n + 99]) for k, c, d, _, s, n, kind in marks if kind == suffix_dedup.SEGMENTS]
+    windows = through(lambda b: suffix_dedup._in_shards(b, 100), cut, {"key": long, "code": long, "hot": flag, "doc": long, "row": long, "start": long, "bytes": raw}, order=(0, 1))
+    merged = through(lambda b: suffix_dedup._merge(b, 100), [(r[0] % 7, *r[1:]) for r in windows], suffix_dedup._WINDOWS, order=(0, 1))
     lost = {d: set() for d, _ in docs}
-    for d, s, n in [r[2:5] for r in marks if r[5] == suffix_dedup.REMOVED] + merged:
+    for d, _, s, n in [r[2:6] for r in marks if r[6] == suffix_dedup.REMOVED] + merged:
         lost[d].update(range(s, s + n + 99))
     assert {d: len(x) for d, x in lost.items()} == {d: v[1] for d, v in repeats(docs, 100).items()}
 
@@ -127,6 +127,26 @@ def test_suffix_dedup_cases(spark, odd):
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_rows_that_share_an_id_lose_nothing_for_each_other(spark):
+    rng = random.Random(6)
+    a, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4))
+    rows = [(5, b), (7, a), (7, b + a), (None, c), (None, d), (None, c + d), (8, c), (9, a), (9, a)]
+    got = {}
+    for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed))
+    # what remains of each text, together, is all of them once
+    kept = {k: sum(n - lost for n, lost in v) for k, v in got.items()}
+    assert kept == {5: 300, 7: 300, None: 600, 8: 0, 9: 0}
+
+
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    docs = repeated_docs()
+    rows = [r for b in suffix_dedup._candidates(iter([pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs]), pa.array([0] * len(docs))], names=["doc", "text", "row"])]), 100) for r in b.to_pylist()]
+    windows = {(r["doc"], r["start"] + k) for r in rows for k in range(r["n"])}
+    assert windows == {(d, p) for d, t in docs for p in range(len((t or "").encode()) - 99)}
+
+
 # 2, 3, 6
 
 
