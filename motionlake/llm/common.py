@@ -44,5 +44,16 @@ def words_of(text: F.Column) -> F.Column:
     return F.when(text.isNull() | (trimmed == ""), F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SEPARATORS))
 
 
+def rest_of(docs: DataFrame, *own: str) -> F.Column:
+    """All columns of docs but `own` as one struct, to be named `row`: so none of their names meets one of an operator's."""
+    others = [c for c in docs.columns if c not in own]
+    return F.struct(*(docs[f"`{c}`"] for c in others)) if others else F.struct(F.lit(0).alias("none"))
+
+
+def whole(columns: list[str], *own: str) -> list[F.Column]:
+    """The columns of a table from its own and from `row`."""
+    return [F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

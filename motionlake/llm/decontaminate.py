@@ -5,8 +5,8 @@ one window). For each pattern length there is a shift table over blocks of up
 to three words: the scan jumps ahead by the block's shift, and only where it is
 zero looks into the bucket of patterns that end in that block and compares.
 
-Benchmark items are the stated query set; they are broadcast in blocks of at
-most BLOCK_WORDS words (plus one item), one pass over the documents each.
+Benchmark items are the stated query set; they are broadcast in blocks of about
+BLOCK_WORDS words, one pass over the documents each.
 
 Cases: null or wordless texts and items have no words; an item with a null id
 counts for hits but isn't listed; repeated items count once; repeated documents
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table
+from .common import rest_of, small_batches, staged, table, whole
 
 WINDOW = 10
 BLOCK = 3
@@ -79,66 +79,66 @@ class Patterns:
                 i += 1
 
 
-def _blocks(bench: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The distinct items in blocks of bounded size, each collected on its own."""
+def _items(bench: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct items with the block that each is in, and the number of blocks."""
     bench = bench.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     size = bench.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     parts = max(1, math.ceil(size / BLOCK_WORDS))
-    for k in range(parts):
-        yield [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()]
+    return bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(parts))), parts
 
 
-def search(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with all their columns, plus one struct column _hits: mask has a byte for each word, 1 where it is hit; items the sorted ids."""
-    spark = docs.sparkSession
+def search(rows: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """rows(row, text): row, text and hits, whose mask has a byte for each word, 1 where it is hit, and whose items are the sorted ids. One block is on the driver at a time."""
+    spark = rows.sparkSession
     small_batches(spark)
-    out = docs.withColumn("_hits", F.lit(None).cast("struct<mask:binary,items:array<string>>"))
-    blocks = list(_blocks(bench))
-    for k, items in enumerate(blocks):
-        out = _pass(out, spark.sparkContext.broadcast(Patterns(items, window)))
-        if k + 1 < len(blocks):
+    out = rows.select("row", "text", F.lit(None).cast("struct<mask:binary,items:array<string>>").alias("hits"))
+    items, parts = _items(bench)
+    for k in range(parts):
+        shared = spark.sparkContext.broadcast(Patterns([tuple(r) for r in items.where(F.col("block") == k).select("item", "text").collect()], window))
+        out = _pass(out, shared)
+        if k + 1 < parts:
             out = staged(out, "decontaminate")
+            shared.destroy()
     return out
 
 
 def _pass(df: DataFrame, shared) -> DataFrame:
-    at = df.columns.index("_hits")
-    text_at = df.columns.index("text")
     kind = pa.struct([("mask", pa.binary()), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = shared.value
         for batch in batches:
             rows = []
-            for text, before in zip(batch.column(text_at).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                w = words(text)
+            for text, before in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                w = words(text.as_py())
                 hit, items = (bytearray(before["mask"]), set(before["items"])) if before else (bytearray(len(w)), set())
                 patterns.scan(w, hit, items)
                 items.discard(None)
                 rows.append({"mask": bytes(hit), "items": sorted(items)})
-            yield pa.RecordBatch.from_arrays([pa.array(rows, kind) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["row", "text", "hits"])
 
     return df.mapInArrow(run, df.schema)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The digest of each row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = search(docs.select("doc_id", "text"), bench, window)
-    n = F.octet_length("_hits.mask")
-    hit = F.length(F.translate(F.hex("_hits.mask"), "0", ""))
+    found = search(docs.select(F.struct("doc_id").alias("row"), "text"), bench, window)
+    n = F.octet_length("hits.mask")
+    hit = F.length(F.translate(F.hex("hits.mask"), "0", ""))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         n.cast("long").alias("n_words"),
         hit.cast("long").alias("n_hit"),
-        F.size("_hits.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_hits.items", ","), 256).alias("items_sha256"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of any item occurs, with all their columns."""
-    return search(docs, bench, window).where(F.instr(F.hex("_hits.mask"), "1") == 0).select(*docs.columns)
+    found = search(docs.select(rest_of(docs, "text").alias("row"), "text"), bench, window)
+    return found.where(F.instr(F.hex("hits.mask"), "1") == 0).select(*whole(docs.columns, "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

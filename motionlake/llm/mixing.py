@@ -8,7 +8,8 @@ water level at which min(2 * size, level * weight) sums to the total.
 A source's target is met by whole copies: every document floor(target / size)
 times, and a subset once more. The subset is chosen by counts of documents of
 each exact size: an even share of every size's count, then the largest that
-fit, then a bounded-knapsack dynamic program over the budget that remains.
+fit, then a bounded-knapsack dynamic program over the budget that remains, which
+is below the target by less than the shortest document left out.
 Which documents of a size are taken follows a seeded hash, by counting hash
 ranges first, so that a size that a third of all documents have isn't ranked in
 one task.
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, words_of
+from .common import rest_of, staged, table, whole, words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -36,7 +37,7 @@ CAP = 2.0
 SEED = 20240607
 #: Ranges of the seeded hash in which a size's documents are counted.
 RANGES = 4096
-#: Budgets up to this many words are fitted by dynamic programming.
+#: Words of a budget that the dynamic program fits exactly; larger ones are filled from the longest documents down and, where only longer ones are left, in steps of budget / KNAPSACK.
 KNAPSACK = 1 << 16
 
 
@@ -78,54 +79,75 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np
     taken = (counts.astype(object) * budget // total).astype(np.int64)
     taken[lengths == 0] = 0
     budget -= int((lengths * taken).sum())
+    # what has been left out goes first; copies beyond that, as far as the cap goes, only to come nearer
+    most = (counts, counts * (math.ceil(CAP) - whole))
     order = np.argsort(-lengths, kind="stable")
-    for k in order.tolist():
-        if budget <= KNAPSACK:
-            break
-        n = min(int(counts[k] - taken[k]), budget // int(lengths[k])) if lengths[k] else 0
-        taken[k] += n
-        budget -= n * int(lengths[k])
-    if 0 < budget <= KNAPSACK:
-        # first what has been left out; copies beyond that, as far as the cap goes, only to come nearer
-        room = counts * (math.ceil(CAP) - whole) - taken
-        once = np.minimum(counts - taken, room)
-        for left in (once, room):
-            ok = np.flatnonzero((lengths > 0) & (lengths <= budget) & (left > 0))
-            again = ok[(room - once)[ok] > 0] if left is room else ok[:0]
-            which = np.concatenate((ok, again))
-            more = np.array(knapsack(lengths[which].tolist(), np.concatenate((once[ok], (room - once)[again])).tolist(), budget), np.int64) if len(which) else np.zeros(0, np.int64)
-            if left is room or int((lengths[which] * more).sum()) == budget:
-                np.add.at(taken, which, more)
-                break
+    for limit in most:
+        for k in order.tolist():
+            if budget > KNAPSACK and lengths[k]:
+                n = min(int(min(limit[k], most[1][k]) - taken[k]), budget // int(lengths[k]))
+                taken[k] += n
+                budget -= n * int(lengths[k])
+    for limit in most:
+        more = _fitted(lengths, np.minimum(limit, most[1]) - taken, budget)
+        if limit is most[1] or int((lengths * more).sum()) == budget:
+            return whole, taken + more
     return whole, taken
 
 
+def _fitted(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take, of those left, by the dynamic program. Budgets beyond KNAPSACK words, as remain where all that is left is longer, are fitted in coarser steps first."""
+    out = np.zeros(len(lengths), np.int64)
+    while budget > 0:
+        step = -(-budget // KNAPSACK)
+        ok = np.flatnonzero((lengths > 0) & (lengths <= budget) & (left > out))
+        if not len(ok):
+            break
+        more = np.array(knapsack((-(-lengths[ok] // step)).tolist(), (left - out)[ok].tolist(), budget // step), np.int64)
+        out[ok] += more
+        budget -= int((lengths[ok] * more).sum())
+        if step == 1 or not more.any():
+            break
+    return out
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes(source, size), one row a source, with each source's rank from 0 by code point, null last. Ranges of sources are ranked side by side, and one count a range goes to the driver."""
+    spark = sizes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    dealt = staged(dealt, "mix-sources")
+    before, at = {}, 0
+    for r in sorted(dealt.groupBy("part").count().collect()):
+        before[r["part"]], at = at, at + r["count"]
+    first = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else F.create_map(F.lit(0), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.select("source", F.col("size").alias("source_size"), (own - 1 + first[F.col("part")]).alias("rank"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes(source, size), one row a source, to source, source_size, target. The table of sources is small beside the documents: it is ordered in one task."""
-    ranked = sizes.select(
-        "source", F.col("size").alias("source_size"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())).alias("rank")
-    )
-    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap).withColumn("ratio", F.col("most") / F.col("weight"))
-    everything = Window.partitionBy(F.lit(0))
-    before = everything.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    leveled = ranked.withColumn("level", level)
-    # the water level is that of the first source, by ratio, which it doesn't fill
-    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"]
-    return leveled.withColumn("water", water).select("source", "source_size", F.least("most", F.coalesce(F.col("water") * F.col("weight"), F.col("most"))).alias("target"))
+    """sizes(source, size), one row a source, to source, source_size, target. The water level rises as sources fill up; each step is a sum over the sources."""
+    ranked = _ranked(sizes)
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    ranked = staged(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("most")), "mix-weights")
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, full = 0.0, -1
+    while True:
+        filled = F.col("most") <= F.lit(level) * F.col("weight")
+        n, taken, free = ranked.agg(F.count_if(filled), F.sum(F.when(filled, F.col("most"))), F.sum(F.when(~filled, F.col("weight")))).first()
+        if n == full or not free:
+            break
+        full, level = n, (total - (taken or 0.0)) / free
+    return ranked.select("source", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with all their columns, plus one struct column _mix(size, source_size, target, copies)."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("_size"))
-    return mix_sizes(rows, seed).select("_row.*", "_mix")
+    """row (all columns of docs as a struct) and mix (size, source_size, target, copies)."""
+    return mix_sizes(docs.select(rest_of(docs).alias("row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("_size")), seed)
 
 
 def mix_sizes(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """rows(_row, doc_id, source, _size): _row and _mix."""
+    """rows(row, doc_id, source, _size): row and mix."""
     # a key that is never null, so that joins and windows deal rows out alike
     sized = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     sized = sized.withColumn("_draw", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_range", F.pmod(F.col("_draw"), F.lit(RANGES)))
@@ -148,19 +170,16 @@ def mix_sizes(rows: DataFrame, seed: int = SEED) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("_source", "_size", "_range").orderBy("_draw", "doc_id"))
     out = sized.join(ranges.hint("merge"), ["_source", "_size", "_range"]).withColumn("_rank", rank)
     copies = F.when(F.col("_size") > 0, F.col("whole") + (F.col("_rank") <= F.col("take")).cast("long")).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("_mix", F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))).select("_row", "_mix")
+    return out.select("row", F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).alias("mix"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, with all its columns."""
-    return _repeat(mix(docs, seed), docs.columns)
-
-
-def _repeat(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.where("_mix.copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))).select(*columns)
+    taken = mix(docs, seed).where("mix.copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int"))).alias("copy")).select(*whole(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.struct("doc_id").alias("_row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("_size"))
-    return mix_sizes(rows).select("_row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+    rows = docs.select(F.struct("doc_id").alias("row"), "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("_size"))
+    return mix_sizes(rows).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))

@@ -1,34 +1,47 @@
 """Host-level quality rules, in DataFrame expressions only.
 
-Every document gets counts and a base verdict. Failures are summed by host
-(`source`), each host's failure rate is shrunk towards the corpus with a beta
-prior fitted to the hosts by moments, and the host verdict joins back.
+Every document gets counts, a verdict by each rule and a base verdict (short or
+repetitive). Failures are summed by host (`source`) and rule. For each rule the
+hosts' rates are shrunk towards the corpus with a beta prior, whose weight comes
+from the spread of the hosts' rates beyond what sampling explains. A host is
+rejected if, by two standard deviations of its posterior, more of its documents
+fail some rule than halfway between the corpus's share and all of them. The host
+verdict joins back to the documents.
 
 Cases: null or blank text has no words (base rule fails); a null host has no
 host verdict, so only the base rule counts; repeated rows count as often as
 they occur; an empty table gives an empty table; other columns are ignored by
-`quality_rules` and kept by `quality_filter`.
+`quality_rules` and kept by `quality_filter`, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, staged, table, words_of
+from .common import SPACES, rest_of, staged, table, whole, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host is rejected when its shrunk share of failing documents is above this.
-HOST_LIMIT = 0.8
-#: Bounds of the prior's weight, in documents.
-PRIOR_WEIGHT = (1.0, 1000.0)
+#: Standard deviations of its posterior by which a host's rate must be above the limit.
+DEVIATIONS = 2.0
+#: Bounds of a prior's weight, in documents.
+PRIOR_WEIGHT = (1.0, 1e6)
 SYMBOLS = "#*$%&|<>"
+#: By rule, whether a document with these counts fails it. The first two are the base rules.
+RULES = {
+    "short": f"n_words < {MIN_WORDS}",
+    "repetitive": f"n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}",
+    "symbols": "n_symbols * 10 > n_words",
+    "lines": "n_dup_lines * 10 > n_lines * 3",
+}
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def with_metrics(docs: DataFrame, into: str = "_rules") -> DataFrame:
-    """Add one struct column with the five counts and base_failed; no shuffle.
+    """Add one struct column with the counts; no shuffle.
 
     Windows of three words are compared by 64-bit hash inside one text. Most
     texts repeat none, which a distinct count tells; only the others sort
@@ -54,64 +67,82 @@ def with_metrics(docs: DataFrame, into: str = "_rules") -> DataFrame:
     repeated = F.when(F.col(s).isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     out = out.withColumn(f"{into}_r", repeated.cast("long")).withColumn(f"{into}_l", lines)
-    n_words = F.size(w).cast("long")
     r = F.col(f"{into}_r")
+    n_lines = F.size(f"{into}_l").cast("long")
     out = out.withColumn(
         into,
         F.struct(
-            n_words.alias("n_words"),
+            F.size(w).cast("long").alias("n_words"),
             F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
             (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size(f"{into}_l") - F.size(F.array_distinct(f"{into}_l"))).cast("long").alias("n_dup_lines"),
+            n_lines.alias("n_lines"),
+            (n_lines - F.size(F.array_distinct(f"{into}_l"))).cast("long").alias("n_dup_lines"),
             r.alias("n_repeat_words"),
-            ((n_words < MIN_WORDS) | (r * 100 > n_words * MAX_REPEAT_PERCENT)).alias("base_failed"),
         ),
     )
     return out.drop(w, h, s, f"{into}_r", f"{into}_l")
 
 
-def host_rates(failures: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """failures(host, failed boolean) to one row per non-null host: n, n_failed, rate (shrunk), host_failed.
+def host_rates(failures: DataFrame) -> DataFrame:
+    """failures(host, a boolean for each rule) to a row for each host that isn't null: n, for each rule its rate (shrunk), and host_failed.
 
-    One row of sums comes to the driver, from which the prior follows.
+    One row of sums comes to the driver, from which the priors follow.
     """
-    hosts = failures.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    n, k, k2 = hosts.agg(F.sum("n"), F.sum("n_failed"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n"))).first()
-    mean = k / n if n else 0.0
-    spread = max(0.0, k2 / n - mean * mean) if n else 0.0
-    weight = mean * (1 - mean) / spread - 1 if spread > 0 else PRIOR_WEIGHT[1]
-    weight = min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-    rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > F.lit(limit))
-
-
-def _judged(measured: DataFrame) -> DataFrame:
-    """Join host verdicts to rows with source and _rules; adds _rate, _kept.
+    rules = [c for c in failures.columns if c != "host"]
+    hosts = failures.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(r).alias(r) for r in rules))
+    hosts = staged(hosts, "host-counts")
+    sums = hosts.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") * F.col("n") / F.lit(1.0)), *(x for r in rules for x in (F.sum(r), F.sum(F.col(r) * F.col(r) / F.col("n"))))).first()
+    count, n, n2 = sums[:3]
+    failed = F.lit(False)
+    for r, k, k2 in zip(rules, sums[3::2], sums[4::2], strict=True):
+        mean, weight = prior(count, n or 0, n2 or 0.0, k or 0, k2 or 0.0)
+        a, b = F.col(r) + F.lit(mean * weight), F.col("n") - F.col(r) + F.lit((1 - mean) * weight)
+        rate = a / (a + b)
+        hosts = hosts.withColumn(f"{r}_rate", rate)
+        failed = failed | (rate - F.lit(DEVIATIONS) * F.sqrt(rate * (1 - rate) / (a + b + 1)) > F.lit((1 + mean) / 2))
+    return hosts.withColumn("host_failed", failed)
+
+
+def prior(hosts: int, n: int, n2: float, k: int, k2: float) -> tuple[float, float]:
+    """(mean, weight) of the beta prior by moments: from the number of hosts, the sums of their documents, of those squared, of failures, and of failures squared by documents."""
+    if not n:
+        return 0.0, PRIOR_WEIGHT[1]
+    mean = k / n
+    noise, room = hosts - 1, n - n2 / n - (hosts - 1)
+    # how alike documents of one host are, beyond chance
+    alike = ((k2 - n * mean * mean) / (mean * (1 - mean)) - noise) / room if 0 < mean < 1 and room > 0 else 0.0
+    return mean, min(max(1 / alike - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if alike > 0 else PRIOR_WEIGHT[1]
+
+
+def _judged(docs: DataFrame, carried: F.Column) -> DataFrame:
+    """carried (as `row`), rules (the counts), base_failed, host_failed and kept for each row.
 
     The hosts' table is written first, so that Spark knows its size: a small one
     is broadcast without a shuffle of the rows, a large one is joined by sorting,
     with hot hosts split.
     """
-    rates = host_rates(measured.select(F.col("source").alias("host"), F.col("_rules.base_failed").alias("failed")))
-    hosts = staged(rates.select(F.col("host").alias("_host"), F.col("rate").alias("_rate"), F.col("host_failed").alias("_host_failed")), "hosts")
-    out = measured.join(hosts, F.col("source") == F.col("_host"), "left")
-    return out.withColumn("_kept", ~F.col("_rules.base_failed") & ~F.coalesce(F.col("_host_failed"), F.lit(False))).drop("_host", "_host_failed")
+    rows = with_metrics(docs.select(carried.alias("row"), F.col("source"), F.col("text")), "rules").select("row", "source", "rules")
+    failed = {r: F.expr(re.sub(r"\bn_\w+", lambda m: f"rules.{m[0]}", rule)) for r, rule in RULES.items()}
+    rows = staged(rows.select("*", F.struct(*(c.alias(r) for r, c in failed.items())).alias("failed")), "rules")
+    hosts = staged(host_rates(rows.select(F.col("source").alias("host"), "failed.*")).select("host", "host_failed"), "hosts")
+    base = F.col("failed.short") | F.col("failed.repetitive")
+    out = rows.join(hosts, F.col("source") == F.col("host"), "left").select("row", "rules", base.alias("base_failed"), F.coalesce("host_failed", F.lit(False)).alias("host_failed"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the five counts, base_failed, host_rate and kept for each row."""
-    measured = staged(with_metrics(docs.select("doc_id", "source", "text")).drop("text"), "rules")
-    return _judged(measured).select("doc_id", "source", *(F.col(f"_rules.{m}") for m in METRICS), "_rules.base_failed", F.col("_rate").alias("host_rate"), F.col("_kept").alias("kept"))
+    """doc_id, source, the five counts, base_failed, host_failed and kept for each row."""
+    out = _judged(docs, F.struct("doc_id", "source"))
+    return out.select("row.doc_id", "row.source", *(F.col(f"rules.{m}") for m in METRICS), "base_failed", "host_failed", "kept")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    measured = staged(with_metrics(docs), "rules")
-    return _judged(measured).where("_kept").select(*docs.columns)
+    return _judged(docs, rest_of(docs)).where("kept").select(*whole(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *METRICS, "base_failed", "kept")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("source")
 
 
 SQL = r"""
@@ -124,13 +155,16 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM s, (SELECT unnest([0, 1, 2]
 m AS (
   SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS BIGINT)) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-t AS (SELECT sum(f) / sum(n) AS mu, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM h),
-p AS (SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM t),
-q AS (SELECT source, (f + mu * k) / (n + k) > 0.8 AS host_failed FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
-FROM b LEFT JOIN q ON q.source = b.source
+b AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 10 * n_symbols > n_words AS f3, 10 * n_dup_lines > 3 * n_lines AS f4 FROM m),
+u AS (SELECT source, unnest([f1, f2, f3, f4]) AS f, unnest([1, 2, 3, 4]) AS rule FROM b WHERE source IS NOT NULL),
+h AS (SELECT source, rule, count(*) AS n, CAST(count_if(f) AS DOUBLE) AS f FROM u GROUP BY source, rule),
+t AS (SELECT rule, sum(f) / sum(n) AS mu, sum(n) AS n, count(*) - 1 AS noise, sum(n) - sum(n * n / 1.0) / sum(n) - (count(*) - 1) AS room, sum(f * f / n) AS k2 FROM h GROUP BY rule),
+a AS (SELECT rule, mu, CASE WHEN mu > 0 AND mu < 1 AND room > 0 THEN ((k2 - n * mu * mu) / (mu * (1 - mu)) - noise) / room ELSE 0 END AS alike FROM t),
+p AS (SELECT rule, mu, CASE WHEN alike > 0 THEN least(greatest(1 / alike - 1, 1.0), 1e6) ELSE 1e6 END AS k FROM a),
+q AS (SELECT source, (f + mu * k) / (n + k) AS rate, n + k AS size, mu FROM h JOIN p ON p.rule = h.rule),
+v AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (size + 1)) > (1 + mu) / 2) AS host_failed FROM q GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, coalesce(host_failed, false) AS host_failed, NOT (f1 OR f2) AND NOT coalesce(host_failed, false) AS kept
+FROM b LEFT JOIN v ON v.source = b.source
 """

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 #: Bytes of text for which grams are made at once.
@@ -88,14 +90,11 @@ def map_texts(docs: DataFrame, columns: list[str], score, schema: str, limit: in
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, seed: int, bound: int) -> DataFrame:
     """At most `bound` texts of each label value: labels(doc_id, label), kept where `learn` holds, by seeded hash. The ids are few, so the join broadcasts them."""
-    from pyspark.sql import Window
-
     known = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("label").alias("label"))
-    values = [r[0] for r in known.select("label").distinct().limit(1000).collect()]
-    ids = None
-    for v in values:
-        some = known.where(F.col("label") == F.lit(v)).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound)
-        ids = some if ids is None else ids.union(some)
-    if ids is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, label string, text string")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    # of each label, the rows whose hash falls into a share that has a few more than the bound, and then the first of those
+    counts = staged(known.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    draw = F.xxhash64(F.lit(seed), "doc_id")
+    some = known.join(counts, "label").where(F.pmod(draw, F.lit(1 << 30)) * F.col("n") <= F.lit((bound + 8 * bound**0.5 + 8) * (1 << 30)))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(draw, "doc_id"))
+    ids = staged(some.withColumn("rank", rank).where(F.col("rank") <= bound).select("doc_id", "label"), "label-sample")
+    return docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
