@@ -56,6 +56,15 @@ class Batch:
                     ids[~whole] = buckets
                     yield first, ids[:n]
 
+    def word_hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes."""
+        if not len(self.words):
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.buf)) - np.repeat(np.concatenate(([0], self.words)), np.diff(np.concatenate(([0], self.words, [len(self.buf)]))))
+        powers = np.cumprod(np.full(int(place.max()) + 1, 0x100000001B3, np.uint64))
+        mixed = (self.buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * powers[place], self.words)
+
     def word_sums(self, values: np.ndarray, sizes: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
         """(sum over each word's grams of values[bucket], number of its grams); values has a row of zeros at the end."""
         total = np.zeros((len(self.buf), *values.shape[1:]), np.float32)

@@ -45,7 +45,8 @@ AT_ONCE = BLOCK * range_coder.LANES
 CACHE = 700_000
 #: Unknown words that the tokenizer gets as one text.
 JOINED = 200
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)").fullmatch
+#: Letters that no normal form changes, and signs.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"TOK2"
 _workers: dict[str, Words] = {}
@@ -63,7 +64,7 @@ class Words:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > range_coder.MOST:
@@ -74,7 +75,7 @@ class Words:
         # characters that are one id, which nothing else gives: for any words, and for letters, to which only the model matters
         self.mark = next(c for c in "♥★™€£" if len(self.tokenizer.encode(c, add_special_tokens=False).ids) == 1)
         self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -95,7 +96,7 @@ class Words:
             yield from (raw[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True))
 
     def learn(self, words: list[str]) -> None:
-        """Keep the ids of words that aren't known. ASCII letters and the signs after them are split from each other whatever stands around them."""
+        """Keep the ids of words that aren't known. Letters and the signs after them are split from each other whatever stands around them."""
         known, letters, plain, odd = self.known, self.letters, [], []
         for w in words:
             m = _PLAIN(w)

@@ -30,6 +30,8 @@ from .subwords import BUCKETS, Batch, labelled_sample, map_texts
 SAMPLE = 1200
 SEED = 11
 WINDOW = 8
+#: Bytes of the n-grams, word edges included.
+GRAMS = (4, 5, 6, 7)
 DIMENSION = 8
 EPOCHS = 60
 #: Steps of the embeddings, the softmax and its bias. They are plain gradient steps: buckets that rarely help move little.
@@ -51,6 +53,14 @@ def _windows(of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return j[ok], np.minimum(j + WINDOW, end)[ok], of[ok]
 
 
+def _fresh(words: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each word is none of the WINDOW - 1 before it in its text: in a window, a word counts once."""
+    fresh = np.ones(len(words), bool)
+    for k in range(1, WINDOW):
+        fresh[k:] &= (words[k:] != words[:-k]) | (of[k:] != of[:-k])
+    return fresh
+
+
 def _soft_mean(z: np.ndarray, of: np.ndarray, n: int, none: float) -> tuple[np.ndarray, np.ndarray]:
     """log(mean(exp(z))) of each text, and each window's share of it."""
     out = np.full(n, none)
@@ -76,7 +86,9 @@ class Model:
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
         batch = Batch(texts)
-        z, c = batch.word_sums(self.values)
+        z, c = batch.word_sums(self.values, GRAMS)
+        fresh = _fresh(batch.word_hashes(), batch.of)
+        z, c = z * fresh, c * fresh
         first, last, of = _windows(batch.of, batch.n)
         z, c = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (z, c))
         mean = (z[last] - z[first]) / np.maximum(c[last] - c[first], 1.0) + self.bias
@@ -107,7 +119,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Mode
     word_of[np.maximum(words.words - 1, 0)[1:]] = 1
     word_of = np.cumsum(word_of, dtype=np.int32)
     ids, owner = [], []
-    for first, g in words.grams():
+    for first, g in words.grams(BUCKETS, GRAMS):
         ok = g < BUCKETS
         ids.append(g[ok])
         owner.append(word_of[first : first + len(g)][ok])
@@ -124,7 +136,8 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Mode
     ids, owner = slot[ids[ok]].astype(np.int32), owner[ok]
     del words, word_of, pairs, raw, ok
     first, last, of = _windows(batch.of, batch.n)
-    size = np.concatenate(([0.0], np.cumsum(count[tokens])))
+    fresh = _fresh(tokens, batch.of)
+    size = np.concatenate(([0.0], np.cumsum(count[tokens] * fresh)))
     size = np.maximum(size[last] - size[first], 1.0)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     weight /= weight.sum()
@@ -133,14 +146,14 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Mode
     for _ in range(EPOCHS):
         e, a, bias = table_
         z = np.bincount(owner, (e @ a)[ids], len(vocabulary))
-        cs = np.concatenate(([0.0], np.cumsum(z[tokens])))
+        cs = np.concatenate(([0.0], np.cumsum(z[tokens] * fresh)))
         logit, share = _soft_mean((cs[last] - cs[first]) / size + bias[0], of, batch.n, bias[0])
         slope = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
         g = slope[of] * share / size
         line = np.zeros(len(tokens) + 1)
         np.add.at(line, first, g)
         np.add.at(line, last, -g)
-        per_word = np.bincount(tokens, np.cumsum(line)[:-1], len(vocabulary))
+        per_word = np.bincount(tokens, np.cumsum(line)[:-1] * fresh, len(vocabulary))
         per_bucket = np.bincount(ids, per_word[owner], len(used))
         grads = [np.outer(per_bucket, a), e.T @ per_bucket, np.array([slope.sum()])]
         for p, grad, m, rate in zip(table_, grads, moments, RATES, strict=True):

@@ -559,7 +559,7 @@ def test_token_files_are_below_order_0_entropy(spark, sf_dir):
 
 def test_words_have_the_ids_that_they_have_in_texts():
     words = token_output.Words(token_output.tokenizer_path())
-    texts = ["Word, word. WORD!? it's don't x.y a0b 12,5 <|endoftext|>.A a<|endoftext|> ♥ a♥b é. e\u0301, İI. ß; ＡＢ. K. ..., ,a .", "naïve café—no “quotes”, ½ x² ﬁn. a.b.c ?! word..word word.) 'S 's. I'LL l'ecole's"]
+    texts = ["Word, word. WORD!? Éa, ÀÞßÿ. ÑÑ: Größe! naïve, it's don't x.y a0b 12,5 <|endoftext|>.A a<|endoftext|> ♥ a♥b é. e\u0301, İI. ß; ＡＢ. K. ..., ,a .", "naïve café—no “quotes”, ½ x² ﬁn. a.b.c ?! word..word word.) 'S 's. I'LL l'ecole's"]
     for _ in range(2):
         ids, ends = words.ids(pa.array([*texts, None, ""]))
         for k, t in enumerate(texts):
