@@ -1,4 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, found by a prefix-filtered set join.
+"""Near-duplicates at a similarity of 0.8 or more of five-word shingles: SimHash by pigeonring filtering, completed by a prefix-filtered set join.
+
+SimHash fingerprints of the shingles that are linked at three bits (see simhash)
+give the closest copies; the shingles themselves then confirm each link. A
+similarity of 0.8 is about ten bits of 64, beyond what pigeonring filtering can
+select by, so a set join finds the other pairs, and none twice: candidates that
+confirmed links connect already are left out.
 
 All pairs at 0.8 or more are linked, none below. A text of n distinct shingles,
 in any one order of all shingles, has one of its first n - ceil(0.8 n) + 1 in
@@ -29,9 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from . import simhash
+from .common import rest_of, small_batches, staged
 from .components import components
-from .simhash import _LOWER, NO_ID
+from .simhash import _LOWER, NO_ID, one_of_each
 
 WIDTH = 5
 SMALL = 16
@@ -200,9 +207,28 @@ def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["h"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
 
+def closest(docs: DataFrame) -> DataFrame:
+    """docs(node, text): links (a, b) between similar texts among those whose SimHash fingerprints are linked. Texts with one fingerprint are compared with the first of them."""
+    prints = staged(simhash.fingerprints(docs.withColumnRenamed("node", "doc_id"), WIDTH).distinct(), "fingerprints")
+    first = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    shared = first.where("n > 1").select(F.col("fp").alias("_fp"), F.col("first").alias("a"))
+    stars = prints.join(shared, F.col("fp") == F.col("_fp")).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    near = staged(simhash.links(first.select("fp")).distinct(), "fingerprint-links")
+    x, y = first.select(F.col("fp").alias("a"), F.col("first").alias("p")), first.select(F.col("fp").alias("b"), F.col("first").alias("q"))
+    return _verified(staged(stars.union(near.join(x, "a").join(y, "b").select("p", "q")), "close"), docs)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that roots(node, root) don't connect."""
+    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """docs(node, text): (node, root) for nodes connected to others by similar pairs; root is the smallest of them."""
     small_batches(docs.sparkSession)
+    close = closest(docs)
+    near = components(close)
     common, weights = _order(docs)
     shared = docs.sparkSession.sparkContext.broadcast((common, weights))
     rows = docs.mapInArrow(lambda b: _prefixes(b, *shared.value), PREFIXES)
@@ -215,7 +241,7 @@ def groups(docs: DataFrame) -> DataFrame:
         return dealt.mapInArrow(lambda b: _bucket_pairs(b, rest), "a long, b long").distinct()
 
     found = staged(pairs(rows.select("h", "node", "n", "pos", F.lit(0).cast("long").alias("root")), False), "candidates")
-    links = _verified(_likely(found.where("b IS NOT NULL"), marks), docs)
+    links = close.union(_verified(_likely(_apart(found.where("b IS NOT NULL"), near), marks), docs))
     roots = components(links)
     large = found.where("b IS NULL").select(F.col("a").alias("h"))
     if large.isEmpty():
@@ -226,16 +252,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of connected documents, one with the smallest doc_id, with all its columns."""
-    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(node.alias("node"), "text")
-    roots = groups(texts)
-    first = docs.select(node.alias("node"), id_of.alias("id")).groupBy("node").agg(F.min("id").alias("id"))
-    named = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    kept = staged(named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select(F.col("k.node").alias("_node"), F.col("k.id").alias("_id")), "kept")
-    rows = docs.withColumn("_node", node).withColumn("_id", id_of).join(kept, ["_node", "_id"], "left_semi")
-    repeated = docs.select(node.alias("_node"), id_of.alias("_id")).groupBy("_node", "_id").count().where("count > 1").select("_node", "_id")
-    single = rows.join(repeated, ["_node", "_id"], "left_anti")
-    again = rows.join(repeated, ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"])
-    return single.union(again).select(*docs.columns)
+    """One row of each group of connected documents, one with the smallest doc_id, with all its columns. Of rows with that id, one whose text has the smallest XXH64."""
+    code = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), code.alias("code"), rest_of(docs, "text").alias("row"), "text")
+    roots = groups(own.select(F.col("code").alias("node"), "text"))
+    first = own.groupBy("code").agg(F.min("id").alias("id"))
+    named = first.join(roots, first["code"] == roots["node"], "left").select("id", "code", F.coalesce("root", "code").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct("id", "code")).alias("k"))
+    kept = staged(best.select(F.col("k.id").alias("_id"), F.col("k.code").alias("_code")), "kept")
+    return one_of_each(own.join(kept, (F.col("id") == F.col("_id")) & (F.col("code") == F.col("_code")), "left_semi"), docs.columns)
