@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: similarity of five-word shingles of 0.8 or more. Three of 64 SimHash bits don't reach that, so the pairs are found by an exact join."""
+    """One document of each group of near-duplicates: similarity of five-word shingles of 0.8 or more. SimHash with pigeonring filtering links the closest; three of 64 bits don't reach that similarity, so an exact join finds the rest."""
     return shingle_join.deduplicate(docs)
 
 
@@ -47,7 +47,7 @@ STAGES = [
     ("token ids", token_ids),
 ]
 
-#: Stages two, four and five can't be said in SQL; tests/llm holds the pipeline against a brute-force version.
+#: Stages two, four and five can't be said in SQL; tests/llm/test_pipeline.py holds the stages and their chain against brute force.
 ORACLE_SQL = None
 
 
