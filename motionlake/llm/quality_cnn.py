@@ -1,7 +1,10 @@
 """Quality from a byte-level convolutional network in numpy.
 
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it.
-Learned filters run over each chunk's embedded bytes and are max-pooled; a
+Each byte has two learned embeddings, which add up: of itself, and of how far
+back, up to LAGS bytes, the four bytes that begin with it stood before, so that
+filters see repetition whatever is repeated. Learned filters run over the
+embedded bytes and are max-pooled; a
 hidden layer turns a chunk's maxima and its fill into log-odds of being bad, and
 the document's are the soft average, log(mean(exp(.))), of its chunks'. The
 network is trained by Adam on at most SAMPLE labelled texts of each label
@@ -23,16 +26,20 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 from .subwords import labelled_sample, map_texts
-from .toxicity import _calibrate, _soft_mean
+from .toxicity import _calibrate
 
 SAMPLE = 1500
 SEED = 5
 CHUNK = 768
 OVERLAP = 64
 TAPS = 8
-STRIDE = 3
+#: CHUNK - TAPS is a multiple of it, so that a chunk's last byte is under a filter too.
+STRIDE = 2
+#: Bytes back that a recurrence is looked for, and how many of those share an embedding.
+LAGS = 32
+LAG_STEP = 4
 EMBEDDING = 8
-FILTERS = 24
+FILTERS = 32
 HIDDEN = 16
 BATCH = 48
 STEPS = 500
@@ -55,9 +62,23 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.stack(rows) if rows else np.zeros((0, CHUNK), np.uint8), np.array(lengths, np.int64), np.array(of, np.int64)
 
 
+def inputs(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each byte plus 256 times the class of its recurrence: 0 for none, else 1 for the nearest LAG_STEP places and so on."""
+    out = x.astype(np.uint16)
+    four = x[:, :-3].astype(np.uint32)
+    for k in (1, 2, 3):
+        four |= x[:, k : x.shape[1] - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+    kind = np.zeros(x.shape, np.uint16)
+    for lag in range(LAGS, 0, -1):
+        np.copyto(kind[:, lag:-3], np.uint16((lag - 1) // LAG_STEP + 1), where=four[:, lag:] == four[:, :-lag])
+    kind[np.arange(x.shape[1]) + 3 >= lengths[:, None]] = 0
+    return out + (kind << np.uint16(8))
+
+
 def _patches(weights: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     """The filters' inputs: chunks x positions x (TAPS * EMBEDDING)."""
-    e = weights[0][x].reshape(len(x), CHUNK * EMBEDDING)
+    both = (weights[7][:, None] + weights[0][None]).reshape(-1, EMBEDDING)
+    e = both.take(x, axis=0).reshape(len(x), CHUNK * EMBEDDING)
     n = (CHUNK - TAPS) // STRIDE + 1
     s = e.strides
     return np.lib.stride_tricks.as_strided(e, (len(x), n, TAPS * EMBEDDING), (s[0], STRIDE * EMBEDDING * s[1], s[1]))
@@ -73,9 +94,23 @@ def _pooled(weights: list[np.ndarray], x: np.ndarray, lengths: np.ndarray) -> tu
     return np.maximum(np.take_along_axis(r, where[:, None, :], axis=1)[:, 0], 0), where
 
 
+def _soft_mean(z: np.ndarray, of: np.ndarray, n: int, none: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(mean(exp(z))) of each text, and each window's share of it."""
+    out = np.full(n, none)
+    if not len(z):
+        return out, np.zeros(0)
+    at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    size = np.diff(np.concatenate((at, [len(of)])))
+    top = np.maximum.reduceat(z, at)
+    e = np.exp(z - np.repeat(top, size))
+    total = np.add.reduceat(e, at)
+    out[of[at]] = top + np.log(total / size)
+    return out, e / np.repeat(total, size)
+
+
 @dataclass
 class Model:
-    """weights: bytes' embeddings, filters, their biases, hidden layer and its biases, output and its bias."""
+    """weights: bytes' embeddings, filters, their biases, hidden layer and its biases, output and its bias, recurrences' embeddings."""
 
     weights: list[np.ndarray]
     scale: float = 1.0
@@ -87,8 +122,9 @@ class Model:
         w = self.weights
         out = []
         for k in range(0, len(x), AT_ONCE):
-            top, _ = _pooled(w, x[k : k + AT_ONCE], lengths[k : k + AT_ONCE])
-            v = np.concatenate((top, (lengths[k : k + AT_ONCE] / CHUNK)[:, None]), axis=1)
+            some, fill = x[k : k + AT_ONCE], lengths[k : k + AT_ONCE]
+            top, _ = _pooled(w, inputs(some, fill), fill)
+            v = np.concatenate((top, (fill / CHUNK)[:, None]), axis=1)
             out.append(np.maximum(v @ w[3] + w[4], 0) @ w[5] + w[6])
         z = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
         return _soft_mean(z, of, len(texts), 0.0)[0]
@@ -100,8 +136,8 @@ class Model:
 def train(texts: list[str | None], labels: np.ndarray, good: int, bad: int, seed: int = SEED) -> Model:
     """Fit the network to labels (1: good); good and bad: labelled rows of each kind, sampled or not."""
     rng = np.random.default_rng(seed)
-    shape = [(256, EMBEDDING), (TAPS * EMBEDDING, FILTERS), (FILTERS,), (FILTERS + 1, HIDDEN), (HIDDEN,), (HIDDEN,), (1,)]
-    scale = [0.5, (TAPS * EMBEDDING) ** -0.5, 0, (FILTERS + 1) ** -0.5, 0, HIDDEN**-0.5, 0]
+    shape = [(256, EMBEDDING), (TAPS * EMBEDDING, FILTERS), (FILTERS,), (FILTERS + 1, HIDDEN), (HIDDEN,), (HIDDEN,), (1,), (1 + LAGS // LAG_STEP, EMBEDDING)]
+    scale = [0.5, (TAPS * EMBEDDING) ** -0.5, 0, (FILTERS + 1) ** -0.5, 0, HIDDEN**-0.5, 0, 0.5]
     w = [(rng.normal(0, 1, s) * k).astype(np.float32) for s, k in zip(shape, scale, strict=True)]
     model = Model(w)
     if not len(texts) or labels.min() == labels.max():
@@ -111,7 +147,7 @@ def train(texts: list[str | None], labels: np.ndarray, good: int, bad: int, seed
     held = rng.random(len(texts)) < 0.2
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    cut = [chunks([t])[:2] for t in texts]
+    cut = [(inputs(x, n), n) for x, n, _ in (chunks([t]) for t in texts)]
     kinds = [np.flatnonzero(~held & (y == k)) for k in (0, 1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in w]
     for step in range(1, STEPS + 1):
@@ -126,15 +162,16 @@ def train(texts: list[str | None], labels: np.ndarray, good: int, bad: int, seed
         slope = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[pick])[of] * share / len(pick)).astype(np.float32)
         back = slope[:, None] * w[5] * (hidden > 0)
         down = (back @ w[3].T)[:, :FILTERS] * (v[:, :FILTERS] > 0)
-        grads = [np.zeros_like(w[0]), np.zeros_like(w[1]), down.sum(0), v.T @ back, back.sum(0), hidden.T @ slope, np.array([slope.sum()], np.float32)]
+        grads = [np.zeros_like(w[0]), np.zeros_like(w[1]), down.sum(0), v.T @ back, back.sum(0), hidden.T @ slope, np.array([slope.sum()], np.float32), np.zeros_like(w[7])]
         at = place * STRIDE
         seen = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(TAPS)]
-        inputs = w[0][seen].reshape(len(x), FILTERS, TAPS * EMBEDDING)
-        grads[1] = np.einsum("nf,nfk->kf", down, inputs, optimize=True)
+        felt = (w[0][seen & 255] + w[7][seen >> 8]).reshape(len(x), FILTERS, TAPS * EMBEDDING)
+        grads[1] = np.einsum("nf,nfk->kf", down, felt, optimize=True)
         into = (down[:, :, None] * w[1].T[None]).reshape(-1, EMBEDDING)
         flat = seen.reshape(-1)
         for j in range(EMBEDDING):
-            grads[0][:, j] = np.bincount(flat, into[:, j], 256)
+            grads[0][:, j] = np.bincount(flat & 255, into[:, j], 256)
+            grads[7][:, j] = np.bincount(flat >> 8, into[:, j], len(w[7]))
         for p, g, (m, s) in zip(w, grads, moments, strict=True):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)

@@ -65,13 +65,13 @@ class Batch:
         mixed = (self.buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * powers[place], self.words)
 
-    def word_sums(self, values: np.ndarray, sizes: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-        """(sum over each word's grams of values[bucket], number of its grams); values has a row of zeros at the end."""
+    def word_sums(self, values: np.ndarray, sizes: tuple[int, ...] = GRAMS, learned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(sum over each word's grams of values[bucket], number of its grams, or of those whose value isn't zero); values has a row of zeros at the end."""
         total = np.zeros((len(self.buf), *values.shape[1:]), np.float32)
         count = np.zeros(len(self.buf), np.float32)
         for first, ids in self.grams(len(values) - 1, sizes):
             total[first : first + len(ids)] += values[ids]
-            count[first : first + len(ids)] += ids != len(values) - 1
+            count[first : first + len(ids)] += values[ids] != 0 if learned else ids != len(values) - 1
         at = np.maximum(self.words - 1, 0)
         if not len(at):
             return total[:0], count[:0]

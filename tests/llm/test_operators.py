@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import xxhash
 from motionlake.llm import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, range_coder, shingle_join, simhash, suffix_array, suffix_dedup, token_output, toxicity
 from motionlake.llm.common import table
 from motionlake.llm.queries import QUERIES, SQL
+from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
 
@@ -177,11 +179,57 @@ def test_toxicity_held_out(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
-def test_quality_network_held_out(spark, sf_dir):
-    labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
-    rows = [r for r in QUERIES["op3_quality_cnn"](spark, sf_dir).collect() if r.held_out and r.doc_id in labels]
-    good = [r.predicted for r in rows if labels[r.doc_id] == 1]
-    assert good and np.mean(good) > 0.9
+@pytest.fixture(scope="module")
+def labelled(spark, sf_dir):
+    """Texts with their labels and ids, from tables with enough of them."""
+    larger = Path(sf_dir).parent / "sf0.1"
+    where = str(larger if larger.exists() else sf_dir)
+    rows = table(spark, where, "documents").select("doc_id", "text").join(table(spark, where, "labels"), "doc_id").orderBy("doc_id").collect()
+    return [(r.doc_id, r.text, r.toxic, r.quality) for r in rows]
+
+
+def split(rows, label, parts, held):
+    """(texts and labels to learn from, those held out)."""
+    known = [r for r in rows if r[label] is not None]
+    side = [zlib.crc32(str(r[0]).encode()) % parts == held for r in known]
+    return [([r[1] for r, s in zip(known, side, strict=True) if s == out], np.array([r[label] for r, s in zip(known, side, strict=True) if s == out])) for out in (False, True)]
+
+
+def test_toxicity_finds_held_out_rows_of_both_kinds(labelled):
+    (texts, y), (others, z) = split(labelled, 2, 3, 1)
+    got = toxicity.train(texts, y).score(others) >= toxicity.THRESHOLD
+    assert got[z == 1].mean() > 0.87 and got[z == 0].mean() < 0.02
+
+
+def test_quality_network_tells_held_out_rows_of_both_kinds(labelled):
+    (texts, y), (others, z) = split(labelled, 3, 5, 0)
+    some = np.concatenate([np.flatnonzero(y == k)[: quality_cnn.SAMPLE] for k in (0, 1)])
+    model = quality_cnn.train([texts[k] for k in some], y[some], int((y == 1).sum()), int((y == 0).sum()))
+    got = model.score(others) >= quality_cnn.THRESHOLD
+    assert got[z == 1].mean() > 0.98 and got[z == 0].mean() < 0.08
+
+
+def test_quality_network_query(spark, sf_dir):
+    rows = QUERIES["op3_quality_cnn"](spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_recurrences_are_seen_at_the_nearest_place():
+    x = np.frombuffer(b"abcdefgh" * 3 + b"same wordsame word....", np.uint8)
+    padded = np.pad(x, (0, 100 - len(x)))[None]
+    kind = quality_cnn.inputs(padded, np.array([len(x)]))[0] >> 8
+    for p in range(100):
+        back = next((k for k in range(1, quality_cnn.LAGS + 1) if p - k >= 0 and p + 4 <= len(x) and (x[p : p + 4] == x[p - k : p - k + 4]).all()), 0)
+        assert kind[p] == (0 if not back else (back - 1) // quality_cnn.LAG_STEP + 1)
+
+
+def test_models_without_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    none = docs.selectExpr("doc_id", "CAST(NULL AS INT) AS label")
+    assert toxicity.toxicity(docs, toxicity.fit(docs, none, F.lit(True))).where("score < 0.01").count() == docs.count()
+    assert quality_cnn.quality(docs, quality_cnn.fit(docs, none.where("false"), F.lit(True))).where("score > 0.99").count() == docs.count()
+    assert language.identify(docs, language.fit(docs, none.selectExpr("doc_id", "CAST(label AS STRING) AS label"), F.lit(True))).where("lang_pred = 'und'").count() == docs.count()
 
 
 def test_quality_network_covers_all_bytes():
