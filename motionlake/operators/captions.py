@@ -203,3 +203,25 @@ def score_annotation(truth: DataFrame, got: DataFrame) -> DataFrame:
 
     both = truth.join(got.select("rig", "j", F.col("label").alias("_g")), ["rig", "j"], "left")
     return both.groupBy(hash_half(F.col("rig")).alias("half")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("_g") == F.col("label"), F.lit(False)).cast("double")).alias("accuracy"))
+
+
+def extra_captions(normal: DataFrame, extra: DataFrame, subject: str, rewrites: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(captions of a further version for clips that have a normal one, by the same rules; (kind, n): entries for unknown clips and clips without an entry)."""
+    known = extra.join(normal.select("clip"), "clip", "left_semi")
+    none = known.where("false").select("clip", "text")
+    counts = extra.join(normal.select("clip"), "clip", "left_anti").agg(F.lit("unknown").alias("kind"), F.count(F.lit(1)).alias("n"))
+    missing = normal.join(extra.select("clip"), "clip", "left_anti").agg(F.lit("missing").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return normalize_captions(known.select("clip", "text"), none, subject, rewrites), counts.unionByName(missing)
+
+
+def render_completeness(views: DataFrame, wanted: list[str]) -> DataFrame:
+    """views(clip, view, frames, has_meta), one row a rendered view: (clip, reason), null where all wanted views are there with metadata and as many frames."""
+    per = views.where(F.col("view").isin(*wanted)).groupBy("clip").agg(F.count_distinct("view").alias("n"), F.bool_and("has_meta").alias("meta"), F.min("frames").alias("low"), F.max("frames").alias("high"))
+    clips = views.select("clip").distinct().join(per, "clip", "left")
+    reason = F.when(F.coalesce("n", F.lit(0)) < len(set(wanted)), "a view is missing").when(~F.col("meta"), "no metadata").when(F.col("low") == 0, "no frames").when(F.col("low") != F.col("high"), "frames differ")
+    return clips.select("clip", reason.alias("reason"))
+
+
+def leaky_json(text: Column, schema: str) -> Column:
+    """The JSON object that stands somewhere in a text; null if none can be read."""
+    return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)

@@ -242,3 +242,35 @@ def root_travel(positions: DataFrame, height: Column, frames: int = 200) -> Data
     ends = root.groupBy("clip").agg(F.min_by(F.struct("px", "pz"), "frame").alias("a"), F.max_by(F.struct("px", "pz"), "frame").alias("b"))
     net = F.sqrt(F.pow(F.col("b.px") - F.col("a.px"), 2) + F.pow(F.col("b.pz") - F.col("a.pz"), 2))
     return ends.select("clip", F.bround(net / height, 3).alias("net"))
+
+
+def truncate_window(clips: DataFrame, length: int) -> DataFrame:
+    """clips(clip, n_frames): one window a clip, its first `length` frames."""
+    return clips.select(*clips.columns, F.lit(0).alias("segment"), F.lit(0).alias("start"), F.least(F.col("n_frames"), F.lit(length)).cast("int").alias("end"))
+
+
+def default_stride(longest: int, training: int) -> int:
+    """The stride at which every training window lies in some clip; clips must be longer than the window."""
+    if longest <= training:
+        raise ValueError("clips must be longer than the training window")
+    return longest - training
+
+
+def canonical_place(positions: DataFrame, pairs: DataFrame, scales: DataFrame) -> DataFrame:
+    """positions(clip, rig, frame, j, px, py, pz), pairs(rig, right, left), scales(rig, scale): each clip turned so that its first frame faces +Z, with the root above the origin there, scaled.
+
+    A rig without a pair, or whose pair has no lateral extent there, isn't turned; one without a scale isn't scaled.
+    """
+    first = positions.groupBy("clip", "rig", "j").agg(F.min_by(F.struct(*AXES), "frame").alias("p"))
+    root = first.where("j = 0").select("clip", "rig", F.col("p.px").alias("_rx"), F.col("p.pz").alias("_rz"))
+    right = first.select("clip", F.col("j").alias("right"), F.col("p").alias("_r"))
+    left = first.select("clip", F.col("j").alias("left"), F.col("p").alias("_l"))
+    own = root.join(pairs, "rig", "left").join(right, ["clip", "right"], "left").join(left, ["clip", "left"], "left").join(scales, "rig", "left")
+    # forward is up x lateral
+    fx, fz = F.col("_r.pz") - F.col("_l.pz"), F.col("_l.px") - F.col("_r.px")
+    norm = F.sqrt(fx * fx + fz * fz)
+    turned = norm >= 1e-6
+    own = own.select("clip", "_rx", "_rz", F.when(turned, fx / norm).otherwise(0.0).alias("_fx"), F.when(turned, fz / norm).otherwise(1.0).alias("_fz"), F.coalesce("scale", F.lit(1.0)).alias("_k"))
+    dx, dz = F.col("px") - F.col("_rx"), F.col("pz") - F.col("_rz")
+    placed = {"px": (dx * F.col("_fz") - dz * F.col("_fx")) * F.col("_k"), "py": F.col("py") * F.col("_k"), "pz": (dx * F.col("_fx") + dz * F.col("_fz")) * F.col("_k")}
+    return positions.join(own, "clip").select(*(placed[c].alias(c) if c in placed else F.col(c) for c in positions.columns))

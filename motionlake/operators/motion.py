@@ -127,3 +127,24 @@ def rotation_amplitude(frames: DataFrame) -> DataFrame:
     rows = frames.select("clip", "frame", F.posexplode("pose").alias("j", "s"))
     first = F.first("s.q").over(Window.partitionBy("clip", "j").orderBy("frame"))
     return rows.withColumn("_0", first).groupBy("clip", "j").agg(F.max(q_angle(F.col("s.q"), F.col("_0"))).alias("amplitude"))
+
+
+def realign_clip(turns: DataFrame) -> DataFrame:
+    """turns(clip, frame, j, parent, q): root turns are counted from the clip's first, which its children take over; other joints stay."""
+    first = turns.where("parent < 0").groupBy("clip").agg(F.min_by("q", "frame").alias("_q"))
+    q = F.when(F.col("parent") < 0, qmul(F.col("q"), qconj(F.col("_q")))).when(F.col("parent") == 0, qmul(F.col("_q"), F.col("q"))).otherwise(F.col("q"))
+    return turns.join(first, "clip").withColumn("q", q).drop("_q")
+
+
+def root_offset_patch(turns: DataFrame, patches: DataFrame) -> DataFrame:
+    """turns(clip, frame, j, parent, q), patches(clip, offset): the root's turn times the patch. It starts from the raw table, so it can be run again, changed or left out; `applied` keeps the offset for audits."""
+    out = turns.join(patches.select("clip", F.col("offset").alias("applied")), "clip", "left")
+    return out.withColumn("q", F.when((F.col("parent") < 0) & F.col("applied").isNotNull(), qmul(F.col("q"), F.col("applied"))).otherwise(F.col("q")))
+
+
+def rest_orientation_patch(rests: DataFrame, patches: DataFrame) -> DataFrame:
+    """rests(rig, j, parent, p, q), patches(rig, turn, shift): the root's rest place and turn get `turn`, the place then `shift`."""
+    out = rests.join(patches, "rig", "left")
+    patched = (F.col("parent") < 0) & F.col("turn").isNotNull()
+    p = F.when(patched, vadd(qrot(F.col("turn"), F.col("p")), F.col("shift"))).otherwise(F.col("p"))
+    return out.withColumn("p", p).withColumn("q", F.when(patched, qmul(F.col("turn"), F.col("q"))).otherwise(F.col("q"))).drop("turn", "shift")

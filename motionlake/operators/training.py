@@ -210,3 +210,42 @@ def export_batches(clips: DataFrame, size: int, order: Column) -> DataFrame:
     per = per.withColumn("_before", before).drop("_c")
     out = b.join(per, "_b").join(F.broadcast(total), F.lit(True)).withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_o", "clip")) - 1)
     return out.withColumn("batch", F.expr(f"_k DIV {size}")).where(F.col("batch") < F.expr(f"_t DIV {size}")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), "clip"))).alias("_c")).select("batch", F.transform("_c", lambda x: x["clip"]).alias("clips"))
+
+
+def _draw(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) from the first six digits of the seeded order."""
+    return F.conv(F.substring(seeded_order(seed, F.concat_ws("/", *keys)), 1, 6), 16, 10).cast("double") / 16777216
+
+
+def _children(joints: DataFrame) -> DataFrame:
+    return joints.where("parent >= 0").groupBy("rig", F.col("parent").alias("j")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def aug_leaf_removal(joints: DataFrame, share: float, seed: int) -> DataFrame:
+    """joints(rig, j, parent, ...) without a seeded share of each rig's leaves; roots stay."""
+    rows = joints.join(_children(joints), ["rig", "j"], "left")
+    leaf = F.col("_c").isNull() & (F.col("parent") >= 0)
+    return rows.where(~leaf | (_draw(seed, F.col("rig"), F.col("j")) >= share)).select(*joints.columns)
+
+
+def aug_joint_addition(joints: DataFrame, share: float, seed: int) -> DataFrame:
+    """joints(rig, j, parent, ox, oy, oz): a seeded share of bones get a joint in their middle, numbered after the rig's others."""
+    n = joints.groupBy("rig").agg((F.max("j") + 1).alias("_n"))
+    rows = joints.join(n, "rig").withColumn("_pick", (F.col("parent") >= 0) & (_draw(seed, F.col("rig"), F.col("j")) < share))
+    half = [(F.col(a) / F.when(F.col("_pick"), 2).otherwise(1)).alias(a) for a in ("ox", "oy", "oz")]
+    own = rows.select("rig", "j", F.when(F.col("_pick"), F.col("_n") + F.col("j")).otherwise(F.col("parent")).alias("parent"), *half)
+    return own.union(rows.where("_pick").select("rig", (F.col("_n") + F.col("j")).alias("j"), "parent", *half))
+
+
+def aug_pooling(joints: DataFrame, depths: DataFrame) -> DataFrame:
+    """joints(rig, j, parent, ox, oy, oz), depths(rig, j, depth): joints at odd depths with one child go, which takes over their parent and adds their offset."""
+    odd = joints.join(_children(joints).where("_c = 1"), ["rig", "j"]).join(depths.where("depth % 2 = 1"), ["rig", "j"])
+    gone = odd.select("rig", F.col("j").alias("parent"), F.col("parent").alias("_up"), *(F.col(a).alias(f"_{a}") for a in ("ox", "oy", "oz")))
+    kept = joints.join(odd.select("rig", "j"), ["rig", "j"], "left_anti").join(gone, ["rig", "parent"], "left")
+    return kept.select("rig", "j", F.coalesce("_up", "parent").alias("parent"), *((F.col(a) + F.coalesce(f"_{a}", F.lit(0.0))).alias(a) for a in ("ox", "oy", "oz")))
+
+
+def aug_bone_scale(joints: DataFrame, low: float, high: float, seed: int) -> DataFrame:
+    """joints(rig, j, parent, ox, oy, oz) with each bone's offset scaled by a seeded factor; roots keep theirs."""
+    k = F.when(F.col("parent") < 0, 1.0).otherwise(low + (high - low) * _draw(seed, F.col("rig"), F.col("j")))
+    return joints.select("rig", "j", "parent", *((F.col(a) * k).alias(a) for a in ("ox", "oy", "oz")))

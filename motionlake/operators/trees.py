@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import let, qmul, qrot, qunit, quat, vadd, vec, vnorm
@@ -101,11 +101,52 @@ def rest_consistency(rigs: DataFrame, stated: str = "stated") -> DataFrame:
     return out.select("rig", F.array_max(apart).alias("error"))
 
 
+def signatures(joints: Column) -> Column:
+    """For each joint, from the last to the first, (j, parent, sig): SHA-1 of its name and its children's signatures, sorted."""
+    def step(done: Column, x: Column) -> Column:
+        below = F.array_sort(F.transform(F.filter(done, lambda d: d["parent"] == x["j"]), lambda d: d["sig"]))
+        sig = F.sha1(F.concat(x["name"], F.lit("("), F.array_join(below, ","), F.lit(")")))
+        return F.concat(done, F.array(F.struct(x["j"].alias("j"), x["parent"].alias("parent"), sig.alias("sig"))))
+
+    return F.aggregate(F.reverse(joints), F.array().cast("array<struct<j:int,parent:int,sig:string>>"), step)
+
+
 def tree_template_key(joints: DataFrame) -> DataFrame:
-    """SHA-1 of a rig's names by their places in the tree, whatever the order of siblings: joints' name paths from the root, sorted."""
-    rigs = to_rigs(joints, ["parent", "name"])
-    paths = down(F.col("joints"), lambda x: x["name"], lambda up, x: F.concat(up, F.lit("/"), x["name"]))
-    return rigs.select("rig", F.sha1(F.array_join(F.array_sort(paths), "\n")).alias("template"))
+    """(rig, template): the root's signature, which names and the places of subtrees decide, whatever the order of siblings; of several roots all."""
+    rigs = to_rigs(joints.select("rig", F.col("j").cast("int").alias("j"), F.col("parent").cast("int").alias("parent"), "name"), ["parent", "name"])
+    roots = F.array_sort(F.transform(F.filter(signatures(F.col("joints")), lambda d: d["parent"] < 0), lambda d: d["sig"]))
+    return rigs.select("rig", F.array_join(roots, ",").alias("template"))
+
+
+def tree_positions(joints: DataFrame) -> DataFrame:
+    """(rig, j, template, position): a joint's position is the signatures from its root to it, which siblings with like subtrees share."""
+    rigs = to_rigs(joints.select("rig", F.col("j").cast("int").alias("j"), F.col("parent").cast("int").alias("parent"), "name"), ["parent", "name"])
+    signed = rigs.select("rig", F.array_sort(F.transform(signatures(F.col("joints")), lambda d: F.struct(d["j"].alias("j"), d["parent"].alias("parent"), d["sig"].alias("sig")))).alias("joints"))
+    placed = signed.withColumn("position", down(F.col("joints"), lambda x: x["sig"], lambda up, x: F.concat(up, F.lit("/"), x["sig"])))
+    roots = F.array_sort(F.transform(F.filter("joints", lambda d: d["parent"] < 0), lambda d: d["sig"]))
+    rows = placed.select("rig", F.array_join(roots, ",").alias("template"), F.explode(F.arrays_zip(F.transform("joints", lambda x: x["j"]).alias("j"), "position")).alias("p"))
+    return rows.select("rig", "p.j", "template", F.sha1("p.position").alias("position"))
+
+
+def bfs_reorder(joints: DataFrame) -> DataFrame:
+    """joints(rig, j, parent, length): (rig, j, new, new_parent), breadth-first; among siblings larger subtrees first, then shorter bones."""
+    rigs = to_rigs(joints, ["parent", "length"]).withColumn("anc", ancestors(F.col("joints")))
+    rows = rigs.select("rig", F.explode(F.arrays_zip("joints", "anc")).alias("x")).select("rig", "x.joints.*", "x.anc")
+    size = rows.select("rig", F.explode("anc").alias("j")).groupBy("rig", "j").agg(F.count(F.lit(1)).alias("size"))
+    ranked = rows.join(size, ["rig", "j"]).withColumn("place", F.row_number().over(Window.partitionBy("rig", "parent").orderBy(F.desc("size"), "length", "j")))
+    places = ranked.groupBy("rig").agg(F.map_from_entries(F.collect_list(F.struct("j", "place"))).alias("places"))
+    path = ranked.join(places, "rig").withColumn("path", F.transform("anc", lambda a: F.col("places")[a]))
+    out = path.select("rig", "j", "parent", (F.row_number().over(Window.partitionBy("rig").orderBy(F.size("anc"), "path")) - 1).alias("new"))
+    up = out.select("rig", F.col("j").alias("parent"), F.col("new").alias("new_parent"))
+    return out.join(up, ["rig", "parent"], "left").select("rig", "j", "new", F.coalesce("new_parent", F.lit(-1)).alias("new_parent"))
+
+
+def topology_condition(joints: DataFrame) -> DataFrame:
+    """joints(rig, j, parent, name, length): one row a rig with the joints in order (parent, name, depth), its template, diameter and chains."""
+    rigs = to_rigs(joints, ["parent", "name"]).withColumn("depth", depths(F.col("joints")))
+    rows = rigs.select("rig", F.size("joints").alias("n_joints"), F.transform(F.arrays_zip("joints", "depth"), lambda x: F.struct(x["joints"]["parent"].alias("parent"), x["joints"]["name"].alias("name"), x["depth"].alias("depth"))).alias("joints"))
+    chains = kinematic_chains(joints).groupBy("rig").agg(F.array_sort(F.collect_list("joints")).alias("chains"))
+    return rows.join(tree_template_key(joints), "rig").join(skeleton_diameter(joints), "rig").join(chains, "rig")
 
 
 def local_pose(ox: str, oy: str, oz: str) -> list[Column]:

@@ -95,24 +95,11 @@ KINEMATICS = with_views(
 )
 
 
-def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (raw,) = load(spark, sf_dir, "labels_raw")
-    return t.tree_template_key(raw.select("rig", "j", "parent", F.regexp_replace("raw", "_[0-9]+$", "").alias("name")))
-
-
-TEMPLATES = with_views(
-    """, n AS (SELECT rig, j, parent, regexp_replace(raw, '_[0-9]+$', '') AS name FROM labels_raw),
-    p AS (WITH RECURSIVE a AS (SELECT rig, j, name AS path FROM n WHERE parent < 0 UNION ALL SELECT a.rig, n.j, a.path || '/' || n.name FROM a JOIN n ON n.rig = a.rig AND n.parent = a.j) SELECT * FROM a)
-    SELECT rig, sha1(string_agg(path, chr(10) ORDER BY path)) AS template FROM p GROUP BY rig""",
-    "labels_raw",
-)
-
 QUERIES = {
     "j1_j2_edges_and_depths": (depths, DEPTHS),
     "j3_j4_joint_pairs": (pairs, PAIRS),
     "j5_kinematic_chains": (chains, CHAINS),
     "j9_descendants": (below, BELOW),
-    "j10_tree_template_key": (templates, TEMPLATES),
     "g3_skeleton_diameter": (diameters, DIAMETERS),
     "g1_g15_forward_kinematics": (kinematics, KINEMATICS),
 }
