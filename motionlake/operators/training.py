@@ -62,11 +62,23 @@ def split_explicit(clips: DataFrame, test_rigs: DataFrame) -> tuple[DataFrame, D
 
 
 def split_by_rig(clips: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
-    """Holds out round(n * ratio) rigs, half to even, never all of them."""
-    rigs = clips.select("rig").distinct().withColumn("_k", F.row_number().over(Window.orderBy(seeded_order(seed, F.col("rig")))))
-    n = rigs.agg(F.least(F.bround(F.count(F.lit(1)) * F.lit(ratio), 0), F.count(F.lit(1)) - 1).alias("_n"))
-    held = rigs.join(F.broadcast(n), F.lit(True)).select("rig", F.when(F.col("_k") <= F.col("_n"), "test").otherwise("train").alias("split"))
-    return clips.join(held, "rig")
+    """Holds out round(n * ratio) rigs, half to even, never all of them.
+
+    Those are the first in a seeded order. They are counted by its first three
+    digits, and only the range in which the last of them lies is ranked.
+    """
+    rigs = clips.select("rig").distinct().withColumn("_o", seeded_order(seed, F.col("rig"))).withColumn("_b", F.substring("_o", 1, 3))
+    counts = sorted((r["_b"], r["count"]) for r in rigs.groupBy("_b").count().collect())
+    n = sum(c for _, c in counts)
+    left, edge = max(0, min(round(n * ratio), n - 1)), ""
+    for edge, c in counts:
+        if left <= c:
+            break
+        left -= c
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_o", "rig"))
+    inside = rigs.where(F.col("_b") == edge).select("rig", (rank <= left).alias("_held"))
+    others = rigs.where(F.col("_b") != edge).select("rig", (F.col("_b") < edge).alias("_held"))
+    return clips.join(inside.union(others).select("rig", F.when(F.col("_held"), "test").otherwise("train").alias("split")), "rig")
 
 
 def split_by_clip(clips: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
@@ -93,8 +105,8 @@ def sampling_weights(clips: DataFrame, alpha: float = 0.5, beta: float | None =
     rig = Window.partitionBy("dataset", "rig")
     out = clips.withColumn("_n", F.count(F.lit(1)).over(rig))
     if beta is None:
-        raw = F.pow("_n", F.lit(-alpha))
-        return out.withColumn("_w", raw).withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(0)))).drop("_n", "_w")
+        total = clips.groupBy("dataset", "rig").agg(F.count(F.lit(1)).alias("_m")).agg(F.sum(F.pow("_m", F.lit(1 - alpha))).alias("_t"))
+        return out.join(F.broadcast(total), F.lit(True)).withColumn("weight", F.pow("_n", F.lit(-alpha)) / F.col("_t")).drop("_n", "_t")
     per_rig = out.groupBy("dataset", "rig").agg(F.count(F.lit(1)).alias("_m"))
     data = per_rig.groupBy("dataset").agg(F.sum("_m").alias("_d"), F.sum(F.pow("_m", F.lit(1 - alpha))).alias("_r")).withColumn("_share", F.pow("_d", F.lit(1 - beta)))
     total = data.agg(F.sum("_share").alias("_t"))

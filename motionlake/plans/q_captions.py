@@ -22,12 +22,12 @@ doc_id % 3 = 0 OR regexp_matches(text, '(?i)\\b(?:sword|shield|staff|spear|ball|
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    text = F.concat(F.lit("\n \nCaption: \"The animal "), F.substring(F.regexp_replace("text", r"[.!?\"'\n]", ""), 1, 40), F.lit("\"\nmore"))
+    text = F.concat(F.lit("\n \nCaption: \"The animal "), F.regexp_replace("text", r"[.!?\"'\n]", ""), F.lit("\"\nmore"))
     clean = c.clean_answer(text)
     return conversations.select("conv_id", "turn", clean.alias("answer"), c.validate_rewrite(clean, "The animal").alias("reason"))
 
 
-ANSWERS = """WITH a AS (SELECT conv_id, turn, 'The animal ' || substr(regexp_replace(text, '[.!?"''\\n]', '', 'g'), 1, 40) AS t FROM conversations), b AS (SELECT conv_id, turn, trim(t, ' ') AS t FROM a)
+ANSWERS = """WITH a AS (SELECT conv_id, turn, 'The animal ' || regexp_replace(text, '[.!?"''\\n]', '', 'g') AS t FROM conversations), b AS (SELECT conv_id, turn, trim(t, ' ') AS t FROM a)
 SELECT conv_id, turn, a.t || '.' AS answer, CASE WHEN regexp_matches(a.t, '(?i)\\b(?:sword|shield|staff|spear|ball|cup|gun|bow|chair|table)s?\\b') THEN 'prop' WHEN len(regexp_extract_all(a.t || '.', '\\S+')) > 18 THEN 'too long' WHEN regexp_matches(lower(a.t), '\\b(?:caption|rewrite|rewritten)\\b') THEN 'meta' END AS reason FROM a"""
 
 
@@ -47,12 +47,12 @@ REWRITES = with_views(
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     (captions,) = load(spark, sf_dir, "captions")
-    own = captions.select("clip", F.concat(F.lit("  the  "), F.substring("text", 1, 10), F.lit(" ")).alias("text"))
+    own = captions.select("clip", F.concat(F.lit("  the  "), F.col("text"), F.lit(" ")).alias("text"))
     return c.normalize_captions(own, captions.where("lang = 'fr'").select("clip", F.lit("An animal  runs").alias("text")), "animal", {"the": "an animal"}).select("clip", "text", "has_subject")
 
 
 NORMALIZED = with_views(
-    """, t AS (SELECT clip, trim(regexp_replace(regexp_replace(trim(CASE WHEN lang = 'fr' THEN 'An animal  runs' ELSE '  the  ' || substr(text, 1, 10) || ' ' END), 'the', 'an animal', 'g'), '\\s+', ' ', 'g')) AS t FROM captions)
+    """, t AS (SELECT clip, trim(regexp_replace(regexp_replace(trim(CASE WHEN lang = 'fr' THEN 'An animal  runs' ELSE '  the  ' || text || ' ' END), 'the', 'an animal', 'g'), '\\s+', ' ', 'g')) AS t FROM captions)
     SELECT clip, CASE WHEN regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS text, strpos(lower(t), 'animal') > 0 AS has_subject FROM t""",
     "captions",
 )
@@ -106,11 +106,11 @@ VOTE_RESULTS = with_views(
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     (captions,) = load(spark, sf_dir, "captions")
-    return c.caption_evidence(captions.select("clip", "rig", F.substring("text", 1, 4).alias("text")), "clip")
+    return c.caption_evidence(captions.select("clip", "rig", "text"), "clip")
 
 
 EVIDENCE = with_views(
-    """, s AS (SELECT rig, substr(text, 1, 4) AS text, min(clip) AS f FROM captions GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY rig ORDER BY f, text) AS k FROM s)
+    """, s AS (SELECT rig, text, min(clip) AS f FROM captions GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY rig ORDER BY f, text) AS k FROM s)
     SELECT rig, list(text ORDER BY k) AS texts FROM r WHERE k <= 6 GROUP BY rig""",
     "captions",
 )

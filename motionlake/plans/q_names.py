@@ -14,14 +14,14 @@ from .views import load, with_views
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     (captions,) = load(spark, sf_dir, "captions")
     key = F.concat("clip", F.lit("-007"))
-    return captions.select("clip", n.object_type_of(F.col("clip")).alias("rig_of"), n.export_stem(key).alias("stem"), n.sanitize_rig_name(F.substring("text", 1, 30)).alias("rig_name"), n.slug(F.col("text")).alias("slug"))
+    return captions.select("clip", n.object_type_of(F.col("clip")).alias("rig_of"), n.export_stem(key).alias("stem"), n.sanitize_rig_name(F.col("text")).alias("rig_name"), n.slug(F.col("text")).alias("slug"))
 
 
 NAME_KEYS = with_views(
     """, w AS (SELECT clip, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM captions),
     k AS (SELECT clip, unnest(range(1, len(w) + 1)) AS i, w FROM w),
     l AS (SELECT clip, w, max(i) AS m FROM k WHERE length(array_to_string(w[1:i], '_')) <= 48 GROUP BY clip, w)
-    SELECT c.clip, split_part(c.clip, '-', 1) AS rig_of, c.clip AS stem, regexp_replace(substr(c.text, 1, 30), '[-\\s]', '_', 'g') AS rig_name,
+    SELECT c.clip, split_part(c.clip, '-', 1) AS rig_of, c.clip AS stem, regexp_replace(c.text, '[-\\s]', '_', 'g') AS rig_name,
     coalesce(array_to_string(l.w[1:m], '_'), 'case') AS slug FROM captions c LEFT JOIN l ON l.clip = c.clip""",
     "captions",
 )

@@ -1,7 +1,8 @@
 """Corpus tables derived from the test tables: rigs, joints, clips, frames, positions, captions, votes and raw labels.
 
 Each is one SQL text that Spark and DuckDB both run, so a query and the SQL that
-it is held against start from the same rows.
+it is held against start from the same rows. A rig's number is its order's; a user's
+clip hangs on the rig with the user's number, if there is one.
 """
 
 from __future__ import annotations
@@ -13,15 +14,14 @@ VIEWS = {
     "joints": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS jj FROM lineitem)
 SELECT 'o' || CAST(l_orderkey AS STRING) AS rig, CAST(jj AS INT) AS j, CASE WHEN jj = 0 THEN -1 ELSE CAST(floor((jj - 1) / 2.0) AS INT) END AS parent,
 (l_discount - 0.05) * 10 AS ox, l_quantity / 50.0 AS oy, (l_tax - 0.04) * 10 AS oz, l_partkey AS part FROM n""",
-    "rigs": "SELECT rig, row_number() OVER (ORDER BY rig) - 1 AS r, n_joints FROM (SELECT rig, count(*) AS n_joints FROM joints GROUP BY rig) t",
-    "clips": """SELECT u.user_id, g.rig, g.n_joints, g.rig || '-u' || CAST(u.user_id AS STRING) AS clip
-FROM (SELECT x.user_id, x.user_id % k.n AS r FROM (SELECT DISTINCT user_id FROM events) x CROSS JOIN (SELECT count(*) AS n FROM rigs) k) u JOIN rigs g ON g.r = u.r""",
+    "rigs": "SELECT rig, CAST(substr(rig, 2) AS BIGINT) AS r, count(*) AS n_joints FROM joints GROUP BY rig",
+    "clips": """SELECT u.user_id, g.rig, g.n_joints, g.rig || '-u' || CAST(u.user_id AS STRING) AS clip FROM (SELECT DISTINCT user_id FROM events) u JOIN rigs g ON g.r = u.user_id""",
     "frames": """SELECT c.clip, c.rig, CAST(e.f AS INT) AS frame, e.s FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
 sum(CASE WHEN event_type IN ('click', 'purchase') THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1000.0 AS s FROM events) e
 JOIN clips c ON c.user_id = e.user_id""",
     "positions": """SELECT f.clip, f.rig, f.frame, j.j, j.ox + f.s + 0.05 * sin(f.s * (j.j + 1)) AS px, j.oy + 0.05 * cos(f.s * (j.j + 1)) AS py, j.oz AS pz
 FROM frames f JOIN joints j ON j.rig = f.rig""",
-    "captions": "SELECT source || '-' || lpad(CAST(doc_id AS STRING), 6, '0') AS clip, source AS rig, substr(text, 1, 80) AS text, lang FROM documents",
+    "captions": "SELECT source || '-' || lpad(CAST(doc_id AS STRING), 6, '0') AS clip, source AS rig, text, lang FROM documents",
     "votes": """SELECT 'a' || CAST(conv_id AS STRING) AS asset, turn AS ord, CASE length(text) % 4 WHEN 0 THEN 'bipedal' WHEN 1 THEN 'quadrupedal' WHEN 2 THEN 'avian' ELSE 'uncertain' END AS category,
 CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM conversations""",
     "labels_raw": """SELECT j.rig, j.j, j.parent, CASE j.part % 3 WHEN 0 THEN 'Left' WHEN 1 THEN 'Right' ELSE '' END || CASE CAST(floor(j.part / 3.0) AS INT) % 6 WHEN 0 THEN 'UpLeg' WHEN 1 THEN 'Leg' WHEN 2 THEN 'Arm' WHEN 3 THEN 'ForeArm' WHEN 4 THEN 'Spine' ELSE 'Bone' END || '_' || lpad(CAST(j.j AS STRING), 3, '0') AS raw FROM joints j""",
