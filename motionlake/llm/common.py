@@ -28,9 +28,42 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()} & {_plain(p) for p in _tables})
+
+
+def staged_paths() -> set[str]:
+    """The folders of the tables that are staged now."""
+    return set(_tables)
+
+
+def release(docs: DataFrame, paths: set[str]) -> None:
+    """Delete those staged tables that docs doesn't read."""
+    _delete(docs.sparkSession, {_plain(p) for p in paths} - {f.rpartition("/")[0] for f in docs.inputFiles()})
+
+
+#: Paths of staged tables.
+_tables: set[str] = set()
+
+
+def _plain(path: str) -> str:
+    """A path as inputFiles() has it."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in [p for p in _tables if _plain(p) in paths]:
+        _tables.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts fit a Python worker."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import rest_of, small_batches, staged
+from .common import discard, rest_of, small_batches, staged
 from .components import components
 from .simhash import _LOWER, NO_ID, one_of_each
 
@@ -46,6 +46,8 @@ SMALL = 16
 SAMPLE = 20_000
 COMMON = 50_000
 BLOCK = 1024
+#: Texts of a bucket up to which its pairs are made side by side with other buckets'.
+ROWS = 64
 #: Longs of parities, a power of two.
 MARKS = 8
 PREFIXES = "h long, node long, n int, pos int, marks array<long>"
@@ -125,21 +127,33 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.
         new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.concatenate((new, [len(h)])))
         a, b, keys, held = [], [], [], 0
-        for g in np.flatnonzero(size > 1).tolist():
+        # buckets of few texts side by side: each row with the next, the one after it, and so on, as far as a bucket goes
+        few = ROWS if rest else SMALL
+        i, d = np.flatnonzero((h[1:] == h[:-1]) & (np.repeat(size, size) <= few)[:-1]), 1
+        while len(i):
+            ok = _possible(n, pos, i, i + d)
+            if rest:
+                ok &= root[i] != root[i + d]
+            a.append(node[i[ok]])
+            b.append(node[i[ok] + d])
+            d += 1
+            i = i[i + d < len(h)]
+            i = i[h[i] == h[i + d]]
+        for g in np.flatnonzero(size > few).tolist():
             s, m = int(new[g]), int(size[g])
-            if not rest and m > SMALL:
+            if not rest:
                 i, j = np.full(m - 1, s), np.arange(s + 1, s + m)
                 ok = _possible(n, pos, i, j)
                 a.append(node[i[ok]])
                 b.append(node[j[ok]])
-                # Chains of neighbours connect what the first doesn't reach.
+                # chains of neighbours connect what the first doesn't reach
                 i = np.arange(s, s + m - 1)
-                ok = _possible(n, pos, i, j)
+                ok = _possible(n, pos, i, i + 1)
                 a.append(node[i[ok]])
-                b.append(node[j[ok]])
+                b.append(node[i[ok] + 1])
                 keys.append(int(h[s]))
                 held += 2 * m
-            elif rest and (root[s : s + m] == root[s]).all():
+            elif (root[s : s + m] == root[s]).all():
                 continue
             else:
                 for p in range(s, s + m, BLOCK):
@@ -147,9 +161,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.
                         if 4 * n[q] > 5 * n[min(p + BLOCK, s + m) - 1]:
                             break
                         i, j = (v.ravel() for v in np.meshgrid(np.arange(p, min(p + BLOCK, s + m)), np.arange(q, min(q + BLOCK, s + m)), indexing="ij"))
-                        ok = (i < j) & _possible(n, pos, i, j)
-                        if rest:
-                            ok &= root[i] != root[j]
+                        ok = (i < j) & _possible(n, pos, i, j) & (root[i] != root[j])
                         a.append(node[i[ok]])
                         b.append(node[j[ok]])
                         held += int(ok.sum())
@@ -194,7 +206,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = staged(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
     x, y = chosen.select(F.col("node").alias("a"), F.col("text").alias("x")), chosen.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    links = staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(chosen, pairs)
+    return links
 
 
 def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -243,12 +257,16 @@ def groups(docs: DataFrame) -> DataFrame:
     found = staged(pairs(rows.select("h", "node", "n", "pos", F.lit(0).cast("long").alias("root")), False), "candidates")
     links = close.union(_verified(_likely(_apart(found.where("b IS NOT NULL"), near), marks), docs))
     roots = components(links)
-    large = found.where("b IS NULL").select(F.col("a").alias("h"))
+    large = staged(found.where("b IS NULL").select(F.col("a").alias("h")), "large-buckets")
+    discard(found)
     if large.isEmpty():
+        discard(rows, marks)
         return roots
     left = rows.join(large, "h", "left_semi").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    more = _verified(_likely(staged(pairs(left, True), "candidates"), marks), docs)
-    return components(links.union(more))
+    found = staged(pairs(left, True), "candidates")
+    likely = _likely(found, marks)
+    discard(found, rows, marks)
+    return components(links.union(_verified(likely, docs)))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
