@@ -5,32 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import export_stem
 from ..operators import frames as fr
 from ..sources.staging import staged
 from .views import load
 
 LENGTH, STRIDE, LEAST = 40, 30, 8
+JOINTS = (2, 6)
 
 
-def build_clips(positions: DataFrame, skip_clips: DataFrame, skip_rigs: DataFrame, keep: DataFrame, activity: float = 0.02, step: float = 0.2, ratio: float = 8.0) -> tuple[DataFrame, DataFrame]:
-    """positions(clip, rig, frame, j, px, py, pz) to (frames of kept windows, rejects)."""
+def build_clips(
+    positions: DataFrame, skip_clips: DataFrame, skip_rigs: DataFrame, keep: DataFrame, trims: DataFrame, rates: DataFrame, captions: DataFrame, pairs: DataFrame, scales: DataFrame,
+    joints: tuple[int, int] = JOINTS, activity: float = 0.02, step: float = 0.2, ratio: float = 8.0,
+) -> tuple[DataFrame, DataFrame]:
+    """positions(clip, rig, frame, j, px, py, pz), trims(clip, n), rates(clip, fps), captions(clip), pairs(rig, right, left), scales(rig, scale) to (frames of kept windows, rejects).
+
+    Gates that need no geometry come first: skip lists, joint counts, captions,
+    head trims. Then frames are thinned, clips placed, trimmed and grounded, cut
+    into windows, and the windows gated. A clip is rejected once, by its first gate.
+    """
     chosen = fr.select_clips(positions, skip_clips, skip_rigs)
-    trimmed = staged(fr.ground_clip(fr.trim_static_ends(staged(chosen, "chosen"))), "trimmed")
-    short = fr.min_frames_gate(trimmed, LEAST)
-    sizes = trimmed.groupBy("clip").agg((F.max("frame") + 1).alias("n_frames")).join(short, "clip", "left_anti")
-    windows = fr.clip_windows(sizes, LENGTH, STRIDE)
+    clips = chosen.groupBy("clip", "rig").agg(F.count_distinct("j").alias("n_joints"), (F.max("frame") + 1).alias("n_frames"))
+    told = trims.groupBy("clip").agg(F.max("n").alias("n"))
+    has = captions.select("clip", F.lit(True).alias("caption")).distinct()
+    clips = clips.join(told, "clip", "left").join(has, "clip", "left").join(rates, "clip", "left")
+    reason = (
+        F.when(F.col("n_joints") < joints[0], "too few joints").when(F.col("n_joints") > joints[1], "too many joints")
+        .when(F.col("caption").isNull(), "no caption").when(F.col("n") >= F.col("n_frames"), "head trim takes all")
+    )
+    stage = F.when(F.col("n_joints").between(*joints), F.when(F.col("caption").isNull(), "captions").otherwise("head")).otherwise("joints")
+    clips = staged(clips.withColumn("reason", reason).withColumn("stage", stage), "clips")
+    early = clips.where("reason IS NOT NULL").select("clip", "stage", "reason")
+    good = clips.where("reason IS NULL")
+    # joints keep their order through the job; C11 aligns them before it
+    cut = fr.head_trim(chosen.join(good.select("clip"), "clip", "left_semi"), good.where("n > 0").select("clip", "n"))
+    thin = fr.downsample_halving(cut, good.select("clip", F.coalesce("fps", F.lit(30)).alias("fps"), (F.col("n_frames") - F.coalesce("n", F.lit(0))).alias("n_frames"))).drop("out_fps")
+    placed = staged(fr.canonical_place(thin, pairs, scales), "placed")
+    trimmed = staged(fr.ground_clip(fr.trim_static_ends(placed)), "trimmed")
+    left = trimmed.groupBy("clip").agg(F.count_distinct("frame").alias("n"), (F.max("frame") + 1).alias("n_frames"))
+    left = staged(good.select("clip").join(left, "clip", "left").select("clip", F.coalesce("n", F.lit(0)).alias("n"), "n_frames"), "sizes")
+    short = left.where(F.col("n") < LEAST).select("clip", F.lit("too few frames").alias("reason"))
+    windows = fr.clip_windows(left.where(F.col("n") >= LEAST).select("clip", "n_frames"), LENGTH, STRIDE)
     sliced = staged(fr.slice_frames(trimmed, windows), "windows")
-    still = fr.low_activity_gate(fr.activity_metrics(sliced), keep, activity)
-    jumps = fr.discontinuity_gate(fr.discontinuity_metrics(sliced), step, ratio)
-    rejects = fr.reject_ledger({"frames": short, "activity": still, "discontinuity": jumps})
-    bad = rejects.where("stage <> 'frames'").select("clip").distinct()
-    return sliced.join(bad, "clip", "left_anti"), rejects
+    metrics = fr.activity_metrics(sliced)
+    kept = sliced.select("clip").distinct().join(keep.select(F.col("clip").alias("_keep")), export_stem(F.col("clip")) == F.col("_keep")).select("clip")
+    still = fr.low_activity_gate(metrics, kept, activity)
+    jumps = fr.discontinuity_gate(fr.discontinuity_metrics(sliced), step, ratio).join(still.select("clip"), "clip", "left_anti")
+    rejects = staged(early.unionByName(fr.reject_ledger({"frames": short, "activity": still, "discontinuity": jumps})), "rejects")
+    return sliced.join(rejects.select("clip"), "clip", "left_anti"), rejects
+
+
+def corpus_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The job over the corpus tables, with lists, trims, rates, captions and pairs that some users and rigs have."""
+    positions, clips, rigs = load(spark, sf_dir, "positions", "clips", "rigs")
+    u = F.col("user_id")
+    trims = clips.where((u % 6 == 1) | (u % 17 == 0)).select("clip", F.when(u % 17 == 0, 500).otherwise(u % 7).cast("int").alias("n"))
+    rates = clips.select("clip", F.when(u % 5 == 2, 120).otherwise(30).alias("fps"))
+    return build_clips(
+        positions, clips.where(u % 11 == 0).select("clip"), rigs.where("r % 13 = 0").select("rig"), clips.where(u % 3 == 0).select("clip"), trims, rates, clips.where(u % 7 != 3).select("clip"),
+        rigs.where("n_joints >= 3").select("rig", F.lit(1).alias("right"), F.lit(2).alias("left")), rigs.where("r % 2 = 0").select("rig", F.lit(0.5).alias("scale")),
+    )
 
 
 def surviving_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which clips survive the gates, and how many frames each rig keeps."""
-    (positions,) = load(spark, sf_dir, "positions")
-    none = positions.where("false")
-    kept, _ = build_clips(positions, none.select("clip"), none.select("rig"), none.select("clip"))
+    kept, _ = corpus_clips(spark, sf_dir)
     per_clip = kept.groupBy("rig", "clip").agg(F.count_distinct("frame").alias("n_frames"))
     return per_clip.groupBy("rig").agg(F.count(F.lit(1)).alias("clips"), F.sum("n_frames").alias("frames"))
+
+
+def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each gate rejected, and why."""
+    return corpus_clips(spark, sf_dir)[1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames as fr
-from .build_clips import surviving_frames
+from .build_clips import rejected, surviving_frames
 from .views import load, with_views
 
 
@@ -273,26 +273,40 @@ TRAVEL = with_views(
     "positions",
 )
 
+_PLACED = """, c0 AS (SELECT p.clip, any_value(user_id) AS u, any_value(c.n_joints) AS nj, max(frame) + 1 AS nf FROM positions p JOIN clips c ON c.clip = p.clip WHERE user_id % 11 <> 0 AND user_id % 13 <> 0 GROUP BY p.clip),
+c1 AS (SELECT *, CASE WHEN u % 17 = 0 THEN 500 WHEN u % 6 = 1 THEN u % 7 ELSE 0 END AS cut, CASE WHEN u % 5 = 2 THEN 4 ELSE 1 END AS m FROM c0),
+c2 AS (SELECT *, CASE WHEN nj < 2 THEN 'too few joints' WHEN nj > 6 THEN 'too many joints' WHEN u % 7 = 3 THEN 'no caption' WHEN cut >= nf THEN 'head trim takes all' END AS reason FROM c1),
+th AS (SELECT p.clip, p.rig, CAST((frame - cut) // m AS INT) AS frame, j, px, py, pz, u, nj FROM positions p JOIN c2 ON c2.clip = p.clip WHERE reason IS NULL AND frame >= cut AND (frame - cut) % m = 0),
+f0 AS (SELECT clip, any_value(u) AS u, any_value(nj) AS nj, max(px) FILTER (j = 0) AS rx, max(pz) FILTER (j = 0) AS rz, max(pz) FILTER (j = 1) - max(pz) FILTER (j = 2) AS fx, max(px) FILTER (j = 2) - max(px) FILTER (j = 1) AS fz FROM th WHERE frame = 0 GROUP BY clip),
+f1 AS (SELECT clip, rx, rz, CASE WHEN u % 2 = 0 THEN 0.5 ELSE 1.0 END AS k, CASE WHEN nj >= 3 AND sqrt(fx * fx + fz * fz) >= 1e-6 THEN fx / sqrt(fx * fx + fz * fz) ELSE 0 END AS fx, CASE WHEN nj >= 3 AND sqrt(fx * fx + fz * fz) >= 1e-6 THEN fz / sqrt(fx * fx + fz * fz) ELSE 1 END AS fz FROM f0),
+placed AS (SELECT th.clip, rig, frame, j, ((px - rx) * fz - (pz - rz) * fx) * k AS px, py * k AS py, ((px - rx) * fx + (pz - rz) * fz) * k AS pz FROM th JOIN f1 ON f1.clip = th.clip)"""
 _SURVIVE = (
-    _TRIM
-    + """, sz AS (SELECT clip, CAST(max(frame) + 1 AS INT) AS t FROM tr GROUP BY clip HAVING count(DISTINCT frame) >= 8), k AS (SELECT clip, t, CASE WHEN t <= 40 THEN 0 ELSE (t - 40) // 30 END AS k FROM sz),
+    _PLACED
+    + _TRIM.replace("positions", "placed")
+    + """, sa AS (SELECT c2.clip, max(frame) + 1 AS t, count(DISTINCT frame) AS n FROM c2 LEFT JOIN tr ON tr.clip = c2.clip WHERE reason IS NULL GROUP BY c2.clip),
+sz AS (SELECT clip, CAST(t AS INT) AS t FROM sa WHERE n >= 8), k AS (SELECT clip, t, CASE WHEN t <= 40 THEN 0 ELSE (t - 40) // 30 END AS k FROM sz),
 e AS (SELECT clip, t, k, unnest(range(0, k + 1)) AS i FROM k),
 wi AS (SELECT clip, i AS segment, CASE WHEN t > 40 AND i = k AND i >= 1 AND t > k * 30 + 40 AND t - (k * 30 + 30) < 10 AND (k - 1) * 30 + 40 >= t - 40 THEN t - 40 ELSE i * 30 END AS start, t, k FROM e
 UNION ALL SELECT clip, k + 1, k * 30 + 30, t, k FROM k WHERE t > 40 AND t > k * 30 + 40 AND t - (k * 30 + 30) >= 10),
-sl AS (SELECT p.clip || '-' || segment AS clip, rig, frame - start AS frame, j, px, py, pz FROM tr p JOIN wi ON wi.clip = p.clip AND frame >= start AND frame < least(start + 40, t))"""
+sl AS (SELECT p.clip || '-' || lpad(CAST(segment AS VARCHAR), 3, '0') AS clip, p.clip AS stem, rig, frame - start AS frame, j, px, py, pz FROM tr p JOIN wi ON wi.clip = p.clip AND frame >= start AND frame < least(start + 40, t))"""
     + _ACTIVITY.format(p="sl")
     + """, ss AS (SELECT *, sqrt(pow(px - lag(px) OVER w, 2) + pow(py - lag(py) OVER w, 2) + pow(pz - lag(pz) OVER w, 2)) AS step FROM sl WINDOW w AS (PARTITION BY clip, j ORDER BY frame)),
-bx AS (SELECT clip, greatest(max(px) - min(px), max(py) - min(py), max(pz) - min(pz)) AS e FROM sl GROUP BY clip),
+bx AS (SELECT clip, any_value(stem) AS stem, any_value(rig) AS rig, count(DISTINCT frame) AS n, greatest(max(px) - min(px), max(py) - min(py), max(pz) - min(pz)) AS e FROM sl GROUP BY clip),
 fs AS (SELECT ss.clip, frame, avg(step) / any_value(greatest(e, 1e-9)) AS s FROM ss JOIN bx ON bx.clip = ss.clip WHERE step IS NOT NULL GROUP BY ss.clip, frame),
 md AS (SELECT clip, quantile_cont(s, 0.5) AS m, max(s) AS x FROM fs GROUP BY clip),
-ok AS (SELECT rig, sl.clip, count(DISTINCT frame) AS n FROM sl WHERE NOT EXISTS (SELECT 1 FROM ac WHERE ac.clip = sl.clip AND coalesce(top, 0) < 0.02 AND root < 0.02)
-AND NOT EXISTS (SELECT 1 FROM md WHERE md.clip = sl.clip AND x >= 0.2 AND (m <= 1e-9 OR x / m >= 8.0)) GROUP BY rig, sl.clip)
-SELECT rig, count(*) AS clips, CAST(sum(n) AS BIGINT) AS frames FROM ok GROUP BY rig"""
+jd AS (SELECT bx.clip, rig, n, CASE WHEN coalesce(top, 0) < 0.02 AND root < 0.02 AND u % 3 <> 0 THEN 'low activity' WHEN x >= 0.2 AND (md.m <= 1e-9 OR x / md.m >= 8.0) THEN 'discontinuity' END AS reason FROM bx JOIN c2 ON c2.clip = bx.stem JOIN ac ON ac.clip = bx.clip LEFT JOIN md ON md.clip = bx.clip)"""
+)
+SURVIVING = with_views(_SURVIVE + " SELECT rig, count(*) AS clips, CAST(sum(n) AS BIGINT) AS frames FROM jd WHERE reason IS NULL GROUP BY rig", "positions", "clips")
+LEDGER = with_views(
+    _SURVIVE + """ SELECT clip, CASE WHEN reason LIKE 'too%' THEN 'joints' WHEN reason LIKE 'no%' THEN 'captions' ELSE 'head' END AS stage, reason FROM c2 WHERE reason IS NOT NULL
+    UNION ALL SELECT clip, 'frames', 'too few frames' FROM sa WHERE n < 8 UNION ALL SELECT clip, CASE WHEN reason LIKE 'low%' THEN 'activity' ELSE 'discontinuity' END, reason FROM jd WHERE reason IS NOT NULL""",
+    "positions",
+    "clips",
 )
-SURVIVING = with_views(_SURVIVE, "positions")
 
 QUERIES = {
     "f16_surviving_frames": (surviving_frames, SURVIVING),
+    "f15_reject_ledger": (rejected, LEDGER),
     "e1_joint_step": (joint_steps, JOINT_STEPS),
     "e2_trim_static_ends": (static_ends, STATIC_ENDS),
     "e3_head_trim": (head_trims, HEAD_TRIMS),

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from motionlake.sources import lists
+from motionlake.sources import lists, staging
 
 
 def test_key_value_json(spark, tmp_path):
@@ -53,3 +53,23 @@ def test_versions_and_report(spark, tmp_path):
     changes = spark.createDataFrame([("label", "r2", "a", "b"), ("label", "r1", "c", None)], "kind string, key string, old string, new string")
     lists.write_change_report(changes, str(tmp_path / "report"))
     assert [r.key for r in spark.read.csv(str(tmp_path / "report"), sep="\t", header=True).collect()] == ["r1", "r2"]
+
+
+def test_versions_become_visible_whole(spark, tmp_path):
+    path = str(tmp_path / "vocab")
+    with pytest.raises(FileNotFoundError):
+        staging.read_current(spark, path)
+    staging.write_vocab(spark.createDataFrame([("leg", "Leg")], "key string, part string"), path, made="by rule", purity="0.9")
+    staging.write_atomic(spark.createDataFrame([("arm", "Arm")], "key string, part string"), path)
+    (tmp_path / "vocab" / "v000003").mkdir()  # a write that broke off
+    assert [tuple(r) for r in staging.read_current(spark, path).collect()] == [("arm", "Arm")]
+    (tmp_path / "vocab" / "v000002" / "_SUCCESS").unlink()
+    vocab, meta = staging.read_vocab(spark, path)
+    assert [tuple(r) for r in vocab.collect()] == [("leg", "Leg")] and meta == {"made": "by rule", "purity": "0.9"}
+
+
+def test_load_motions(spark, tmp_path):
+    spark.createDataFrame([("c", "r", None, [[1.0], [2.0]]), ("d", "r", 60, [])], "clip string, rig string, fps int, frames array<array<double>>").write.parquet(str(tmp_path / "m"))
+    clips, frames = staging.load_motions(spark, str(tmp_path / "m"))
+    assert {tuple(r) for r in clips.collect()} == {("c", "r", 30, 2), ("d", "r", 60, 0)}
+    assert sorted((r.clip, r.frame, r.pose) for r in frames.collect()) == [("c", 0, [1.0]), ("c", 1, [2.0])]
