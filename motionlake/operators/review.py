@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import norm_bone_name
+from ..functions.names import norm_bone_name, raw_side
+from .captions import name_keys, unify_roots
 from .trees import tree_positions
 
 AXES = ("x", "y", "z")
@@ -175,3 +176,61 @@ NEAREST = [
     ("s", "CASE WHEN t = t0 OR aa <= 1e-12 THEN s0 ELSE least(greatest((bb * t - cc) / aa, 0.0), 1.0) END"),
     ("apart", "sqrt(" + " + ".join(f"pow(r{x} + d1{x} * s - d2{x} * t, 2)" for x in AXES) + ")"),
 ]
+
+
+def clean_joint_names(joints: DataFrame, fixed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """joints(rig, j, raw), fixed(bone, label), tokens(key, part): labels by rule, in this order.
+
+    A name in the fixed map, lower-cased and without namespace and counter, takes
+    its label; else the part of its longest known key, with the side that its
+    words name; else it is a Bone. The tables are data, so families of names are
+    rows of them.
+    """
+    keyed = joints.select("rig", "j", F.posexplode(name_keys(F.col("raw"))).alias("rank", "key")).join(tokens, "key")
+    best = keyed.groupBy("rig", "j").agg(F.min_by("part", "rank").alias("_part"))
+    rows = joints.withColumn("bone", norm_bone_name(F.col("raw"))).join(fixed.withColumnRenamed("label", "_fixed"), "bone", "left").join(best, ["rig", "j"], "left")
+    side = F.coalesce(F.concat(raw_side(F.col("raw")), F.lit(" ")), F.lit(""))
+    return rows.select("rig", "j", "raw", F.coalesce("_fixed", F.concat(side, "_part"), F.lit("Bone")).alias("label"))
+
+
+def limb_context(joints: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str]) -> DataFrame:
+    """joints(rig, j, parent, label): parts that a neighbour of the same side decides. under: (part, its parent's part) to the new part; above: (part, a child's part) to the new part."""
+    part, side = _bare("label"), F.regexp_extract("label", "^(?:Left |Right )?", 0)
+    rows = joints.withColumn("_p", part).withColumn("_s", side)
+    up = rows.select("rig", F.col("j").alias("parent"), F.col("_p").alias("_up"), F.col("_s").alias("_us"))
+    down = rows.groupBy("rig", F.col("parent").alias("j")).agg(F.collect_set(F.concat("_s", "_p")).alias("_down"))
+    out = rows.join(up, ["rig", "parent"], "left").join(down, ["rig", "j"], "left")
+    new = F.lit(None).cast("string")
+    for (a, b), name in under.items():
+        new = F.coalesce(new, F.when((F.col("_p") == a) & (F.col("_up") == b) & (F.col("_us") == F.col("_s")), name))
+    for (a, b), name in above.items():
+        new = F.coalesce(new, F.when((F.col("_p") == a) & F.array_contains("_down", F.concat("_s", F.lit(b))), name))
+    return out.withColumn("label", F.when(new.isNotNull(), F.concat("_s", new)).otherwise(F.col("label"))).select(*joints.columns)
+
+
+def rule_annotation(joints: DataFrame, fixed: DataFrame, tokens: DataFrame, ranks: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str]) -> tuple[DataFrame, DataFrame]:
+    """joints(rig, j, parent, raw) to (labels, facing pairs): names by rule, limbs by their neighbours, roots made one, then the pair."""
+    cleaned = clean_joint_names(joints, fixed, tokens).join(joints.select("rig", "j", "parent"), ["rig", "j"])
+    labelled = unify_roots(limb_context(cleaned, under, above))
+    return labelled, select_face_pair(labelled, ranks)
+
+
+def compare_conditions(before: DataFrame, after: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """before and after(rig, j, name, parent_name, x, y, z, w: the real part of a turn, tx, ty, tz): (rig, verdict) of two versions of each rig, joint by joint under its name.
+
+    Other orders of joints and turns of the opposite sign are equivalent; names that are gone, new or repeated, other parents or other values make rigs different.
+    """
+    values, turn = ("x", "y", "z"), ("w", "tx", "ty", "tz")
+    old = before.select("rig", "name", F.struct("j", "parent_name", *values, *turn).alias("a"))
+    new = after.select("rig", "name", F.struct("j", "parent_name", *values, *turn).alias("b"))
+    repeated = before.groupBy("rig").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names")).select("rig", (F.col("n") != F.col("names")).alias("repeated"))
+    both = old.join(new, ["rig", "name"], "full")
+
+    def apart(names: tuple[str, ...], sign: int) -> Column:
+        return F.greatest(*(F.abs(F.col(f"a.{v}") - sign * F.col(f"b.{v}")) for v in names))
+
+    same, turned = apart(turn, 1) <= tolerance, apart(turn, -1) <= tolerance
+    odd = F.col("a").isNull() | F.col("b").isNull() | ~F.col("a.parent_name").eqNullSafe(F.col("b.parent_name")) | (apart(values, 1) > tolerance) | ~(same | turned)
+    per = both.groupBy("rig").agg(F.bool_or(F.coalesce(odd, F.lit(True))).alias("odd"), F.bool_or((F.col("a.j") != F.col("b.j")) | ~same).alias("moved"))
+    out = per.join(repeated, "rig", "left")
+    return out.select("rig", F.when(F.col("odd") | F.coalesce("repeated", F.lit(True)), "different").when(F.col("moved"), "equivalent").otherwise("identical").alias("verdict"))

@@ -446,7 +446,62 @@ def leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEAKY = with_views("SELECT asset, ord, CASE WHEN ord % 4 <> 0 THEN category END AS category, CASE WHEN ord % 4 <> 0 THEN ord END AS n FROM votes", "votes")
 
+TOKENS = [("up leg", "Thigh"), ("leg", "Leg"), ("fore arm", "Forearm"), ("arm", "Arm")]
+UNDER, ABOVE = {("Leg", "Thigh"): "Shin"}, {("Arm", "Forearm"): "Upper Arm"}
+FACES = [("Thigh", 1), ("Upper Arm", 2)]
+
+
+def _rule_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([("spine", "Spine")], "bone string, label string"), spark.createDataFrame(TOKENS, "key string, part string")
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (raw,) = load(spark, sf_dir, "labels_raw")
+    return r.clean_joint_names(raw, *_rule_tables(spark)).select("rig", "j", "label")
+
+
+_CLEANED = _LABELS + """, cn AS (SELECT l.rig, l.j, CASE WHEN lower(regexp_replace(l.raw, '[_0-9]+$', '')) = 'spine' THEN 'Spine' WHEN part IN ('UpLeg', 'Leg', 'Arm', 'ForeArm') THEN regexp_extract(l.label, '^(?:Left |Right )?') || CASE part WHEN 'UpLeg' THEN 'Thigh' WHEN 'ForeArm' THEN 'Forearm' ELSE part END ELSE 'Bone' END AS label, r.parent FROM l JOIN labels_raw r ON r.rig = l.rig AND r.j = l.j)"""
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (raw,) = load(spark, sf_dir, "labels_raw")
+    labels, pairs = r.rule_annotation(raw.select("rig", "j", "parent", "raw"), *_rule_tables(spark), spark.createDataFrame(FACES, "part string, rank int"), UNDER, ABOVE)
+    return labels.join(pairs.select("rig", "right", "left"), "rig", "left").select("rig", "j", "label", ((F.col("j") == F.col("right")) | (F.col("j") == F.col("left"))).alias("faces"))
+
+
+ANNOTATED = with_views(
+    _CLEANED + """, sd AS (SELECT *, regexp_extract(label, '^(?:Left |Right )?') AS s, regexp_replace(label, '^(?:Left|Right) ', '') AS p FROM cn),
+    lc AS (SELECT x.rig, x.j, x.s, CASE WHEN x.p = 'Leg' AND u.p = 'Thigh' AND u.s = x.s THEN 'Shin' WHEN x.p = 'Arm' AND EXISTS (SELECT 1 FROM sd d WHERE d.rig = x.rig AND d.parent = x.j AND d.s = x.s AND d.p = 'Forearm') THEN 'Upper Arm' ELSE x.p END AS p FROM sd x LEFT JOIN sd u ON u.rig = x.rig AND u.j = x.parent),
+    dg AS (SELECT lc.*, regexp_extract_all(raw, '[0-9]+') AS d FROM lc JOIN labels_raw r ON r.rig = lc.rig AND r.j = lc.j WHERE s <> ''),
+    bp AS (SELECT x.rig, x.p, x.j AS r, y.j AS l, CASE x.p WHEN 'Thigh' THEN 1 WHEN 'Upper Arm' THEN 2 ELSE 3 END AS rank, CASE WHEN x.d = y.d THEN 0 WHEN x.d[1 : len(x.d) - 1] = y.d[1 : len(y.d) - 1] THEN 1 ELSE 2 END AS m FROM dg x JOIN dg y ON y.rig = x.rig AND y.p = x.p AND x.s = 'Right ' AND y.s = 'Left '),
+    f AS (SELECT rig, r, l FROM (SELECT *, row_number() OVER (PARTITION BY rig ORDER BY rank, p, m, r, l) AS k FROM bp) WHERE k = 1)
+    SELECT lc.rig, lc.j, s || p AS label, lc.j = r OR lc.j = l AS faces FROM lc LEFT JOIN f ON f.rig = lc.rig""",
+    "labels_raw",
+)
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rig beside a copy with another offset, another order, opposite turns or another parent, by its hash."""
+    (joints,) = load(spark, sf_dir, "joints")
+    name = F.concat(F.lit("n"), F.col("j").cast("string"))
+    up = F.when(F.col("parent") >= 0, F.concat(F.lit("n"), F.col("parent").cast("string")))
+    turn = [F.lit(0.6).alias("w"), F.lit(0.8).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz")]
+    old = joints.select("rig", "j", name.alias("name"), up.alias("parent_name"), F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("oz").alias("z"), *turn)
+    h = _last()
+    sign = F.when(h == "2", -1.0).otherwise(1.0)
+    new = old.select("rig", F.when(h == "1", 100 - F.col("j")).otherwise(F.col("j")).alias("j"), "name", F.when((h == "3") & (F.col("j") == 2), "n1").otherwise(F.col("parent_name")).alias("parent_name"), (F.col("x") + F.when(h == "0", 0.5).otherwise(0.0)).alias("x"), "y", "z", *((F.col(k) * sign).alias(k) for k in ("w", "tx", "ty", "tz")))
+    return r.compare_conditions(old, new.where((h != "4") | (F.col("j") == 0)))
+
+
+COMPARED = with_views(
+    """ SELECT rig, CASE WHEN h = '0' OR h = '3' AND n > 2 OR h = '4' AND n > 1 THEN 'different' WHEN h IN ('1', '2') THEN 'equivalent' ELSE 'identical' END AS verdict FROM (SELECT rig, right(sha1(rig), 1) AS h, count(*) AS n FROM joints GROUP BY rig)""",
+    "joints",
+)
+
 QUERIES = {
+    "k6_clean_joint_names": (cleaned, with_views(_CLEANED + " SELECT rig, j, label FROM cn", "labels_raw")),
+    "k8_k25_rule_annotation": (annotated, ANNOTATED),
+    "g16_compare_conditions": (compared, COMPARED),
     "k15_face_pairs": (_pairs, with_views(_LABELS + _PAIRS + ' SELECT rig, part, "right", "left" FROM fp', "labels_raw")),
     "k16_body_axis_pairs": (axis_pairs, AXIS_PAIRS),
     "k17_patch_face_pairs": (patched_pairs, PATCHED_PAIRS),
