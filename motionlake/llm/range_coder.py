@@ -127,12 +127,18 @@ def _in_order(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of numbers below MOST to its coded bytes."""
-    return [x for k in range(0, len(blocks), LANES) for x in _encode(blocks[k : k + LANES])]
+    return [x for part in _parts(blocks) for x in _encode(part)]
 
 
 def decode(coded: list[bytes]) -> list[np.ndarray]:
     """Coded blocks back to their numbers (uint16); ValueError if a block is damaged."""
-    return [x for k in range(0, len(coded), LANES) for x in _decode(coded[k : k + LANES])]
+    return [x for part in _parts(coded) for x in _decode(part)]
+
+
+def _parts(blocks: list) -> list[list]:
+    """Parts of LANES blocks at most, as even as can be."""
+    n = -(-len(blocks) // LANES)
+    return [blocks[len(blocks) * k // n : len(blocks) * (k + 1) // n] for k in range(n)]
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:

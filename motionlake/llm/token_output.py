@@ -226,17 +226,30 @@ def read(spark: SparkSession, source: str) -> DataFrame:
     shards = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # one row for each task that wrote: ordered in one place
     first = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = stored.join(shards.select("shard", first.alias("first")), "shard").select((F.col("first") + F.col("before")).alias("start"), "record")
+    starts = stored.join(shards.select("shard", first.alias("first")), "shard").select((F.col("first") + F.col("before")).alias("start"), "n_ids", "record")
+
+    def rows(starts: list[int], records: list[bytes]) -> Iterator[pa.RecordBatch]:
+        opened = [unpack(r) for r in records]
+        places = iter(range_coder.decode([b for *_, blocks in opened for b in blocks]))
+        for start, (docs, null, lengths, listed, blocks) in zip(starts, opened, strict=True):
+            ids = listed.astype("<u4").take(np.concatenate([next(places) for _ in blocks]))
+            ends = np.cumsum(lengths)
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=null.astype(bool)), pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # as many records at once as have AT_ONCE ids
         for batch in batches:
-            opened = [unpack(r.as_py()) for r in batch.column(1)]
-            places = iter(range_coder.decode([b for *_, blocks in opened for b in blocks]))
-            for start, (docs, null, lengths, listed, blocks) in zip(batch.column(0).to_pylist(), opened, strict=True):
-                ids = listed.astype("<u4").take(np.concatenate([next(places) for _ in blocks]))
-                ends = np.cumsum(lengths)
-                sums = [zlib.crc32(ids[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=null.astype(bool)), pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            starts, held, size = [], [], 0
+            for start, n, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held and size + n > AT_ONCE:
+                    yield from rows(starts, held)
+                    starts, held, size = [], [], 0
+                starts.append(start)
+                held.append(record.as_py())
+                size += n
+            if held:
+                yield from rows(starts, held)
 
     return starts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -245,7 +258,6 @@ def token_output(docs: DataFrame, path: str | None = None, end: int = END) -> Da
     """Write docs to a new folder in the shared place, and read it back."""
     to = f"{work_dir(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
     write(docs, to, path, end)
-    small_batches(docs.sparkSession, max(1, AT_ONCE // RECORD))
     return read(docs.sparkSession, to)
 
 
