@@ -283,7 +283,10 @@ def test_simhash_fingerprints():
         assert simhash.fingerprint(t) == bits(t)
 
 
-def test_simhash_links_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("large", [2048, 4])
+def test_simhash_links_are_those_of_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SMALL", 64 if large > 4 else 3)
     rng = random.Random(5)
     prints = set()
     for _ in range(40):
