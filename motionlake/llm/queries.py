@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, mixing, quality_cnn, quality_rules, simhash, suffix_dedup, token_output, toxicity
+from . import decontaminate, fingerprints, html_text, language, merkle, mixing, prefix_trie, quality_cnn, quality_rules, simhash, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_mixing": mixing.query,
     "op10_token_output": token_output.query,
+    "op11_fingerprints": fingerprints.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 SQL = {
     "op5_quality_rules": quality_rules.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
