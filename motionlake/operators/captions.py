@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What a refusal begins with, object nouns, and answer prefixes. Patterns are parameters of the operators.
+# What a refusal begins with, object nouns, nouns that are verbs too, words that make them nouns, verbs of locomotion, and answer prefixes. Patterns are parameters of the operators.
 REFUSALS = r"^(?:i'm sorry|i am sorry|sorry|i cannot|i can't|i am unable|i'm unable|as an ai)\b"
-PROPS = r"(?i)\b(?:sword|shield|staff|spear|ball|cup|gun|bow|chair|table)s?\b"
+PROP_NOUNS = (
+    "rifle|pistol|gun|firearm|sword|shield|ball|phone|arrow|axe|staff|knife|dagger|briefcase|lightsaber|spear|hammer|mace|flower|book|cup|bottle|dice|guitar|weapon|soccer ball|basketball|football|baseball|bag|"
+    "cigarette|umbrella|wand|rope|ladder|wall|chair|table|bench|steering wheel|door|barrel|crate|gift|basket|oar|racket|broom|mop|shovel|pickaxe|lantern|candle|helmet|hat|cape|bucket|stone|pole|tree|branch|fence|"
+    "obstacle|platform|stairs|bed|pillow|tool|item|prop|frisbee|puck|javelin|discus|shot put|kettlebell|dumbbell|barbell|controller|joystick|camera|microphone|mic|piano|violin|flute|trumpet|lasso|bike|bicycle|"
+    "motorcycle|horse|car|vehicle|boat|skateboard|surfboard|snowboard|skis|sled|glider|parachute|balloon|kite|scope|grenade|bomb|scabbard|holster|quiver|weights"
+)
+VERB_NOUNS = "bow|box|rock|drum|whip|net|bat|glass|stick|club|torch|cane|handle|wheel|bell|hose|step|card|key|coin|rail|drink|paddle"
+NOUN_MARKS = "a|an|the|their|his|her|its|one|two|with|holding|carrying|swinging|using|grabbing|lifting|raising|throwing|catching|kicking|hitting|striking|drawing|aiming"
+PROPS = rf"(?i)\b(?:{PROP_NOUNS})s?\b|\b(?:{NOUN_MARKS})\s+(?:{VERB_NOUNS})s?\b"
+LOCOMOTION = (
+    "walks|runs|trots|jogs|sprints|marches|gallops|crawls|slithers|swims|flies|hops|bounds|scurries|waddles|limps|sneaks|strides|paddles|glides|dashes|skips|struts|creeps|prowls|stalks|shuffles|scampers|canters|"
+    "flutters|soars|hovers|strolls|wanders|races"
+)
 PREFIX = r"(?i)^(?:caption|answer|output|rewritten caption)\s*:\s*"
 
 
@@ -59,10 +71,13 @@ def apply_rewrites(captions: DataFrame, rewrites: DataFrame) -> DataFrame:
     return out.withColumn("change", what).withColumn("text", F.when(F.col("change") == "applied", F.col("new")).otherwise(F.col("text"))).drop("old", "new")
 
 
-def normalize_locomotion(text: Column, net: Column, direction: Column, still: float = 0.15, travel: float = 0.5) -> Column:
-    """`forward` of a clip that hardly travels becomes `in place`; `in place` of one that does takes the measured direction, or goes."""
-    moved = F.when(direction.isNotNull(), F.replace(text, F.lit(" in place"), F.concat(F.lit(" "), direction))).otherwise(F.replace(text, F.lit(" in place"), F.lit("")))
-    return F.when((net < still) & F.contains(text, F.lit(" forward")), F.regexp_replace(text, r" forward\b", " in place")).when((net >= travel) & F.contains(text, F.lit(" in place")), moved).otherwise(text)
+def normalize_locomotion(text: Column, net: Column, direction: Column, still: float = 0.15, travel: float = 0.5, verbs: str = LOCOMOTION) -> Column:
+    """After a verb of locomotion, and an adverb: `forward` of a clip that hardly travels becomes `in place`; `in place` of one that does takes the measured direction, or goes. Unmeasured clips stay."""
+    moves = rf"\b({verbs})((?: \w+ly)?)"
+    onward = F.concat(F.lit("$1$2"), F.coalesce(F.concat(F.lit(" "), F.when(direction != "", direction)), F.lit("")))
+    in_place = F.regexp_replace(text, rf"{moves} forward\b", "$1$2 in place")
+    moved = F.regexp_replace(text, F.lit(rf"{moves} in place\b"), onward)
+    return F.when(net < still, in_place).when(net >= travel, moved).otherwise(text)
 
 
 def sync_captions(mine: DataFrame, source: DataFrame) -> DataFrame:

@@ -194,17 +194,17 @@ def clean_joint_names(joints: DataFrame, fixed: DataFrame, tokens: DataFrame) ->
 
 
 def limb_context(joints: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str]) -> DataFrame:
-    """joints(rig, j, parent, label): parts that a neighbour of the same side decides. under: (part, its parent's part) to the new part; above: (part, a child's part) to the new part."""
+    """joints(rig, j, parent, label): parts that a neighbour of either side decides. under: (part, its parent's part) to the new part; above: (part, a child's part) to the new part."""
     part, side = _bare("label"), F.regexp_extract("label", "^(?:Left |Right )?", 0)
     rows = joints.withColumn("_p", part).withColumn("_s", side)
-    up = rows.select("rig", F.col("j").alias("parent"), F.col("_p").alias("_up"), F.col("_s").alias("_us"))
-    down = rows.groupBy("rig", F.col("parent").alias("j")).agg(F.collect_set(F.concat("_s", "_p")).alias("_down"))
+    up = rows.select("rig", F.col("j").alias("parent"), F.col("_p").alias("_up"))
+    down = rows.groupBy("rig", F.col("parent").alias("j")).agg(F.collect_set("_p").alias("_down"))
     out = rows.join(up, ["rig", "parent"], "left").join(down, ["rig", "j"], "left")
     new = F.lit(None).cast("string")
     for (a, b), name in under.items():
-        new = F.coalesce(new, F.when((F.col("_p") == a) & (F.col("_up") == b) & (F.col("_us") == F.col("_s")), name))
+        new = F.coalesce(new, F.when((F.col("_p") == a) & (F.col("_up") == b), name))
     for (a, b), name in above.items():
-        new = F.coalesce(new, F.when((F.col("_p") == a) & F.array_contains("_down", F.concat("_s", F.lit(b))), name))
+        new = F.coalesce(new, F.when((F.col("_p") == a) & F.array_contains("_down", F.lit(b)), name))
     return out.withColumn("label", F.when(new.isNotNull(), F.concat("_s", new)).otherwise(F.col("label"))).select(*joints.columns)
 
 

@@ -59,7 +59,7 @@ def descendants(joints: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def kinematic_chains(joints: DataFrame) -> DataFrame:
-    """(rig, chain head, joints of the chain): a joint's child with the highest index goes on with its chain, other children begin their own."""
+    """(rig, chain head, joints of the chain): a joint's child with the highest index goes on with its chain, other children head their own, which begins with the joint that branches."""
     rigs = to_rigs(joints, ["parent"])
 
     def head(up: Column, x: Column) -> Column:
@@ -70,7 +70,10 @@ def kinematic_chains(joints: DataFrame) -> DataFrame:
         lambda x: F.struct(x["j"].alias("j"), x["parent"].alias("parent"), (x["j"] == F.array_max(F.transform(F.filter(F.col("joints"), lambda y: y["parent"] == x["parent"]), lambda y: y["j"]))).alias("first")),
     )
     out = rigs.withColumn("marked", marked).withColumn("head", down(F.col("marked"), lambda x: x["j"], head))
-    return out.select("rig", F.posexplode("head").alias("j", "head")).groupBy("rig", "head").agg(F.array_sort(F.collect_list("j")).alias("joints"))
+    members = out.select("rig", "marked", F.posexplode("head").alias("j", "head"))
+    members = members.select("rig", "j", "head", F.when(F.col("j") == F.col("head"), F.get("marked", F.col("j"))["parent"]).alias("fork"))
+    chains = members.groupBy("rig", "head").agg(F.array_sort(F.collect_list("j")).alias("joints"), F.max("fork").alias("fork"))
+    return chains.select("rig", "head", F.when(F.col("fork") >= 0, F.concat(F.array("fork"), "joints")).otherwise(F.col("joints")).alias("joints"))
 
 
 def skeleton_diameter(joints: DataFrame) -> DataFrame:

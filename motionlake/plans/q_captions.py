@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import captions as c
 from .views import load, with_views
 
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -17,7 +19,7 @@ def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REJECTIONS = """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 5 = 0 THEN 'truncated' WHEN doc_id % 7 = 0 THEN 'refusal' WHEN doc_id % 13 = 0 OR length(trim(text)) < 8 THEN 'too short' END AS reason,
-doc_id % 3 = 0 OR regexp_matches(text, '(?i)\\b(?:sword|shield|staff|spear|ball|cup|gun|bow|chair|table)s?\\b') AS prop FROM documents"""
+doc_id % 3 = 0 OR regexp_matches(text, '@props') AS prop FROM documents""".replace("@props", c.PROPS)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANSWERS = """WITH a AS (SELECT conv_id, turn, 'The animal ' || regexp_replace(text, '[.!?"''\\n]', '', 'g') AS t FROM conversations), b AS (SELECT conv_id, turn, trim(t, ' ') AS t FROM a)
-SELECT conv_id, turn, a.t || '.' AS answer, CASE WHEN regexp_matches(a.t, '(?i)\\b(?:sword|shield|staff|spear|ball|cup|gun|bow|chair|table)s?\\b') THEN 'prop' WHEN len(regexp_extract_all(a.t || '.', '\\S+')) > 18 THEN 'too long' WHEN regexp_matches(lower(a.t), '\\b(?:caption|rewrite|rewritten)\\b') THEN 'meta' END AS reason FROM a"""
+SELECT conv_id, turn, a.t || '.' AS answer, CASE WHEN regexp_matches(a.t, '@props') THEN 'prop' WHEN len(regexp_extract_all(a.t || '.', '\\S+')) > 18 THEN 'too long' WHEN regexp_matches(lower(a.t), '\\b(?:caption|rewrite|rewritten)\\b') THEN 'meta' END AS reason FROM a""".replace("@props", c.PROPS)
 
 
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +76,11 @@ LOCOMOTION = with_views(
 
 def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     (captions,) = load(spark, sf_dir, "captions")
-    source = captions.where("lang <> 'de'").select("clip", F.when(F.col("lang") == "en", F.upper("text")).otherwise(F.col("text")).alias("text"))
+    source = captions.where("lang <> 'de'").select("clip", F.when(F.col("lang") == "en", F.translate("text", LOWER, UPPER)).otherwise(F.col("text")).alias("text"))
     return c.sync_captions(captions.select("clip", "text"), source)
 
 
-SYNCED = with_views("SELECT clip, CASE WHEN lang = 'en' THEN upper(text) ELSE text END AS text, CASE WHEN lang = 'de' THEN 'orphan' WHEN lang = 'en' AND upper(text) <> text THEN 'changed' ELSE 'same' END AS change FROM captions", "captions")
+SYNCED = with_views("SELECT clip, CASE WHEN lang = 'en' THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text, CASE WHEN lang = 'de' THEN 'orphan' WHEN lang = 'en' AND translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') <> text THEN 'changed' ELSE 'same' END AS change FROM captions", "captions")
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:

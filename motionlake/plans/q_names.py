@@ -29,7 +29,7 @@ NAME_KEYS = with_views(
 
 def action_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    made = F.concat(F.lit("Armature|mixamo.com_"), "url", F.lit(".001"))
+    made = F.concat(F.lit("Armature|mixamo.com_"), F.replace("url", F.lit(":"), F.lit("/")), F.lit("_GLTF_created_0"))
     part = n.split_once(F.regexp_replace("url", "^https?://", ""))
     return pages.select(
         "page_id",
@@ -41,8 +41,8 @@ def action_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ACTION = "trim(regexp_replace(regexp_replace(regexp_replace(split_part({x}, ':', 1), '^(?:Armature|mixamo\\.com)_?', ''), '\\.\\d{{3}}$', ''), '[^0-9A-Za-z]+', '_', 'g'), '_')"
-ACTION_NAMES = f"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u, 'mixamo.com_' || url || '.001' AS m FROM pages)
+_ACTION = "trim(regexp_replace(regexp_replace(regexp_replace(split_part({x}, ':', 1), '^mixamo\\.com_', ''), '_GLTF_created_\\d+$', ''), '[^0-9A-Za-z]+', '_', 'g'), '_')"
+ACTION_NAMES = f"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u, 'mixamo.com_' || replace(url, ':', '/') || '_GLTF_created_0' AS m FROM pages)
 SELECT page_id, {_ACTION.format(x="m")} AS action, {_ACTION.format(x="u")} AS plain_action, split_part(u, '-', 1) AS species,
 CASE WHEN strpos(u, '-') > 0 THEN substr(u, strpos(u, '-') + 1) END AS species_action, strpos(u, '-') > 0 AS ok FROM p"""
 
@@ -51,14 +51,14 @@ def joint_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     (raw,) = load(spark, sf_dir, "labels_raw")
     label = F.regexp_replace(F.regexp_replace("raw", r"_\d+$", ""), "^(Left|Right)", "$1 ")
     return raw.select(
-        "rig", "j", n.norm_bone_name(F.concat(F.lit("rig:"), "raw")).alias("bone"), n.raw_side(F.col("raw")).alias("raw_side"), n.split_side(label)["side"].alias("side"), n.split_side(label)["part"].alias("part"),
+        "rig", "j", n.norm_bone_name(F.concat(F.lit("rig:"), "raw", F.lit("_12"))).alias("bone"), n.raw_side(F.col("raw")).alias("raw_side"), n.split_side(label)["side"].alias("side"), n.split_side(label)["part"].alias("part"),
         n.strip_end(F.concat(label, F.lit(" End"))).alias("label"), n.join_side(n.split_side(label)["side"], n.split_side(label)["part"]).alias("joined"),
     )
 
 
 JOINT_NAME_PARTS = with_views(
     """, l AS (SELECT rig, j, raw, regexp_replace(regexp_replace(raw, '_\\d+$', ''), '^(Left|Right)', '\\1 ') AS label FROM labels_raw)
-    SELECT rig, j, lower(regexp_replace(raw, '[._ -]*\\d+$', '')) AS bone, nullif(regexp_extract(raw, '^(Left|Right)', 1), '') AS raw_side, nullif(regexp_extract(label, '^(Left|Right) ', 1), '') AS side,
+    SELECT rig, j, lower(regexp_replace(raw || '_12', '(?:[._]\\d+)+$', '')) AS bone, nullif(regexp_extract(raw, '^(Left|Right)', 1), '') AS raw_side, nullif(regexp_extract(label, '^(Left|Right) ', 1), '') AS side,
     regexp_replace(label, '^(?:Left|Right) ?', '') AS part, label, label AS joined FROM l""",
     "labels_raw",
 )

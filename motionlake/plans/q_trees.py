@@ -51,7 +51,7 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAINS = with_views(
     """, m AS (SELECT rig, j, parent, j = max(j) OVER (PARTITION BY rig, parent) AS f FROM joints),
     h AS (WITH RECURSIVE a AS (SELECT rig, j, j AS head FROM m WHERE parent < 0 UNION ALL SELECT a.rig, m.j, CASE WHEN m.f THEN a.head ELSE m.j END FROM a JOIN m ON m.rig = a.rig AND m.parent = a.j) SELECT * FROM a)
-    SELECT rig, head, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS joints FROM h GROUP BY rig, head""",
+    SELECT rig, head, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS joints FROM (SELECT * FROM h UNION ALL SELECT h.rig, m.parent, h.head FROM h JOIN m ON m.rig = h.rig AND m.j = h.head WHERE h.j = h.head AND m.parent >= 0) GROUP BY rig, head""",
     "joints",
 )
 

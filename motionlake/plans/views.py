@@ -14,6 +14,14 @@ VIEWS = {
     "joints": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS jj FROM lineitem)
 SELECT 'o' || CAST(l_orderkey AS STRING) AS rig, CAST(jj AS INT) AS j, CASE WHEN jj = 0 THEN -1 ELSE CAST(floor((jj - 1) / 2.0) AS INT) END AS parent,
 (l_discount - 0.05) * 10 AS ox, l_quantity / 50.0 AS oy, (l_tax - 0.04) * 10 AS oz, l_partkey AS part FROM n""",
+    "bodies": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS jj FROM lineitem),
+q AS (SELECT n.*, CASE WHEN jj < 4 THEN -1 ELSE CAST(floor((jj - 4) / 2.0) AS INT) % 4 END AS limb, CASE WHEN jj < 4 THEN jj ELSE CAST(floor((jj - 4) / 8.0) AS INT) END AS lv, CASE WHEN jj < 4 THEN 0 ELSE 1 - 2 * (jj % 2) END AS sg FROM n),
+w AS (SELECT q.*, CASE WHEN sg > 0 THEN 'Left ' WHEN sg < 0 THEN 'Right ' ELSE '' END AS sd, (l_orderkey * 31 + l_linenumber * 7) % 16 AS c, (l_partkey + limb) % 5 AS k FROM q)
+SELECT 'p' || CAST(l_partkey AS STRING) AS rig, CAST(jj AS INT) AS j, CAST(CASE WHEN jj < 4 THEN jj - 1 WHEN jj < 12 THEN limb ELSE jj - 8 END AS INT) AS parent,
+CASE WHEN sg = 0 THEN 0.0 ELSE sg * (0.2 + 0.1 * lv * (l_partkey % 2)) END AS x, CASE WHEN jj < 4 THEN 1 + 0.3 * jj ELSE 1 + 0.3 * limb - (lv + 1) * CASE WHEN (l_partkey + limb) % 3 = 0 THEN 0.4 ELSE 0.1 END END AS y, CASE WHEN jj < 4 THEN jj ELSE limb END * 0.2 * (l_partkey % 4) AS z,
+CASE WHEN l_partkey % 4 = 0 THEN 'Bone.' || lpad(CAST(jj AS STRING), 3, '0') WHEN c = 0 THEN 'lIndex3' WHEN c = 1 THEN 'rIndex3' WHEN c = 2 THEN 'Finger' || CAST(lv AS STRING) WHEN c = 3 THEN 'FLeg01' WHEN c = 4 THEN 'BLeg01' ELSE 'joint_' || CAST(jj AS STRING) END AS raw,
+CASE WHEN l_partkey % 4 = 0 THEN 'Bone' WHEN l_partkey % 4 = 1 AND jj >= 4 THEN sd || CASE WHEN k = 0 THEN 'Back Leg Upper' WHEN k = 1 THEN 'Front Leg Lower' WHEN k = 2 THEN 'Hind Leg' WHEN k = 3 THEN 'Arm' ELSE 'Leg' END
+WHEN l_partkey % 4 = 2 AND c > 9 THEN sd || 'Frog' WHEN c = 0 OR c = 1 THEN 'Index Finger' WHEN c = 2 THEN sd || 'Finger' WHEN c = 3 OR c = 4 THEN sd || 'Leg' WHEN c = 5 THEN sd || 'Rex Toe' WHEN c = 6 THEN sd || 'Collar' WHEN c = 7 THEN sd || 'Thigh Rear' WHEN c = 8 THEN sd || 'Foot' WHEN c = 9 THEN sd || 'Middle Finger End' WHEN c = 10 THEN 'Cola' ELSE 'Spine' END AS label FROM w""",
     "rigs": "SELECT rig, CAST(substr(rig, 2) AS BIGINT) AS r, count(*) AS n_joints FROM joints GROUP BY rig",
     "clips": """SELECT u.user_id, g.rig, g.n_joints, g.rig || '-u' || CAST(u.user_id AS STRING) AS clip FROM (SELECT DISTINCT user_id FROM events) u JOIN rigs g ON g.r = u.user_id""",
     "frames": """SELECT c.clip, c.rig, CAST(e.f AS INT) AS frame, e.s FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
@@ -33,7 +41,7 @@ NEEDS = {
     "positions": ["joints", "rigs", "clips", "frames"],
     "labels_raw": ["joints"],
 }
-BASE = {"joints": "lineitem", "clips": "events", "frames": "events", "captions": "documents", "votes": "conversations"}
+BASE = {"joints": "lineitem", "bodies": "lineitem", "clips": "events", "frames": "events", "captions": "documents", "votes": "conversations"}
 
 
 def _wanted(names: tuple[str, ...]) -> list[str]:
