@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geometry import let, q_to_6d, qbetween, qconj, qmul, qrot, quat, vadd, vec, vnorm, vscale, vsub
+from ..functions.geometry import let, matrix_to_q, q_to_6d, qbetween, qconj, qmul, qrot, quat, qunit, r6_to_matrix, vadd, vec, vnorm, vscale, vsub
 from .frames import nearest_valid_fill
+from .trees import forward_kinematics
 
 EPSILON = 1e-6
 
@@ -70,7 +71,8 @@ def motion_features(frames: DataFrame, rigs: DataFrame) -> DataFrame:
         turn = F.when(F.get("_parent", j) < 0, F.col("facing")).otherwise(F.get("pose", F.get("_parent", j))["q"])
         return let(place, lambda p: let(speed, lambda v: F.concat(F.array(p["x"], p["y"], p["z"]), q_to_6d(turn), F.array(v["x"], v["y"], v["z"]))))
 
-    return rows.select("rig", "clip", "frame", "facing", F.posexplode(F.transform("pose", one)).alias("j", "f"))
+    # outer: no filter is inferred, which would work the arrays out once more below each column that they come from
+    return rows.select("rig", "clip", "frame", "facing", F.posexplode_outer(F.transform("pose", one)).alias("j", "f")).where("j IS NOT NULL")
 
 
 def recover_positions(features: DataFrame) -> DataFrame:
@@ -78,21 +80,56 @@ def recover_positions(features: DataFrame) -> DataFrame:
     root = features.where("j = 0").withColumn("_v", F.struct(F.col("f")[9].alias("x"), F.lit(0.0).alias("y"), F.col("f")[11].alias("z")))
     # velocity at t was turned by the facing at t + 1
     back = qrot(qconj(F.col("facing")), F.lag("_v").over(by_frame()))
-    root = root.withColumn("_s", F.coalesce(back, vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))))
+    # the first frame has no step: its fields are null
+    root = root.withColumn("_s", back)
     w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
-    path = root.select("clip", "frame", vec(F.sum("_s.x").over(w), F.lit(0.0), F.sum("_s.z").over(w)).alias("root"))
+    path = root.select("clip", "frame", vec(F.sum(F.coalesce("_s.x", F.lit(0.0))).over(w), F.lit(0.0), F.sum(F.coalesce("_s.z", F.lit(0.0))).over(w)).alias("root"))
     rows = features.join(path, ["clip", "frame"])
     place = vadd(qrot(qconj(F.col("facing")), vec(F.col("f")[0], F.col("f")[1], F.col("f")[2])), F.col("root"))
     return rows.select("clip", "frame", "j", place.alias("p"))
 
 
-def feature_row_gate(features: DataFrame, frames: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """(clip, reason) of clips with no features, values that aren't finite, or recovered places that leave the source (from the root's first ground point) by more than the tolerance."""
+def chordal_mean(turns: Column, rounds: int = 16) -> Column:
+    """The rotation nearest to several unit quaternions taken together: the first eigenvector of the sum of their outer squares, by power iteration."""
+
+    def onward(v: Column) -> Column:
+        total = F.aggregate(turns, quat(*(F.lit(0.0) for _ in range(4))), lambda a, q: let(q["w"] * v["w"] + q["x"] * v["x"] + q["y"] * v["y"] + q["z"] * v["z"], lambda d: quat(*(a[k] + q[k] * d for k in "wxyz"))))
+        return qunit(total)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.get(turns, F.lit(0)), lambda v, _: onward(v))
+
+
+def recover_from_rotations(features: DataFrame, rigs: DataFrame) -> DataFrame:
+    """Joints' places from features by their turns; rigs(rig, joints array of struct(j, parent, p)) with p the rest offset.
+
+    A joint's turn is in its children's rows, so it is the mean of theirs; one
+    without children doesn't turn. The root's path is that of recover_positions,
+    at the height that its row has; the places below follow down the tree.
+    """
+    root = recover_positions(features.where("j = 0")).select("clip", "frame", "p")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda s: matrix_to_q(r6_to_matrix(F.slice(s["f"], 4, 6))))
+    rows = features.groupBy("rig", "clip", "frame").agg(turns.alias("slots")).join(root, ["clip", "frame"]).join(rigs.select("rig", "joints"), "rig")
+    none = quat(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+
+    def own(x: Column) -> Column:
+        below = F.transform(F.filter("joints", lambda y: y["parent"] == x["j"]), lambda y: F.get("slots", y["j"]))
+        return let(below, lambda b: F.when(F.size(b) > 0, chordal_mean(b)).otherwise(none))
+
+    local = F.transform("joints", lambda x: F.struct(x["j"].alias("j"), x["parent"].alias("parent"), F.when(x["parent"] < 0, F.col("p")).otherwise(x["p"]).alias("p"), own(x).alias("q")))
+    rows = forward_kinematics(rows.withColumn("joints", local))
+    return rows.select("clip", "frame", F.posexplode_outer(F.transform("world", lambda w: w["p"])).alias("j", "p")).where("j IS NOT NULL")
+
+
+def feature_row_gate(features: DataFrame, frames: DataFrame, tolerance: float = 1e-4, rigs: DataFrame | None = None) -> DataFrame:
+    """(clip, reason, error) of clips with no features, values that aren't finite, or recovered places that leave the source (from the root's first ground point) by more than the tolerance. With rigs the error is the larger of the two recoveries'."""
     bad = F.exists("f", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     odd = features.groupBy("clip").agg(F.bool_or(bad).alias("odd"))
     start = frames.groupBy("clip").agg(F.min_by(F.get("pose", F.lit(0))["p"], "frame").alias("o"))
     source = frames.select("clip", "frame", F.posexplode("pose").alias("j", "s")).join(start, "clip").select("clip", "frame", "j", vec(F.col("s.p.x") - F.col("o.x"), F.col("s.p.y"), F.col("s.p.z") - F.col("o.z")).alias("want"))
-    error = recover_positions(features).join(source, ["clip", "frame", "j"]).groupBy("clip").agg(F.max(vnorm(vsub(F.col("p"), F.col("want")))).alias("error"))
+    found = recover_positions(features)
+    if rigs is not None:
+        found = found.unionByName(recover_from_rotations(features, rigs))
+    error = found.join(source, ["clip", "frame", "j"]).groupBy("clip").agg(F.max(vnorm(vsub(F.col("p"), F.col("want")))).alias("error"))
     every = frames.select("clip").distinct().join(odd, "clip", "left").join(error, "clip", "left")
     reason = F.when(F.col("odd").isNull(), "no features").when(F.col("odd"), "not finite").when(F.col("error") > tolerance, "recovery differs")
     return every.select("clip", reason.alias("reason"), "error")
