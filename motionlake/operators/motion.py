@@ -107,7 +107,7 @@ def recover_from_rotations(features: DataFrame, rigs: DataFrame) -> DataFrame:
     at the height that its row has; the places below follow down the tree.
     """
     root = recover_positions(features.where("j = 0")).select("clip", "frame", "p")
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda s: matrix_to_q(r6_to_matrix(F.slice(s["f"], 4, 6))))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda s: let(r6_to_matrix(F.slice(s["f"], 4, 6)), matrix_to_q))
     rows = features.groupBy("rig", "clip", "frame").agg(turns.alias("slots")).join(root, ["clip", "frame"]).join(rigs.select("rig", "joints"), "rig")
     none = quat(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
