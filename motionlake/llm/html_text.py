@@ -43,6 +43,8 @@ RAW = frozenset("script style noscript template textarea iframe canvas select ti
 MAIN = frozenset(("article", "main"))
 BOILERPLATE = frozenset("nav footer aside form menu dialog search".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: With one of these a name says something of comments, such as `comments-open`, and isn't theirs.
+COMMENT_STATES = frozenset("open closed enabled disabled allowed on off count counter number link links status state".split())
 BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer skip topbar masthead complementary contentinfo alert hidden".split()
 )
@@ -137,7 +139,7 @@ def _bad_name(token: str) -> str | None:
     parts = {p.lower() for p in _PARTS.findall(token)} | {token.lower()}
     if parts & NEGATIONS:
         return None
-    return "comments" if parts & COMMENTS else "named" if parts & BAD_NAMES else None
+    return "comments" if parts & COMMENTS and not parts & COMMENT_STATES else "named" if parts & BAD_NAMES else None
 
 
 @dataclass
@@ -148,6 +150,8 @@ class _Open:
     main: bool
     out: bool
     named: tuple[int, ...]
+    #: Out by nothing but a name of comments; the page's first article inside is in again.
+    talk: bool = False
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -158,7 +162,7 @@ def blocks(page: str | None) -> list[Block]:
     root = _Open("", False, False, ())
     words: list[str] = []
     linked = elements = 0
-    link = heading = False
+    link = heading = seen = False
 
     def flush() -> None:
         nonlocal linked
@@ -221,9 +225,10 @@ def blocks(page: str | None) -> list[Block]:
         found = {_bad_name(t) for m in _NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()} if attributes else set()
         tokens = {t.lower() for m in _NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()} if attributes else set()
         main = name in MAIN or name in ("div", "section") and "main" in tokens
-        gone = name in BOILERPLATE or "comments" in found or bool(attributes) and bool(_UNSEEN.search(attributes)) or name == "header" and not top.main and not main
+        talk = "comments" in found and (seen or not main)
+        gone = name in BOILERPLATE or bool(attributes) and bool(_UNSEEN.search(attributes)) or name == "header" and not top.main and not main
         if name in ("html", "body"):
-            gone, found = False, set()
+            gone, talk, found = False, False, set()
         if main:
             named: tuple[int, ...] = ()
         elif "named" in found:
@@ -231,7 +236,10 @@ def blocks(page: str | None) -> list[Block]:
             named = (*top.named[-31:], elements)
         else:
             named = top.named
-        open_.append(_Open(name, top.main or main, top.out or gone, named))
+        inside = top.out and not (main and not seen and top.talk)
+        out_now = inside or gone or talk
+        seen = seen or main and not out_now
+        open_.append(_Open(name, top.main or main, out_now, named, out_now and not gone and (top.talk if inside else talk)))
         counts[name] += 1
     say(page[at:])
     flush()

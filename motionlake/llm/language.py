@@ -131,7 +131,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and doubtful (rejected at the calibrated score) for each row of docs."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, ["doc_id"], lambda texts: shared.value.predict(texts), "doc_id long, lang_pred string, score double, doubtful boolean")
+    return map_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], lambda texts: shared.value.predict(texts), "doc_id long, lang_pred string, score double, doubtful boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score for each row of docs."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, ["doc_id"], lambda texts: {"score": shared.value.score(texts)}, "doc_id long, score double", 1 << 18)
+    return map_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], lambda texts: {"score": shared.value.score(texts)}, "doc_id long, score double", 1 << 18)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
