@@ -226,9 +226,9 @@ CONDITIONS = with_views(
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bones of the frames' joints as capsules, at odd frames of each clip; pairs more than two joints apart."""
+    """Bones of the frames' joints as capsules; pairs more than two joints apart."""
     positions, joints = load(spark, sf_dir, "positions", "joints")
-    at = positions.where("frame % 8 = 1").select("clip", "rig", "frame", "j", *(F.col(p).alias(p[1]) for p in fr.AXES))
+    at = positions.select("clip", "rig", "frame", "j", *(F.col(p).alias(p[1]) for p in fr.AXES))
     up = joints.where("parent >= 0").select("rig", "j", "parent")
     ends = at.join(up, ["rig", "j"]).join(at.select("clip", "frame", F.col("j").alias("parent"), *(F.col(a).alias(f"a{a}") for a in "xyz")), ["clip", "frame", "parent"])
     capsules = ends.select("clip", "rig", "frame", "j", *(f"a{a}" for a in "xyz"), *(F.col(a).alias(f"b{a}") for a in "xyz"), F.lit(0.1).alias("radius"))
@@ -246,7 +246,7 @@ def _nearest(source: str) -> str:
 OVERLAPS = with_views(
     _UP + """, c AS (SELECT x.rig, x.j AS a, y.j AS b, max(dp.depth) AS m FROM up x JOIN up y ON y.rig = x.rig AND y.anc = x.anc AND x.j < y.j JOIN dp ON dp.rig = x.rig AND dp.j = x.anc GROUP BY ALL),
     fa AS (SELECT c.rig, a, b FROM c JOIN dp p ON p.rig = c.rig AND p.j = a JOIN dp q ON q.rig = c.rig AND q.j = b WHERE p.depth + q.depth - 2 * m > 2),
-    cp AS (SELECT x.clip, x.rig, x.frame, x.j, y.px AS ax, y.py AS ay, y.pz AS az, x.px AS bx, x.py AS by, x.pz AS bz FROM positions x JOIN joints n ON n.rig = x.rig AND n.j = x.j AND n.parent >= 0 JOIN positions y ON y.clip = x.clip AND y.frame = x.frame AND y.j = n.parent WHERE x.frame % 8 = 1),
+    cp AS (SELECT x.clip, x.rig, x.frame, x.j, y.px AS ax, y.py AS ay, y.pz AS az, x.px AS bx, x.py AS by, x.pz AS bz FROM positions x JOIN joints n ON n.rig = x.rig AND n.j = x.j AND n.parent >= 0 JOIN positions y ON y.clip = x.clip AND y.frame = x.frame AND y.j = n.parent),
     pp AS (SELECT x.clip, x.frame, x.ax AS a_ax, x.ay AS a_ay, x.az AS a_az, x.bx AS a_bx, x.by AS a_by, x.bz AS a_bz, y.ax AS b_ax, y.ay AS b_ay, y.az AS b_az, y.bx AS b_bx, y.by AS b_by, y.bz AS b_bz FROM cp x JOIN fa ON fa.rig = x.rig AND fa.a = x.j JOIN cp y ON y.clip = x.clip AND y.frame = x.frame AND y.j = fa.b)
     SELECT clip, frame, round(max(0.2 - apart), 5) AS depth FROM """ + _nearest("pp") + " WHERE apart < 0.2 GROUP BY clip, frame",
     "positions",
@@ -256,12 +256,12 @@ OVERLAPS = with_views(
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, joints = load(spark, sf_dir, "frames", "joints")
-    rows = frames.where("frame < 6").join(joints.select("rig", "j", "parent"), "rig")
+    rows = frames.join(joints.select("rig", "j", "parent"), "rig")
     k = F.col("s") * (F.col("j") + 1)
     return rows.select("clip", "frame", "j", "parent", g.qunit(g.quat(F.lit(1.0), k * 0.1, F.col("s"), -k * 0.2)).alias("q"))
 
 
-_TURNS = """, k0 AS (SELECT f.clip, f.frame, n.j, n.parent, s, s * (n.j + 1) AS k FROM frames f JOIN joints n ON n.rig = f.rig WHERE frame < 6),
+_TURNS = """, k0 AS (SELECT f.clip, f.frame, n.j, n.parent, s, s * (n.j + 1) AS k FROM frames f JOIN joints n ON n.rig = f.rig),
 tq AS (SELECT clip, frame, j, parent, 1 / h AS w, k * 0.1 / h AS x, s / h AS y, -k * 0.2 / h AS z FROM (SELECT *, sqrt(1 + pow(k * 0.1, 2) + s * s + pow(k * 0.2, 2)) AS h FROM k0))"""
 
 

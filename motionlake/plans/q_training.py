@@ -148,11 +148,11 @@ CASES = with_views("SELECT rig, text, min(clip) AS clip FROM captions GROUP BY 1
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     (captions,) = load(spark, sf_dir, "captions")
-    return t.pick_reference_clip(captions.where("lang = 'es'"), 5, 42)
+    return t.pick_reference_clip(captions, 5, 42)
 
 
 REFERENCES = with_views(
-    """, r AS (SELECT rig, clip, row_number() OVER (PARTITION BY rig ORDER BY md5('42|' || clip)) - 1 AS k, count(*) OVER (PARTITION BY rig) AS n FROM captions WHERE lang = 'es')
+    """, r AS (SELECT rig, clip, row_number() OVER (PARTITION BY rig ORDER BY md5('42|' || clip)) - 1 AS k, count(*) OVER (PARTITION BY rig) AS n FROM captions)
     SELECT rig, CAST(slot AS INT) AS slot, clip FROM r, range(0, 5) AS s(slot) WHERE slot % least(n, 5) = k""",
     "captions",
 )

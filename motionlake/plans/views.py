@@ -2,7 +2,7 @@
 
 Each is one SQL text that Spark and DuckDB both run, so a query and the SQL that
 it is held against start from the same rows. A rig's number is its order's; a user's
-clip hangs on the rig with the user's number, if there is one.
+clip hangs on the rig with the user's number, or the nearest of the next seven.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ CASE WHEN l_partkey % 4 = 0 THEN 'Bone.' || lpad(CAST(jj AS STRING), 3, '0') WHE
 CASE WHEN l_partkey % 4 = 0 THEN 'Bone' WHEN l_partkey % 4 = 1 AND jj >= 4 THEN sd || CASE WHEN k = 0 THEN 'Back Leg Upper' WHEN k = 1 THEN 'Front Leg Lower' WHEN k = 2 THEN 'Hind Leg' WHEN k = 3 THEN 'Arm' ELSE 'Leg' END
 WHEN l_partkey % 4 = 2 AND c > 9 THEN sd || 'Frog' WHEN c = 0 OR c = 1 THEN 'Index Finger' WHEN c = 2 THEN sd || 'Finger' WHEN c = 3 OR c = 4 THEN sd || 'Leg' WHEN c = 5 THEN sd || 'Rex Toe' WHEN c = 6 THEN sd || 'Collar' WHEN c = 7 THEN sd || 'Thigh Rear' WHEN c = 8 THEN sd || 'Foot' WHEN c = 9 THEN sd || 'Middle Finger End' WHEN c = 10 THEN 'Cola' ELSE 'Spine' END AS label FROM w""",
     "rigs": "SELECT rig, CAST(substr(rig, 2) AS BIGINT) AS r, count(*) AS n_joints FROM joints GROUP BY rig",
-    "clips": """SELECT u.user_id, g.rig, g.n_joints, g.rig || '-u' || CAST(u.user_id AS STRING) AS clip FROM (SELECT DISTINCT user_id FROM events) u JOIN rigs g ON g.r = u.user_id""",
+    "clips": """SELECT u.user_id, g.rig, g.n_joints, g.rig || '-u' || CAST(u.user_id AS STRING) AS clip FROM (SELECT n.user_id, min(k.r) AS r FROM (WITH e AS (SELECT DISTINCT user_id FROM events) SELECT user_id, user_id + 0 AS r FROM e UNION ALL SELECT user_id, user_id + 1 AS r FROM e UNION ALL SELECT user_id, user_id + 2 AS r FROM e UNION ALL SELECT user_id, user_id + 3 AS r FROM e UNION ALL SELECT user_id, user_id + 4 AS r FROM e UNION ALL SELECT user_id, user_id + 5 AS r FROM e UNION ALL SELECT user_id, user_id + 6 AS r FROM e UNION ALL SELECT user_id, user_id + 7 AS r FROM e) n JOIN rigs k ON k.r = n.r GROUP BY n.user_id) u JOIN rigs g ON g.r = u.r""",
     "frames": """SELECT c.clip, c.rig, CAST(e.f AS INT) AS frame, e.s FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
 sum(CASE WHEN event_type IN ('click', 'purchase') THEN value ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1000.0 AS s FROM events) e
 JOIN clips c ON c.user_id = e.user_id""",
