@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.geometry import let, matrix_to_q, q_to_6d, qbetween, qconj, qmul, qrot, quat, qunit, r6_to_matrix, vadd, vec, vnorm, vscale, vsub
+from ..functions.geometry import let, matrix_to_q, q_to_6d, qbetween, qconj, qmul, qrot, quat, qunit, r6_to_matrix, vadd, vdot, vec, vnorm, vscale, vsub
 from .frames import nearest_valid_fill
 from .trees import forward_kinematics
 
@@ -135,6 +135,29 @@ def feature_row_gate(features: DataFrame, frames: DataFrame, tolerance: float =
     return every.select("clip", reason.alias("reason"), "error")
 
 
+def travel_direction(frames: DataFrame, pairs: DataFrame, window: int = 200, samples: int = 8, least: float = 0.8) -> DataFrame:
+    """frames(clip, rig, frame from 0, pose), pairs(rig, right, left, body_axis, height): clip, net (the root's way over the ground in heights, within the window) and direction.
+
+    The direction is forward or backward if the mean cosine of the way with the
+    facings of about `samples` frames is beyond `least`, else empty: also for rigs
+    without a pair, clips that don't travel and frames in which the pair
+    coincides. With a body axis the right joint is the head's and the left the
+    tail's.
+    """
+    rows = frames.where(F.col("frame") < window)
+    root = F.get("pose", F.lit(0))["p"]
+    ends = rows.groupBy("clip", "rig").agg(F.count(F.lit(1)).alias("n"), F.min_by(root, "frame").alias("a"), F.max_by(root, "frame").alias("b"))
+    ends = ends.join(pairs, "rig", "left").withColumn("way", vec(F.col("b.x") - F.col("a.x"), F.lit(0.0), F.col("b.z") - F.col("a.z")))
+    ends = ends.select("clip", "right", "left", "body_axis", "way", vnorm(F.col("way")).alias("length"), F.coalesce("height", F.lit(1.0)).alias("height"), F.greatest(F.floor(F.col("n") / samples), F.lit(1)).alias("step"))
+    seen = rows.join(ends.where("length > 0 AND right IS NOT NULL"), "clip").where(F.col("frame") % F.col("step") == 0)
+    across = vsub(F.get("pose", F.col("left"))["p"], F.get("pose", F.col("right"))["p"])
+    ahead = seen.withColumn("across", across).withColumn("ahead", F.when(F.col("body_axis"), vec(-F.col("across.x"), F.lit(0.0), -F.col("across.z"))).otherwise(vec(-F.col("across.z"), F.lit(0.0), F.col("across.x"))))
+    cosine = vdot(F.col("ahead"), F.col("way")) / (vnorm(F.col("ahead")) * F.col("length"))
+    mean = ahead.where(vnorm(F.col("ahead")) > EPSILON).groupBy("clip").agg(F.avg(cosine).alias("c"))
+    word = F.when(F.col("c") > least, "forward").when(F.col("c") < -least, "backward").otherwise("")
+    return ends.join(mean, "clip", "left").select("clip", (F.col("length") / F.col("height")).alias("net"), word.alias("direction"))
+
+
 def upside_down_audit(joints: DataFrame, extent: float = 0.1) -> DataFrame:
     """joints(rig, part, y, extent): rigs whose feet are on average higher than their heads by more than a share of their extent."""
     per = joints.groupBy("rig").agg(F.avg(F.when(F.col("part") == "Foot", F.col("y"))).alias("feet"), F.avg(F.when(F.col("part") == "Head", F.col("y"))).alias("head"), F.max("extent").alias("extent"))

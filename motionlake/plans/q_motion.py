@@ -81,7 +81,25 @@ AMPLITUDES = with_views(
     "positions",
 )
 
+
+
+def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, rigs = _poses(spark, sf_dir)
+    pairs = rigs.select("rig", "right", "left", (F.size("joints") % 2 == 1).alias("body_axis"), F.lit(0.5).alias("height"))
+    return m.travel_direction(frames, pairs).select("clip", F.round("net", 6).alias("net"), "direction")
+
+
+DIRECTIONS = with_views(
+    """, w AS (SELECT * FROM positions WHERE frame < 200), g AS (SELECT rig, count(*) % 2 = 1 AS axis FROM joints GROUP BY rig HAVING count(*) >= 3),
+    e AS (SELECT clip, w.rig, any_value(axis) AS axis, count(*) AS n, arg_max(px, frame) - arg_min(px, frame) AS dx, arg_max(pz, frame) - arg_min(pz, frame) AS dz FROM w JOIN g ON g.rig = w.rig WHERE j = 0 GROUP BY clip, w.rig),
+    a AS (SELECT e.clip, dx, dz, CASE WHEN axis THEN r.px - l.px ELSE r.pz - l.pz END AS fx, CASE WHEN axis THEN r.pz - l.pz ELSE l.px - r.px END AS fz FROM e JOIN w r ON r.clip = e.clip AND r.j = 1 JOIN w l ON l.clip = r.clip AND l.frame = r.frame AND l.j = 2 WHERE r.frame % greatest(n // 8, 1) = 0),
+    c AS (SELECT clip, avg((dx * fx + dz * fz) / (sqrt(fx * fx + fz * fz) * sqrt(dx * dx + dz * dz))) AS c FROM a WHERE sqrt(fx * fx + fz * fz) > 1e-6 AND dx * dx + dz * dz > 0 GROUP BY clip)
+    SELECT e.clip, round(sqrt(dx * dx + dz * dz) / 0.5, 6) AS net, CASE WHEN c > 0.8 THEN 'forward' WHEN c < -0.8 THEN 'backward' ELSE '' END AS direction FROM e LEFT JOIN c ON c.clip = e.clip""",
+    "positions",
+)
+
 QUERIES = {
+    "g14_travel_direction": (directions, DIRECTIONS),
     "g4_facing": (facings, FACINGS),
     "g5_g8_features_recovered": (recovered, RECOVERED),
     "g18_upside_down": (upside_down, UPSIDE_DOWN),

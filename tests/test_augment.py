@@ -190,3 +190,20 @@ def test_chordal_mean(spark):
         top = np.linalg.eigh(q.T @ q)[1][:, -1]
         df = spark.createDataFrame([([[*map(float, x)] for x in q],)], "t array<array<double>>").select(m.chordal_mean(F.transform("t", lambda x: quat(x[0], x[1], x[2], x[3]))).alias("m"))
         assert abs(abs(np.dot(top, tuple(df.first().m))) - 1) < 1e-6
+
+
+def test_travel_direction(spark):
+    def clip(name, rig, way, turn=0):
+        """Two frames and more of a root and a pair 1 (right, at -x) and 2 (left), that face +Z or, turned, +X."""
+        out = []
+        for f in range(20):
+            x, z = float(way[0] * f), float(way[1] * f)
+            pair = ((x, z + 0.2), (x, z - 0.2)) if turn else ((x - 0.2, z), (x + 0.2, z))
+            out.append((name, rig, f, [(x, 1.0, z), (pair[0][0], 1.0, pair[0][1]), (pair[1][0], 1.0, pair[1][1])]))
+        return out
+
+    rows = clip("on", "a", (0, 0.1)) + clip("back", "a", (0, -0.1)) + clip("aside", "a", (0.1, 0)) + clip("still", "a", (0, 0)) + clip("turned", "a", (0.1, 0), 1) + clip("none", "x", (0, 0.1)) + clip("axis", "b", (-0.1, 0))
+    frames = spark.createDataFrame(rows, "clip string, rig string, frame int, p array<struct<x:double,y:double,z:double>>").select("clip", "rig", "frame", F.transform("p", lambda p: F.struct(p.alias("p"))).alias("pose"))
+    pairs = spark.createDataFrame([("a", 1, 2, False, 2.0), ("b", 1, 2, True, 1.0)], "rig string, right int, left int, body_axis boolean, height double")
+    got = {r.clip: (round(r.net, 6), r.direction) for r in m.travel_direction(frames, pairs).collect()}
+    assert got == {"on": (0.95, "forward"), "back": (0.95, "backward"), "aside": (0.95, ""), "still": (0.0, ""), "turned": (0.95, "forward"), "none": (1.9, ""), "axis": (1.9, "forward")}
