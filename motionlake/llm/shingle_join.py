@@ -15,9 +15,12 @@ both texts' shingles then decide. The order puts shingles that a
 bounded sample finds common last, and goes by XXH64 otherwise: it decides how
 many pairs are compared, never which are linked.
 
-Buckets of up to SMALL texts give all their pairs. In larger ones each text is
-first compared with the bucket's first, and then only texts that aren't
-connected by then, so that a large group of copies isn't compared pair by pair.
+A group of copies is paired about once a text: before that join, texts meet
+under their LOWEST shingles by hash, each with the middle one in size of those it
+meets, and from then on texts that are connected aren't paired again. Buckets of
+up to SMALL texts then give all their pairs. In larger ones each text is first
+compared with the bucket's first and the next, and then only texts that aren't
+connected by then.
 
 Cases: a null doc_id comes before all others; null or blank text has one empty
 shingle; fewer words than a shingle are one shingle; an empty table gives an
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +54,9 @@ BLOCK = 1024
 ROWS = 64
 #: Longs of parities, a power of two.
 MARKS = 8
-PREFIXES = "h long, node long, n int, pos int, marks array<long>"
+#: Shingles, lowest by hash, under which groups of copies meet first.
+LOWEST = 4
+PREFIXES = "node long, n int, hs array<long>, low array<long>, marks array<long>"
 SEED = 42
 
 
@@ -70,32 +76,31 @@ def prefix_length(n: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, weights: np.ndarray, whole: bool = False) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (h, node, n, pos, marks) for each shingle of the prefix, or for all, the marks with the first only; repeated nodes of a task only once."""
+    """(node, text) to (node, n, hs, low, marks): the hashes of the prefix, or of all shingles, in order, the lowest and the parities; repeated nodes of a task only once."""
     seen: set[int] = set()
     for batch in batches:
-        hs, nodes, sizes, places, marks = [], [], [], [], []
+        nodes, sizes, lists = [], [], ([], [], [])
         for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if node in seen:
                 continue
             seen.add(node)
             h = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.as_py())], np.uint64).view(np.int64))
-            n = len(h)
+            nodes.append(node)
+            sizes.append(len(h))
             odd = (np.bincount(h & (64 * MARKS - 1), minlength=64 * MARKS) & 1).astype(np.uint8)
-            marks.append(np.packbits(odd, bitorder="little").view("<i8"))
+            lists[1].append(h[:LOWEST])
+            lists[2].append(np.packbits(odd, bitorder="little").view("<i8"))
             if not whole:
+                n = len(h)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.lexsort((h, np.where(common[at] == h, weights[at], 0)))]
                 h = h[: prefix_length(n)]
-            hs.append(h)
-            nodes.append(np.full(len(h), node, np.int64))
-            sizes.append(np.full(len(h), n, np.int32))
-            places.append(np.arange(len(h), dtype=np.int32))
-        if hs:
-            columns = [np.concatenate(x) for x in (hs, nodes, sizes, places)]
-            ends = np.concatenate(([0], np.cumsum(np.where(columns[3] == 0, MARKS, 0)))).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(marks)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), listed], names=["h", "node", "n", "pos", "marks"])
+            lists[0].append(h)
+        if nodes:
+            ends = [np.cumsum([0, *map(len, x)]).astype(np.int32) for x in lists]
+            listed = [pa.ListArray.from_arrays(pa.array(e), pa.array(np.concatenate(x))) for e, x in zip(ends, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *listed], names=["node", "n", "hs", "low", "marks"])
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -104,10 +109,11 @@ def _possible(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     return (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * most >= 4 * (n[i] + n[j]))
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (h, node, n, pos, root) sorted by h, n and node to candidate pairs (a < b). A large bucket gives pairs with its first node only, and itself
-    as (h, null); with `rest`, buckets give all pairs whose roots differ. A bucket that spans batches is carried on."""
-    told: set[tuple[int, int]] = set()
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node, n, pos, root) sorted by h, n and node to candidate pairs (a < b) of unlike roots; a null root is the node. `middle`: each node with
+    its bucket's middle one. `some`: all pairs of a small bucket, of a large one pairs with its first node and of neighbours, and itself as (h, null).
+    `rest`: all pairs. A bucket that spans batches is carried on."""
+    few = {"middle": 1, "some": SMALL, "rest": ROWS}[how]
 
     def batch_of(a: list[np.ndarray], b: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -128,12 +134,9 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.
         size = np.diff(np.concatenate((new, [len(h)])))
         a, b, keys, held = [], [], [], 0
         # buckets of few texts side by side: each row with the next, the one after it, and so on, as far as a bucket goes
-        few = ROWS if rest else SMALL
         i, d = np.flatnonzero((h[1:] == h[:-1]) & (np.repeat(size, size) <= few)[:-1]), 1
         while len(i):
-            ok = _possible(n, pos, i, i + d)
-            if rest:
-                ok &= root[i] != root[i + d]
+            ok = _possible(n, pos, i, i + d) & (root[i] != root[i + d])
             a.append(node[i[ok]])
             b.append(node[i[ok] + d])
             d += 1
@@ -141,20 +144,18 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.
             i = i[h[i] == h[i + d]]
         for g in np.flatnonzero(size > few).tolist():
             s, m = int(new[g]), int(size[g])
-            if not rest:
-                i, j = np.full(m - 1, s), np.arange(s + 1, s + m)
-                ok = _possible(n, pos, i, j)
+            if (root[s : s + m] == root[s]).all():
+                continue
+            if how != "rest":
+                i, j = np.full(m, s + m // 2 if how == "middle" else s), np.arange(s, s + m)
+                if how == "some":
+                    # chains of neighbours connect what the first doesn't reach
+                    i, j = np.concatenate((i, j[:-1])), np.concatenate((j, j[1:]))
+                    keys.append(int(h[s]))
+                ok = _possible(n, pos, i, j) & (root[i] != root[j])
                 a.append(node[i[ok]])
                 b.append(node[j[ok]])
-                # chains of neighbours connect what the first doesn't reach
-                i = np.arange(s, s + m - 1)
-                ok = _possible(n, pos, i, i + 1)
-                a.append(node[i[ok]])
-                b.append(node[i[ok] + 1])
-                keys.append(int(h[s]))
-                held += 2 * m
-            elif (root[s : s + m] == root[s]).all():
-                continue
+                held += int(ok.sum())
             else:
                 for p in range(s, s + m, BLOCK):
                     for q in range(p, s + m, BLOCK):
@@ -170,17 +171,24 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[pa.
                 a, b, keys, held = [], [], [], 0
         yield from batch_of(a, b, keys)
 
-    left: list[np.ndarray] = []
+    def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    # parts of the last bucket so far, put together once it ends
+    held_back: list[list[np.ndarray]] = []
     for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
-        rows = [np.concatenate((x, y)) for x, y in zip(left, rows, strict=True)] if left else rows
-        if not len(rows[0]):
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy() for c in [*batch.columns[:4], pc.coalesce(batch.column(4), batch.column(1))]]
+        if held_back and rows[0][-1] == held_back[0][0][0]:
+            held_back.append(rows)
             continue
-        last = int(np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))[-1])
+        rows = joined([*held_back, rows])
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
         yield from pairs([x[:last] for x in rows])
-        left = [x[last:] for x in rows]
-    if left:
-        yield from pairs(left)
+        held_back = [[x[last:] for x in rows]]
+    if held_back:
+        yield from pairs(joined(held_back))
 
 
 def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -216,7 +224,7 @@ def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     one_of = max(1, texts.count() // SAMPLE)
     none = np.zeros(0, np.int64)
     sample = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(one_of)) == 0)
-    counted = sample.mapInArrow(lambda b: _prefixes(b, none, none, True), PREFIXES).groupBy("h").count()
+    counted = sample.mapInArrow(lambda b: _prefixes(b, none, none, True), PREFIXES).select(F.explode("hs").alias("h")).groupBy("h").count()
     rows = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas().sort_values("h")
     return rows["h"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
@@ -232,12 +240,6 @@ def closest(docs: DataFrame) -> DataFrame:
     return _verified(staged(stars.union(near.join(x, "a").join(y, "b").select("p", "q")), "close"), docs)
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) that roots(node, root) don't connect."""
-    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    return pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """docs(node, text): (node, root) for nodes connected to others by similar pairs; root is the smallest of them."""
     small_batches(docs.sparkSession)
@@ -245,28 +247,37 @@ def groups(docs: DataFrame) -> DataFrame:
     near = components(close)
     common, weights = _order(docs)
     shared = docs.sparkSession.sparkContext.broadcast((common, weights))
-    rows = docs.mapInArrow(lambda b: _prefixes(b, *shared.value), PREFIXES)
-    rows = staged(rows, "prefixes")
-    marks = staged(rows.where("pos = 0").select("node", "n", "marks").dropDuplicates(["node"]), "marks")
+    rows = staged(docs.mapInArrow(lambda b: _prefixes(b, *shared.value), PREFIXES), "prefixes")
+    marks = staged(rows.select("node", "n", "marks").dropDuplicates(["node"]), "marks")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pairs(rows: DataFrame, rest: bool) -> DataFrame:
-        dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "n", "node")
-        return dealt.mapInArrow(lambda b: _bucket_pairs(b, rest), "a long, b long").distinct()
-
-    found = staged(pairs(rows.select("h", "node", "n", "pos", F.lit(0).cast("long").alias("root")), False), "candidates")
-    links = close.union(_verified(_likely(_apart(found.where("b IS NOT NULL"), near), marks), docs))
+    def pairs(rows: DataFrame, roots: DataFrame, how: str) -> DataFrame:
+        """Candidates of rows(node, n, hs) by hash, and the large buckets, staged."""
+        opened = rows.join(roots, "node", "left").select(F.posexplode("hs").alias("pos", "h"), "node", "n", "root").select("h", "node", "n", "pos", "root")
+        if how == "rest":
+            opened = opened.join(large, "h", "left_semi")
+        dealt = opened.repartition(parts, "h").sortWithinPartitions("h", "n", "node")
+        return staged(dealt.mapInArrow(lambda b: _bucket_pairs(b, how), "a long, b long").distinct(), "candidates")
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        likely = _likely(found.where("b IS NOT NULL"), marks)
+        discard(found)
+        return _verified(likely, docs)
+
+    # by the lowest shingles any two places are possible, so each of them is the first of a list
+    lowest = rows.select("node", "n", F.explode("low").alias("h")).select("node", "n", F.array("h").alias("hs"))
+    links = close.union(confirmed(pairs(lowest, near, "middle")))
     roots = components(links)
+    found = pairs(rows.select("node", "n", "hs"), roots, "some")
     large = staged(found.where("b IS NULL").select(F.col("a").alias("h")), "large-buckets")
-    discard(found)
+    links = links.union(confirmed(found))
+    roots = components(links)
     if large.isEmpty():
         discard(rows, marks)
         return roots
-    left = rows.join(large, "h", "left_semi").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    found = staged(pairs(left, True), "candidates")
-    likely = _likely(found, marks)
-    discard(found, rows, marks)
-    return components(links.union(_verified(likely, docs)))
+    links = links.union(confirmed(pairs(rows.select("node", "n", "hs"), roots, "rest")))
+    discard(rows, marks)
+    return components(links)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
