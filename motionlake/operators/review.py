@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import bbox_extent
 from ..functions.names import norm_bone_name, raw_side
 from .captions import name_keys, unify_roots
-from .trees import tree_positions
+from .trees import down, to_rigs, tree_positions
 
 AXES = ("x", "y", "z")
 
@@ -83,19 +84,34 @@ def curation_lists(entries: DataFrame, clips: DataFrame) -> DataFrame:
     return out.select("key", "n", status.alias("status"))
 
 
-def mirror_conflicts(joints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """joints(rig, j, label, x, y, z), pairs(rig, right, left): limbs, by part, whose sides lie the wrong way round along the pair's axis; flagged if two or more are judged and most conflict."""
-    place = joints.select("rig", F.col("j"), *AXES)
-    axis = pairs
+def limb_pairs(joints: DataFrame, pairs: DataFrame, tolerance: float = 0.02, cosine: float = 0.5) -> DataFrame:
+    """joints(rig, j, parent, label, x, y, z), pairs(rig, right, left, and body_axis if there are such): (rig, part, right, left, conflict) of the mirrored limbs that can be judged.
+
+    A limb is a connected run of joints of one side, named by its first joint's part; it counts if it is the only one of its part and side. Limbs are
+    judged by their centres on the ground plane, unless those are nearer than `tolerance` of the rig's largest extent, and conflict if they lie the other
+    way round than the pair by more than `cosine`. Head and tail axes and pairs without a distance on the ground judge nothing.
+    """
+    rows = joints.select("rig", "j", "parent", _side("label").alias("side"), _bare("label").alias("part"), *AXES)
+    rigs = to_rigs(rows, ["parent", "side", "part", *AXES])
+    heads = down(F.col("joints"), lambda x: F.struct(x["j"].alias("head"), x["side"].alias("side")), lambda up, x: F.struct(F.when(x["side"] == up["side"], up["head"]).otherwise(x["j"]).alias("head"), x["side"].alias("side")))
+    members = rigs.withColumn("heads", heads).select("rig", F.explode_outer(F.zip_with("joints", "heads", lambda x, h: F.struct(*(x[c].alias(c) for c in ("j", "side", "part", *AXES)), h["head"].alias("head")))).alias("m")).select("rig", "m.*")
+    centres = members.where("side IS NOT NULL").groupBy("rig", "side", "head").agg(F.max(F.when(F.col("j") == F.col("head"), F.col("part"))).alias("part"), F.avg("x").alias("x"), F.avg("z").alias("z"))
+    both = centres.groupBy("rig", "part").agg(*(F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("right", "left")), *(F.max(F.when(F.col("side") == s, F.struct("head", "x", "z"))).alias(s) for s in ("right", "left")))
+    both = both.where("n_right = 1 AND n_left = 1").select("rig", "part", F.col("right.head").alias("right"), F.col("left.head").alias("left"), *((F.col(f"right.{a}") - F.col(f"left.{a}")).alias(f"g{a}") for a in "xz"))
+    axis = pairs.where(~F.coalesce("body_axis", F.lit(False))) if "body_axis" in pairs.columns else pairs
     for side in ("right", "left"):
-        axis = axis.join(place.select("rig", F.col("j").alias(side), *(F.col(a).alias(f"{side[0]}{a}") for a in AXES)), ["rig", side])
-    axis = axis.select("rig", *((F.col(f"r{a}") - F.col(f"l{a}")).alias(f"a{a}") for a in AXES))
-    limbs = joints.withColumn("side", _side("label")).where("side IS NOT NULL").groupBy("rig", _bare("label").alias("part")).agg(
-        *(F.avg(F.when(F.col("side") == s, F.col(a))).alias(f"{s[0]}{a}") for s in ("right", "left") for a in AXES)
-    )
-    judged = limbs.where("rx IS NOT NULL AND lx IS NOT NULL").join(axis, "rig")
-    along = sum(((F.col(f"r{a}") - F.col(f"l{a}")) * F.col(f"a{a}") for a in AXES), F.lit(0.0))
-    per = judged.groupBy("rig").agg(F.count(F.lit(1)).alias("judged"), F.count_if(along < 0).alias("conflicts"))
+        axis = axis.join(joints.select("rig", F.col("j").alias(side), *(F.col(a).alias(f"{side[0]}{a}") for a in "xz")), ["rig", side])
+    axis = axis.select("rig", *((F.col(f"r{a}") - F.col(f"l{a}")).alias(f"a{a}") for a in "xz")).withColumn("across", F.hypot("ax", "az")).where("across >= 1e-8")
+    size = joints.groupBy("rig").agg(bbox_extent(list(AXES)).alias("extent"))
+    size = size.withColumn("extent", F.when(F.col("extent") > 0, F.col("extent")).otherwise(1.0))
+    judged = both.join(axis, "rig").join(size, "rig").withColumn("gap", F.hypot("gx", "gz")).where(F.col("gap") >= tolerance * F.col("extent")).where("gap > 0")
+    along = (F.col("gx") * F.col("ax") + F.col("gz") * F.col("az")) / F.col("across") / F.col("gap")
+    return judged.select("rig", "part", "right", "left", (along < -cosine).alias("conflict"))
+
+
+def mirror_conflicts(joints: DataFrame, pairs: DataFrame, tolerance: float = 0.02, cosine: float = 0.5) -> DataFrame:
+    """(rig, judged, conflicts, flagged) of rigs with limb_pairs: flagged if two or more are judged and most conflict."""
+    per = limb_pairs(joints, pairs, tolerance, cosine).groupBy("rig").agg(F.count(F.lit(1)).alias("judged"), F.count_if("conflict").alias("conflicts"))
     return per.withColumn("flagged", (F.col("judged") >= 2) & (F.col("conflicts") * 2 > F.col("judged")))
 
 

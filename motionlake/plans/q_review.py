@@ -111,13 +111,19 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.mirror_conflicts(_labels(spark, sf_dir).join(_placed(spark, sf_dir), ["rig", "j"]), _pairs(spark, sf_dir))
-
-
-_CONFLICTS = _LABELS + _PAIRS + """, ax AS (SELECT fp.rig, a.ox - b.ox AS x, a.oy - b.oy AS y, a.oz - b.oz AS z FROM fp JOIN joints a ON a.rig = fp.rig AND a.j = "right" JOIN joints b ON b.rig = fp.rig AND b.j = "left"),
-lm AS (SELECT e.rig, e.part, avg(ox) FILTER (side = 'right') - avg(ox) FILTER (side = 'left') AS x, avg(oy) FILTER (side = 'right') - avg(oy) FILTER (side = 'left') AS y, avg(oz) FILTER (side = 'right') - avg(oz) FILTER (side = 'left') AS z
-  FROM e JOIN joints p ON p.rig = e.rig AND p.j = e.j WHERE side IS NOT NULL GROUP BY e.rig, e.part),
-mc AS (SELECT lm.rig, count(*) AS judged, count_if(round(lm.x * ax.x + lm.y * ax.y + lm.z * ax.z, 12) < 0) AS conflicts FROM lm JOIN ax ON ax.rig = lm.rig WHERE lm.x IS NOT NULL GROUP BY lm.rig)"""
+    (joints,) = load(spark, sf_dir, "joints")
+    return r.mirror_conflicts(_labels(spark, sf_dir).join(_placed(spark, sf_dir), ["rig", "j"]).join(joints.select("rig", "j", "parent"), ["rig", "j"]), _pairs(spark, sf_dir))
+
+
+_CONFLICTS = _LABELS + _PAIRS + """, ax AS (SELECT fp.rig, a.ox - b.ox AS x, a.oz - b.oz AS z FROM fp JOIN joints a ON a.rig = fp.rig AND a.j = "right" JOIN joints b ON b.rig = fp.rig AND b.j = "left"),
+sl AS (SELECT e.rig, e.j, p.parent, e.side, e.part, ox, oz FROM e JOIN joints p ON p.rig = e.rig AND p.j = e.j),
+lh AS (WITH RECURSIVE a AS (SELECT s.rig, s.j, s.j AS head, s.side FROM sl s LEFT JOIN sl q ON q.rig = s.rig AND q.j = s.parent WHERE s.side IS NOT NULL AND q.side IS DISTINCT FROM s.side
+  UNION ALL SELECT a.rig, s.j, a.head, a.side FROM a JOIN sl s ON s.rig = a.rig AND s.parent = a.j AND s.side = a.side) SELECT * FROM a),
+li AS (SELECT h.rig, h.side, h.head, max(s.part) FILTER (s.j = h.head) AS part, avg(ox) AS x, avg(oz) AS z FROM lh h JOIN sl s ON s.rig = h.rig AND s.j = h.j GROUP BY h.rig, h.side, h.head),
+lm AS (SELECT rig, part, max(x) FILTER (side = 'right') - max(x) FILTER (side = 'left') AS x, max(z) FILTER (side = 'right') - max(z) FILTER (side = 'left') AS z FROM li GROUP BY rig, part HAVING count(*) FILTER (side = 'right') = 1 AND count(*) FILTER (side = 'left') = 1),
+bx AS (SELECT rig, greatest(max(ox) - min(ox), max(oy) - min(oy), max(oz) - min(oz)) AS extent FROM joints GROUP BY rig),
+mc AS (SELECT lm.rig, count(*) AS judged, count_if((lm.x * ax.x + lm.z * ax.z) / sqrt(ax.x * ax.x + ax.z * ax.z) / sqrt(lm.x * lm.x + lm.z * lm.z) < -0.5) AS conflicts FROM lm JOIN ax ON ax.rig = lm.rig JOIN bx ON bx.rig = lm.rig
+  WHERE sqrt(ax.x * ax.x + ax.z * ax.z) >= 1e-8 AND sqrt(lm.x * lm.x + lm.z * lm.z) > 0 AND sqrt(lm.x * lm.x + lm.z * lm.z) >= 0.02 * CASE WHEN extent > 0 THEN extent ELSE 1 END GROUP BY lm.rig)"""
 CONFLICTS = with_views(_CONFLICTS + " SELECT *, judged >= 2 AND conflicts * 2 > judged AS flagged FROM mc", "labels_raw", "joints")
 
 
