@@ -52,6 +52,8 @@ COMMON = 50_000
 BLOCK = 1024
 #: Texts of a bucket up to which its pairs are made side by side with other buckets'.
 ROWS = 64
+#: Candidates, one long each, up to which their list is broadcast to pick their texts; a longer one is joined by a shuffle.
+LISTED = 2_000_000
 #: Longs of parities, a power of two.
 MARKS = 8
 #: Shingles, lowest by hash, under which groups of copies meet first.
@@ -211,11 +213,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(similar(mine, shingles(y.as_py())))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = staged(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    nodes = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidate-nodes")
+    # a list of numbers whose length is known spares all other texts the shuffle
+    wanted = F.broadcast(nodes) if nodes.count() <= LISTED else nodes
+    chosen = staged(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
     x, y = chosen.select(F.col("node").alias("a"), F.col("text").alias("x")), chosen.select(F.col("node").alias("b"), F.col("text").alias("y"))
     links = staged(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-    discard(chosen, pairs)
+    discard(chosen, nodes, pairs)
     return links
 
 
