@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 def lookup_ci(keys: DataFrame, meta: DataFrame, key: str, order: str) -> DataFrame:
     """Each key's row of meta: the exact match, else the first match by `order` that differs in case only. Keys without one keep nulls."""
-    right = meta.select(F.lower(key).alias("_k"), F.struct(*[F.col(c) for c in meta.columns]).alias("_m"))
-    found = keys.withColumn("_k", F.lower(key)).join(right, "_k", "left")
-    best = F.min_by("_m", F.struct((F.col(f"_m.{key}") != F.col(key)).alias("other"), F.col(f"_m.{order}").alias("ord")))
-    return found.groupBy(*keys.columns).agg(best.alias("_m")).select(*keys.columns, *(F.col(f"_m.{c}").alias(f"meta_{c}") for c in meta.columns))
+    # one row a spelling, so that names which many rows share don't multiply
+    row = F.struct(*[F.col(c) for c in meta.columns])
+    spelt = meta.groupBy(F.lower(key).alias("_k"), F.col(key).alias("_n")).agg(F.min_by(row, F.struct(order)).alias("_m"))
+    any_case = spelt.groupBy("_k").agg(F.min_by("_m", F.struct(f"_m.{order}", "_n")).alias("_any"))
+    found = keys.distinct().withColumn("_k", F.lower(key)).join(any_case, "_k", "left")
+    out = found.join(spelt.select("_n", F.col("_m").alias("_own")), F.col(key) == F.col("_n"), "left").withColumn("_m", F.coalesce("_own", "_any"))
+    return out.select(*keys.columns, *(F.col(f"_m.{c}").alias(f"meta_{c}") for c in meta.columns))
 
 
 def rekey(segments: DataFrame, captions: DataFrame, stem: Column) -> DataFrame:
