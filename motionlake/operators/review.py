@@ -209,25 +209,26 @@ def clean_joint_names(joints: DataFrame, fixed: DataFrame, tokens: DataFrame) ->
     return rows.select("rig", "j", "raw", F.coalesce("_fixed", F.concat(side, "_part"), F.lit("Bone")).alias("label"))
 
 
-def limb_context(joints: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str]) -> DataFrame:
-    """joints(rig, j, parent, label): parts that a neighbour of either side decides. under: (part, its parent's part) to the new part; above: (part, a child's part) to the new part."""
+def limb_context(joints: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str], same_side: bool = False) -> DataFrame:
+    """joints(rig, j, parent, label): parts that a neighbour decides, of either side or, with same_side, of the joint's own. under: (part, its parent's part) to the new part; above: (part, a child's part) to the new part."""
     part, side = _bare("label"), F.regexp_extract("label", "^(?:Left |Right )?", 0)
     rows = joints.withColumn("_p", part).withColumn("_s", side)
-    up = rows.select("rig", F.col("j").alias("parent"), F.col("_p").alias("_up"))
-    down = rows.groupBy("rig", F.col("parent").alias("j")).agg(F.collect_set("_p").alias("_down"))
+    mark = F.col("_s") if same_side else F.lit("")
+    up = rows.select("rig", F.col("j").alias("parent"), F.concat(mark, "_p").alias("_up"))
+    down = rows.groupBy("rig", F.col("parent").alias("j")).agg(F.collect_set(F.concat(mark, "_p")).alias("_down"))
     out = rows.join(up, ["rig", "parent"], "left").join(down, ["rig", "j"], "left")
     new = F.lit(None).cast("string")
     for (a, b), name in under.items():
-        new = F.coalesce(new, F.when((F.col("_p") == a) & (F.col("_up") == b), name))
+        new = F.coalesce(new, F.when((F.col("_p") == a) & (F.col("_up") == F.concat(mark, F.lit(b))), name))
     for (a, b), name in above.items():
-        new = F.coalesce(new, F.when((F.col("_p") == a) & F.array_contains("_down", F.lit(b)), name))
+        new = F.coalesce(new, F.when((F.col("_p") == a) & F.array_contains("_down", F.concat(mark, F.lit(b))), name))
     return out.withColumn("label", F.when(new.isNotNull(), F.concat("_s", new)).otherwise(F.col("label"))).select(*joints.columns)
 
 
-def rule_annotation(joints: DataFrame, fixed: DataFrame, tokens: DataFrame, ranks: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str]) -> tuple[DataFrame, DataFrame]:
+def rule_annotation(joints: DataFrame, fixed: DataFrame, tokens: DataFrame, ranks: DataFrame, under: dict[tuple[str, str], str], above: dict[tuple[str, str], str], same_side: bool = False) -> tuple[DataFrame, DataFrame]:
     """joints(rig, j, parent, raw) to (labels, facing pairs): names by rule, limbs by their neighbours, roots made one, then the pair."""
     cleaned = clean_joint_names(joints, fixed, tokens).join(joints.select("rig", "j", "parent"), ["rig", "j"])
-    labelled = unify_roots(limb_context(cleaned, under, above))
+    labelled = unify_roots(limb_context(cleaned, under, above, same_side))
     return labelled, select_face_pair(labelled, ranks)
 
 

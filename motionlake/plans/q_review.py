@@ -471,13 +471,13 @@ _CLEANED = _LABELS + """, cn AS (SELECT l.rig, l.j, CASE WHEN lower(regexp_repla
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     (raw,) = load(spark, sf_dir, "labels_raw")
-    labels, pairs = r.rule_annotation(raw.select("rig", "j", "parent", "raw"), *_rule_tables(spark), spark.createDataFrame(FACES, "part string, rank int"), UNDER, ABOVE)
+    labels, pairs = r.rule_annotation(raw.select("rig", "j", "parent", "raw"), *_rule_tables(spark), spark.createDataFrame(FACES, "part string, rank int"), UNDER, ABOVE, same_side=True)
     return labels.join(pairs.select("rig", "right", "left"), "rig", "left").select("rig", "j", "label", ((F.col("j") == F.col("right")) | (F.col("j") == F.col("left"))).alias("faces"))
 
 
 ANNOTATED = with_views(
     _CLEANED + """, sd AS (SELECT *, regexp_extract(label, '^(?:Left |Right )?') AS s, regexp_replace(label, '^(?:Left|Right) ', '') AS p FROM cn),
-    lc AS (SELECT x.rig, x.j, x.s, CASE WHEN x.p = 'Leg' AND u.p = 'Thigh' THEN 'Shin' WHEN x.p = 'Arm' AND EXISTS (SELECT 1 FROM sd d WHERE d.rig = x.rig AND d.parent = x.j AND d.p = 'Forearm') THEN 'Upper Arm' ELSE x.p END AS p FROM sd x LEFT JOIN sd u ON u.rig = x.rig AND u.j = x.parent),
+    lc AS (SELECT x.rig, x.j, x.s, CASE WHEN x.p = 'Leg' AND u.p = 'Thigh' AND u.s = x.s THEN 'Shin' WHEN x.p = 'Arm' AND EXISTS (SELECT 1 FROM sd d WHERE d.rig = x.rig AND d.parent = x.j AND d.s = x.s AND d.p = 'Forearm') THEN 'Upper Arm' ELSE x.p END AS p FROM sd x LEFT JOIN sd u ON u.rig = x.rig AND u.j = x.parent),
     dg AS (SELECT lc.*, regexp_extract_all(raw, '[0-9]+') AS d FROM lc JOIN labels_raw r ON r.rig = lc.rig AND r.j = lc.j WHERE s <> ''),
     bp AS (SELECT x.rig, x.p, x.j AS r, y.j AS l, CASE x.p WHEN 'Thigh' THEN 1 WHEN 'Upper Arm' THEN 2 ELSE 3 END AS rank, CASE WHEN x.d = y.d THEN 0 WHEN x.d[1 : len(x.d) - 1] = y.d[1 : len(y.d) - 1] THEN 1 ELSE 2 END AS m FROM dg x JOIN dg y ON y.rig = x.rig AND y.p = x.p AND x.s = 'Right ' AND y.s = 'Left '),
     f AS (SELECT rig, r, l FROM (SELECT *, row_number() OVER (PARTITION BY rig ORDER BY rank, p, m, r, l) AS k FROM bp) WHERE k = 1)
