@@ -9,7 +9,8 @@ with each flip; a bucket keeps chains within the third budget and then checks
 all 64 bits. Distinct fingerprints only are compared, and a bucket returns the
 links of a spanning forest, never all its pairs.
 
-Cases: a null doc_id comes before all others; null or blank text has no words and the fingerprint 0, linked like any
+Cases: a null doc_id is no component's smallest unless all of its are null, and
+comes first where one row of each is kept; null or blank text has no words and the fingerprint 0, linked like any
 other; fewer words than a shingle are one shingle; repeated rows share a
 fingerprint; an empty table gives an empty table; other columns are ignored.
 """
@@ -31,7 +32,7 @@ SEGMENTS = 4
 BITS = 16
 MAX_DIFFERENCE = 3
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-#: Stands for a null doc_id, which comes first.
+#: Stands for a null doc_id, which comes first, where one row of each component is kept.
 NO_ID = -(1 << 63)
 #: Rows of a bucket that are compared with as many others at once; fingerprints from which a key is dealt out again.
 BLOCK = 2048
@@ -198,11 +199,10 @@ def classes(prints: DataFrame, limit: int = MAX_DIFFERENCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, limit: int = MAX_DIFFERENCE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for each row of docs. The classes are written before they are joined, so that they are broadcast if small, and otherwise Spark splits what many rows share."""
-    named_docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    prints = staged(fingerprints(named_docs, width), "fingerprints")
+    prints = staged(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width), "fingerprints")
     found = classes(prints, limit)
-    out = prints.join(found, F.col("fp") == F.col("_fp"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "fp", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    out = prints.join(found, F.col("fp") == F.col("_fp"), "left")
+    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = 3, limit: int = MAX_DIFFERENCE) -> DataFrame:
