@@ -9,7 +9,7 @@ from .common import staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a long, b long) to (node, root): root is the smallest node reachable. Nodes without an edge aren't listed.
+    """edges(a long, b long) to (node, root): root is the smallest node reachable. Roots themselves and nodes without an edge aren't listed.
 
     Each step is an aggregate with partial sums and one equi-join, whose hot
     centres Spark splits; every round is written to the shared folder, so a

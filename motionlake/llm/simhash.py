@@ -190,6 +190,8 @@ def classes(prints: DataFrame, limit: int = MAX_DIFFERENCE) -> DataFrame:
     """prints(doc_id, fp), written: fp, its component's root fingerprint and component_id, for the fingerprints that several rows have or that are linked; other rows are alone."""
     first = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     roots = components(links(first.select("fp"), limit))
+    # roots are listed under others only, but belong to their components too
+    roots = roots.union(roots.select("root", "root").distinct())
     linked = staged(first.join(roots, first["fp"] == roots["node"]).select("fp", "root", "first"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     alone = first.where("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
