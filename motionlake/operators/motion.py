@@ -166,18 +166,17 @@ def upside_down_audit(joints: DataFrame, extent: float = 0.1) -> DataFrame:
 
 def name_pairs_by_mirror(joints: DataFrame, share: float = 0.03) -> DataFrame:
     """joints(rig, j, x, y, z, extent): for each rig's better lateral axis the joints that mirror each other within a share of its extent."""
-    out = None
-    for axis in ("x", "z"):
-        other = "z" if axis == "x" else "x"
-        a = joints.select("rig", "extent", F.col("j").alias("a"), F.col(axis).alias("s"), "y", F.col(other).alias("o"))
-        b = joints.select("rig", F.col("j").alias("b"), F.col(axis).alias("s2"), F.col("y").alias("y2"), F.col(other).alias("o2"))
-        d = F.sqrt(F.pow(F.col("s") + F.col("s2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("o") - F.col("o2"), 2))
-        met = a.join(b, "rig").where((F.col("a") != F.col("b")) & (F.col("s") > 0) & (F.col("s2") < 0)).withColumn("d", d).where(F.col("d") <= F.col("extent") * share)
-        best = met.groupBy("rig", "a").agg(F.min_by("b", F.struct("d", "b")).alias("b")).withColumn("axis", F.lit(axis))
-        out = best if out is None else out.unionByName(best)
-    n = out.groupBy("rig", "axis").agg(F.count(F.lit(1)).alias("n"))
-    axis = n.groupBy("rig").agg(F.min_by("axis", F.struct(-F.col("n"), F.col("axis"))).alias("axis"))
-    return out.join(axis, ["rig", "axis"]).select("rig", "axis", "a", "b")
+    axes = F.array(*(F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("s"), F.col(other).alias("o")) for axis, other in (("x", "z"), ("z", "x"))))
+    # both axes are rows of one table: a union of tables that are grouped by rig may be grouped wrongly after it
+    rows = joints.select("rig", "extent", "j", "y", F.explode(axes).alias("at")).select("rig", "extent", "j", "y", "at.*")
+    a = rows.where("s > 0").withColumnRenamed("j", "a")
+    b = rows.where("s < 0").select("rig", "axis", F.col("j").alias("b"), F.col("s").alias("s2"), F.col("y").alias("y2"), F.col("o").alias("o2"))
+    d = F.sqrt(F.pow(F.col("s") + F.col("s2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("o") - F.col("o2"), 2))
+    met = a.join(b, ["rig", "axis"]).where(F.col("a") != F.col("b")).withColumn("d", d).where(F.col("d") <= F.col("extent") * share)
+    best = met.groupBy("rig", "axis", "a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    best = best.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rig", "axis")))
+    most = F.min(F.struct((-F.col("n")).alias("n"), "axis")).over(Window.partitionBy("rig"))
+    return best.withColumn("most", most).where("axis = most.axis").select("rig", "axis", "a", "b")
 
 
 def rotation_amplitude(frames: DataFrame) -> DataFrame:
