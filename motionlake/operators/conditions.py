@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .topology import spectral_features
-from .trees import ancestors, to_rigs, topology_condition
+from ..sources.staging import staged
+from .topology import tree_key, tree_spectra
+from .trees import ancestors, condition_of, to_rigs
 
 #: Numbers of the relations that trees.joint_pairs names.
 RELATIONS = {"self": 0, "parent": 1, "child": 2, "sibling": 3, "none": 4, "end_effector": 5}
@@ -26,6 +27,11 @@ def _each(n: Column, value) -> Column:
 def joint_matrices(joints: DataFrame, clamp: int = 5) -> DataFrame:
     """joints(rig, j, parent): (rig, parents, relations, distances), the last two with a row and a column for each joint: numbers of RELATIONS, and steps along the tree, `clamp` at most."""
     rigs = to_rigs(joints, ["parent"]).select("rig", F.transform("joints", lambda x: x["parent"]).alias("parents"), ancestors(F.col("joints")).alias("up"))
+    return rigs.select("rig", "parents", *matrices(clamp))
+
+
+def matrices(clamp: int = 5) -> list[Column]:
+    """relations and distances from a rig's columns `parents` and `up`, each joint's ancestors."""
     n = F.size("parents")
 
     def relation(a: Column, b: Column) -> Column:
@@ -37,7 +43,7 @@ def joint_matrices(joints: DataFrame, clamp: int = 5) -> DataFrame:
         ua, ub = F.get("up", a), F.get("up", b)
         return F.least(F.size(ua) + F.size(ub) - 2 * F.size(F.array_intersect(ua, ub)), F.lit(clamp))
 
-    return rigs.select("rig", "parents", _each(n, lambda a: _each(n, lambda b: relation(a, b))).alias("relations"), _each(n, lambda a: _each(n, lambda b: distance(a, b))).alias("distances"))
+    return [_each(n, lambda a: _each(n, lambda b: relation(a, b))).alias("relations"), _each(n, lambda a: _each(n, lambda b: distance(a, b))).alias("distances")]
 
 
 def rig_condition(joints: DataFrame, pairs: DataFrame | None = None, clamp: int = 5, k: int = 8) -> DataFrame:
@@ -46,8 +52,12 @@ def rig_condition(joints: DataFrame, pairs: DataFrame | None = None, clamp: int
     The columns of trees.topology_condition, parents, relations, distances, depths, edges (both directions, as two arrays),
     spectra (k values a joint) and face (right, left), null for a rig without a pair.
     """
-    spectra = spectral_features(joints, k).groupBy("rig").agg(F.array_sort(F.collect_list(F.struct("j", "values"))).alias("s")).select("rig", F.transform("s", lambda x: x["values"]).alias("spectra"))
-    out = topology_condition(joints).join(joint_matrices(joints, clamp), "rig").join(spectra, "rig")
+    rows = joints.select("rig", F.col("j").cast("int").alias("j"), F.col("parent").cast("int").alias("parent"), "name", "length")
+    # written: the trees that are solved are distinct ones, and each rig takes its own
+    rigs = staged(to_rigs(rows, ["parent", "name", "length"]), "condition-rigs").withColumn("parents", F.transform("joints", lambda x: x["parent"])).withColumn("tree", tree_key("parents"))
+    out = condition_of(rigs).withColumnRenamed("anc", "up").withColumn("parents", F.transform("joints", lambda x: x["parent"])).withColumn("tree", tree_key("parents"))
+    out = out.join(tree_spectra(rigs, k).withColumnRenamed("values", "spectra"), "tree").drop("tree")
+    out = out.select("rig", "n_joints", "joints", "template", "diameter", "chains", "parents", *matrices(clamp), "spectra")
     bones = F.filter(F.transform("parents", lambda p, j: F.struct(j.alias("j"), p.alias("p"))), lambda x: x["p"] >= 0)
     child, parent = F.transform(bones, lambda x: x["j"]), F.transform(bones, lambda x: x["p"])
     out = out.withColumn("depths", F.transform("joints", lambda x: x["depth"])).withColumn("edges", F.array(F.concat(child, parent), F.concat(parent, child)))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .trees import down, to_rigs
@@ -29,8 +29,16 @@ def spectral_features(joints: DataFrame, k: int = 8) -> DataFrame:
     Only distinct trees are solved, in Arrow batches, and joined back by their
     parents. Signs, and bases of equal eigenvalues, are free.
     """
-    rigs = to_rigs(joints, ["parent"]).select("rig", F.transform("joints", lambda x: x["parent"]).alias("parents")).withColumn("tree", F.sha1(F.array_join(F.transform("parents", lambda p: p.cast("string")), ",")))
+    rigs = to_rigs(joints, ["parent"]).select("rig", F.transform("joints", lambda x: x["parent"]).alias("parents")).withColumn("tree", tree_key("parents"))
+    return rigs.join(tree_spectra(rigs, k), "tree").select("rig", F.posexplode("values").alias("j", "values"))
 
+
+def tree_key(parents: str) -> Column:
+    return F.sha1(F.array_join(F.transform(parents, lambda p: p.cast("string")), ","))
+
+
+def tree_spectra(rigs: DataFrame, k: int) -> DataFrame:
+    """rigs(tree, parents): (tree, values), for each distinct tree a row of k values a joint."""
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -39,8 +47,7 @@ def spectral_features(joints: DataFrame, k: int = 8) -> DataFrame:
                 rows.append([np.pad(r[1 : k + 1], (0, max(0, k + 1 - len(r))))[:k].tolist() for r in v])
             yield pd.DataFrame({"tree": batch["tree"], "values": rows})
 
-    solved = rigs.groupBy("tree").agg(F.first("parents").alias("parents")).mapInPandas(solve, "tree string, values array<array<double>>")
-    return rigs.join(solved, "tree").select("rig", F.posexplode("values").alias("j", "values"))
+    return rigs.groupBy("tree").agg(F.first("parents").alias("parents")).mapInPandas(solve, "tree string, values array<array<double>>")
 
 
 def eigenbasis_audit(joints: DataFrame, features: DataFrame) -> DataFrame:
