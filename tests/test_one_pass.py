@@ -3,7 +3,7 @@
 import random
 import re
 
-from motionlake.operators import conditions, review
+from motionlake.operators import conditions, review, rig_context
 
 
 def joins(df):
@@ -41,3 +41,25 @@ def test_rig_condition_in_the_rigs_row(spark):
     assert (b.n_joints, b.diameter, b.chains, b.distances, b.spectra) == (1, None, [[0]], [[0]], [[0.0, 0.0]])
     # each rig's tree only
     assert joins(out) == 1
+
+
+def test_names_are_looked_up_where_they_are(spark):
+    raws = ["mixamorig:LeftUpLeg_001", "Leg.R_02", "Spine1", "spine_003", "", "123", "R_ForeArm", None]
+    joints = spark.createDataFrame([("a", j, raw) for j, raw in enumerate(raws)], "rig string, j int, raw string")
+    fixed = spark.createDataFrame([("spine", "Spine")], "bone string, label string")
+    tokens = spark.createDataFrame([("up leg", "Thigh"), ("leg", "Leg"), ("arm", "Arm"), (None, "Odd")], "key string, part string")
+    found = review.clean_joint_names(joints, fixed, tokens)
+    assert [r.label for r in found.orderBy("j").collect()] == ["Left Thigh", "Right Leg", "Bone", "Spine", "Bone", "Bone", "Right Arm", "Bone"]
+    assert {r.label for r in review.clean_joint_names(joints, fixed, tokens.where("false")).collect()} == {"Spine", "Bone"}
+    # the two tables of rules; no row for each key of a name
+    assert joins(found) == 2 and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_keep_their_size(spark, monkeypatch):
+    joints = spark.range(200).selectExpr("'r' || (id div 4) AS rig", "CAST(id % 4 AS int) AS j", "CAST(id % 4 - 1 AS int) AS parent", "'Left Leg' AS label")
+    want = sorted(tuple(r) for r in rig_context.limb_context(joints).collect())
+    monkeypatch.setattr(rig_context, "EACH", 10)
+    # one more than 200 / 10, whatever the session's number of shuffle partitions
+    found = rig_context.with_ancestors(joints)
+    assert found.rdd.getNumPartitions() == 21
+    assert sorted(tuple(r) for r in rig_context.limb_context(joints).collect()) == want and len(want) == 200
