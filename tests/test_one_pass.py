@@ -63,3 +63,11 @@ def test_tasks_keep_their_size(spark, monkeypatch):
     found = rig_context.with_ancestors(joints)
     assert found.rdd.getNumPartitions() == 21
     assert sorted(tuple(r) for r in rig_context.limb_context(joints).collect()) == want and len(want) == 200
+
+
+def test_rule_labels_are_written_once(spark):
+    joints = spark.createDataFrame([("a", 0, -1, "Spine"), ("a", 1, 0, "LeftArm_1"), ("a", 2, 1, "LeftForeArm_1"), ("a", 3, 0, "RightArm_1")], "rig string, j int, parent int, raw string")
+    tables = spark.createDataFrame([("spine", "Spine")], "bone string, label string"), spark.createDataFrame([("arm", "Arm"), ("fore arm", "Forearm")], "key string, part string")
+    labels, pairs = review.rule_annotation(joints, *tables, spark.createDataFrame([("Arm", 1)], "part string, rank int"), {}, {("Arm", "Forearm"): "Upper Arm"})
+    assert [r.label for r in labels.orderBy("j").collect()][1:] == ["Left Upper Arm", "Left Forearm", "Right Arm"]
+    assert pairs.count() == 0 and joins(labels) == 0
