@@ -84,9 +84,12 @@ def ellipsoid_shift(bone: Column, rig: Column, seed: int) -> Column:
     u = lambda name: draw(seed, rig, F.lit(name))
     radii = [F.abs(F.sqrt(-2 * F.ln(u(f"r{k}"))) * F.cos(2 * pi * u(f"a{k}"))) * SIGMA for k in range(TRIES)]
     radius = F.coalesce(*(F.when(r <= 1, r) for r in radii), F.lit(0.0))
-    height = 2 * u("z") - 1
-    flat = F.sqrt(1 - height * height)
-    unit = vec(height, flat * F.cos(2 * pi * u("phi")), flat * F.sin(2 * pi * u("phi")))
+
+    def unit(height: Column) -> Column:
+        return let(F.struct(F.sqrt(1 - height * height).alias("flat"), (2 * pi * u("phi")).alias("phi")), lambda a: vec(height, a["flat"] * F.cos(a["phi"]), a["flat"] * F.sin(a["phi"])))
+
+    # each draw is bound before it is used: whatever is named twice would be drawn twice
+    drawn = let(2 * u("z") - 1, lambda height: let(radius, lambda r: let(unit(height), lambda e: vscale(e, r))))
 
     def along(e: Column, d: Column, length: Column) -> Column:
         up, side = vec(F.lit(0.0), F.lit(1.0), F.lit(0.0)), vec(F.lit(1.0), F.lit(0.0), F.lit(0.0))
@@ -94,7 +97,7 @@ def ellipsoid_shift(bone: Column, rig: Column, seed: int) -> Column:
         return let(other, lambda f: let(vcross(e, f), lambda g: vadd(vadd(vscale(e, d["x"] * length), vscale(f, d["y"] * length * LATERAL)), vscale(g, d["z"] * length * LATERAL))))
 
     nothing = vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    return let(bone, lambda b: F.when(vnorm(b) < 1e-8, nothing).otherwise(let(vunit(b), lambda e: let(vscale(unit, radius), lambda d: along(e, d, vnorm(b))))))
+    return let(bone, lambda b: F.when(vnorm(b) < 1e-8, nothing).otherwise(let(vunit(b), lambda e: let(drawn, lambda d: along(e, d, vnorm(b))))))
 
 
 def joint_addition(rigs: DataFrame, frames: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -103,18 +106,21 @@ def joint_addition(rigs: DataFrame, frames: DataFrame, seed: int) -> tuple[DataF
     rows = rigs.withColumn("added", F.when(n > 1, (1 + F.floor(draw(seed, F.col("rig"), F.lit("joint")) * (n - 1))).cast("int")))
     bone = F.get("joints", F.col("added"))["p"]
     share = SPLIT[0] + (SPLIT[1] - SPLIT[0]) * draw(seed, F.col("rig"), F.lit("share"))
-    rows = rows.withColumn("_new", let(bone, lambda b: vadd(vscale(b, share), ellipsoid_shift(b, F.col("rig"), seed))))
     at = F.col("added")
+    place = let(F.struct(bone.alias("b"), share.alias("share")), lambda s: let(ellipsoid_shift(s["b"], F.col("rig"), seed), lambda moved: vadd(vscale(s["b"], s["share"]), moved)))
 
-    def shifted(x: Column) -> Column:
+    def shifted(x: Column, placed: Column) -> Column:
         new = x["j"] == at
         return F.struct(
-            (x["j"] + F.when(x["j"] >= at, 1).otherwise(0)).alias("j"), F.when(new, at).otherwise(x["parent"] + F.when(x["parent"] >= at, 1).otherwise(0)).alias("parent"), F.when(new, vsub(x["p"], F.col("_new"))).otherwise(x["p"]).alias("p")
+            (x["j"] + F.when(x["j"] >= at, 1).otherwise(0)).alias("j"), F.when(new, at).otherwise(x["parent"] + F.when(x["parent"] >= at, 1).otherwise(0)).alias("parent"), F.when(new, vsub(x["p"], placed)).otherwise(x["p"]).alias("p")
         )
 
-    put = F.struct(at.alias("j"), F.get("joints", at)["parent"].alias("parent"), F.col("_new").alias("p"))
-    whole = F.transform("joints", shifted)
-    rows = rows.withColumn("joints", F.when(at.isNull(), F.col("joints")).otherwise(F.concat(F.slice(whole, 1, at), F.array(put), F.slice(whole, at + 1, n)))).drop("_new")
+    def longer(placed: Column) -> Column:
+        put = F.struct(at.alias("j"), F.get("joints", at)["parent"].alias("parent"), placed.alias("p"))
+        return let(F.transform("joints", lambda x: shifted(x, placed)), lambda whole: F.concat(F.slice(whole, 1, at), F.array(put), F.slice(whole, at + 1, n)))
+
+    # bound: as a column of its own the place would be put into each joint's number and drawn there again
+    rows = rows.withColumn("joints", F.when(at.isNull(), F.col("joints")).otherwise(let(place, longer)))
     turns = F.concat(F.slice("turns", 1, at), F.array(identity()), F.slice("turns", at + 1, F.size("turns")))
     turned = frames.join(rows.select("rig", "added"), "rig").withColumn("turns", F.when(at.isNull(), F.col("turns")).otherwise(turns)).select(*frames.columns)
     return rows, turned
