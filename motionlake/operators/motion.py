@@ -49,54 +49,79 @@ def facing(frames: DataFrame, rigs: DataFrame) -> DataFrame:
 
 def canonicalize(frames: DataFrame, scale: DataFrame) -> DataFrame:
     """frames with facing, scale(rig, scale): turned by the first frame's facing, the root's first place at the origin, scaled, the lowest joint on the ground."""
-    first = frames.groupBy("clip").agg(F.min_by(F.struct("facing", F.get("pose", F.lit(0))["p"].alias("root")), "frame").alias("f"))
-    rows = frames.join(first, "clip").join(scale, "rig")
+    # windows over the clip, not joins: frames are dealt out once and worked out once
+    first = F.min_by(F.struct("facing", F.get("pose", F.lit(0))["p"].alias("root")), "frame").over(Window.partitionBy("clip"))
+    rows = frames.join(scale, "rig").withColumn("f", first)
     origin = vec(F.col("f.root.x"), F.lit(0.0), F.col("f.root.z"))
-    placed = F.transform("pose", lambda s: F.struct(vscale(qrot(F.col("f.facing"), vsub(s["p"], origin)), F.col("scale")).alias("p"), s["q"].alias("q")))
-    rows = rows.withColumn("pose", placed).withColumn("facing", qmul(F.col("facing"), qconj(F.col("f.facing"))))
-    low = rows.groupBy("clip").agg(F.min(F.array_min(F.transform("pose", lambda s: s["p"]["y"]))).alias("low"))
+
+    def place(s: Column) -> Column:
+        return let(vsub(s["p"], origin), lambda v: let(qrot(F.col("f.facing"), v), lambda r: F.struct(vscale(r, F.col("scale")).alias("p"), s["q"].alias("q"))))
+
+    rows = rows.withColumn("pose", F.transform("pose", place)).withColumn("facing", qmul(F.col("facing"), qconj(F.col("f.facing"))))
+    rows = rows.withColumn("low", F.min(F.array_min(F.transform("pose", lambda s: s["p"]["y"]))).over(Window.partitionBy("clip")))
     down = F.transform("pose", lambda s: F.struct(vec(s["p"]["x"], s["p"]["y"] - F.col("low"), s["p"]["z"]).alias("p"), s["q"].alias("q")))
-    return rows.join(low, "clip").withColumn("pose", down).select(*frames.columns)
+    return rows.withColumn("pose", down).select(*frames.columns)
 
 
 def motion_features(frames: DataFrame, rigs: DataFrame) -> DataFrame:
     """Twelve values for each joint and frame but the last: place from the root's ground point in the facing frame, the parent's turn as six numbers (the root has the facing), velocity turned by the next frame's facing."""
     w = by_frame()
-    rows = frames.withColumn("_next", F.lead(F.struct("pose", "facing")).over(w)).where("_next IS NOT NULL").join(rigs.select("rig", F.transform("joints", lambda x: x["parent"]).alias("_parent")), "rig")
+    # the join before the window, so that the frames of a clip stay together
+    rows = frames.join(rigs.select("rig", F.transform("joints", lambda x: x["parent"]).alias("_parent")), "rig").withColumn("_next", F.lead(F.struct("pose", "facing")).over(w)).where("_next IS NOT NULL")
 
     def one(s: Column, j: Column) -> Column:
-        root = F.get("pose", F.lit(0))["p"]
-        place = qrot(F.col("facing"), vec(s["p"]["x"] - root["x"], s["p"]["y"], s["p"]["z"] - root["z"]))
-        speed = qrot(F.col("_next.facing"), vsub(F.get(F.col("_next.pose"), j)["p"], s["p"]))
-        turn = F.when(F.get("_parent", j) < 0, F.col("facing")).otherwise(F.get("pose", F.get("_parent", j))["q"])
-        return let(place, lambda p: let(speed, lambda v: F.concat(F.array(p["x"], p["y"], p["z"]), q_to_6d(turn), F.array(v["x"], v["y"], v["z"]))))
+        # each value is bound before it is turned or written in numbers: what is named several times is worked out as often
+        ground = let(F.get("pose", F.lit(0))["p"], lambda root: vec(s["p"]["x"] - root["x"], s["p"]["y"], s["p"]["z"] - root["z"]))
+        step = let(F.get(F.col("_next.pose"), j)["p"], lambda after: vsub(after, s["p"]))
+        turn = let(F.get("_parent", j), lambda up: F.when(up < 0, F.col("facing")).otherwise(F.get("pose", up)["q"]))
+        place, speed = let(ground, lambda v: qrot(F.col("facing"), v)), let(step, lambda v: qrot(F.col("_next.facing"), v))
+        return let(place, lambda p: let(speed, lambda v: let(turn, lambda q: F.concat(F.array(p["x"], p["y"], p["z"]), q_to_6d(q), F.array(v["x"], v["y"], v["z"])))))
 
     # outer: no filter is inferred, which would work the arrays out once more below each column that they come from
     return rows.select("rig", "clip", "frame", "facing", F.posexplode_outer(F.transform("pose", one)).alias("j", "f")).where("j IS NOT NULL")
 
 
-def recover_positions(features: DataFrame) -> DataFrame:
-    """Joints' places from features: the root's path is the running sum of its velocities turned back, the others hang on it."""
-    root = features.where("j = 0").withColumn("_v", F.struct(F.col("f")[9].alias("x"), F.lit(0.0).alias("y"), F.col("f")[11].alias("z")))
+def _by_frame(features: DataFrame) -> DataFrame:
+    """One row a frame with its features in an array `slots` of struct(j, f)."""
+    return features.groupBy("clip", "frame").agg(F.first("rig").alias("rig"), F.first("facing").alias("facing"), F.array_sort(F.collect_list(F.struct("j", "f"))).alias("slots")).where(F.exists("slots", lambda s: s["j"] == 0))
+
+
+def _on_path(rows: DataFrame) -> DataFrame:
+    """Rows of _by_frame with `path`, the root's place over the ground: the running sum of its velocities turned back."""
+    own = F.get(F.filter("slots", lambda s: s["j"] == 0), F.lit(0))["f"]
     # velocity at t was turned by the facing at t + 1
-    back = qrot(qconj(F.col("facing")), F.lag("_v").over(by_frame()))
+    rows = rows.withColumn("_v", let(own, lambda f: vec(f[9], F.lit(0.0), f[11]))).withColumn("_v", F.lag("_v").over(by_frame())).withColumn("_v", let(F.col("_v"), lambda v: qrot(qconj(F.col("facing")), v)))
     # the first frame has no step: its fields are null
-    root = root.withColumn("_s", back)
     w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
-    path = root.select("clip", "frame", vec(F.sum(F.coalesce("_s.x", F.lit(0.0))).over(w), F.lit(0.0), F.sum(F.coalesce("_s.z", F.lit(0.0))).over(w)).alias("root"))
-    rows = features.join(path, ["clip", "frame"])
-    place = vadd(qrot(qconj(F.col("facing")), vec(F.col("f")[0], F.col("f")[1], F.col("f")[2])), F.col("root"))
-    return rows.select("clip", "frame", "j", place.alias("p"))
+    return rows.withColumn("path", vec(F.sum(F.coalesce("_v.x", F.lit(0.0))).over(w), F.lit(0.0), F.sum(F.coalesce("_v.z", F.lit(0.0))).over(w))).drop("_v")
+
+
+def _placed_by_features() -> Column:
+    """Of a row of _on_path, (j, p): each joint's place hangs on the root's path."""
+    def place(s: Column) -> Column:
+        return let(vec(*(s["f"][k] for k in range(3))), lambda v: let(qrot(qconj(F.col("facing")), v), lambda r: F.struct(s["j"].alias("j"), vadd(r, F.col("path")).alias("p"))))
+
+    return F.transform("slots", place)
+
+
+def recover_positions(features: DataFrame) -> DataFrame:
+    """Joints' places from features: the root's path is the running sum of its velocities turned back, the others hang on it."""
+    return _on_path(_by_frame(features)).select("clip", "frame", F.explode(_placed_by_features()).alias("s")).select("clip", "frame", "s.j", "s.p")
 
 
 def chordal_mean(turns: Column, rounds: int = 16) -> Column:
     """The rotation nearest to several unit quaternions taken together: the first eigenvector of the sum of their outer squares, by power iteration."""
 
+    def two(a: Column, b: Column) -> Column:
+        # their sum is that eigenvector, or their difference if they point apart; one is its own mean
+        return let(F.signum(a["w"] * b["w"] + a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]), lambda s: qunit(quat(*(a[k] + s * b[k] for k in "wxyz"))))
+
     def onward(v: Column) -> Column:
         total = F.aggregate(turns, quat(*(F.lit(0.0) for _ in range(4))), lambda a, q: let(q["w"] * v["w"] + q["x"] * v["x"] + q["y"] * v["y"] + q["z"] * v["z"], lambda d: quat(*(a[k] + q[k] * d for k in "wxyz"))))
         return qunit(total)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.get(turns, F.lit(0)), lambda v, _: onward(v))
+    few = let(F.get(turns, F.lit(0)), lambda a: let(F.get(turns, F.size(turns) - 1), lambda b: two(a, b)))
+    return F.when(F.size(turns) <= 2, few).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.get(turns, F.lit(0)), lambda v, _: onward(v)))
 
 
 def recover_from_rotations(features: DataFrame, rigs: DataFrame) -> DataFrame:
@@ -106,18 +131,24 @@ def recover_from_rotations(features: DataFrame, rigs: DataFrame) -> DataFrame:
     without children doesn't turn. The root's path is that of recover_positions,
     at the height that its row has; the places below follow down the tree.
     """
-    root = recover_positions(features.where("j = 0")).select("clip", "frame", "p")
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda s: let(r6_to_matrix(F.slice(s["f"], 4, 6)), matrix_to_q))
-    rows = features.groupBy("rig", "clip", "frame").agg(turns.alias("slots")).join(root, ["clip", "frame"]).join(rigs.select("rig", "joints"), "rig")
+    rows = _placed_by_turns(_on_path(_by_frame(features).join(rigs.select("rig", "joints"), "rig")))
+    return rows.select("clip", "frame", F.posexplode_outer("turned").alias("j", "p")).where("j IS NOT NULL")
+
+
+def _placed_by_turns(rows: DataFrame) -> DataFrame:
+    """Rows of _on_path with their rig's `joints` get `turned`, the places by turns in the order of joints."""
+    turns = F.transform("slots", lambda s: let(F.slice(s["f"], 4, 6), lambda six: let(r6_to_matrix(six), matrix_to_q)))
+    start = F.get(F.filter(_placed_by_features(), lambda s: s["j"] == 0), F.lit(0))["p"]
     none = quat(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
-    def own(x: Column) -> Column:
-        below = F.transform(F.filter("joints", lambda y: y["parent"] == x["j"]), lambda y: F.get("slots", y["j"]))
+    def own(x: Column, told: Column) -> Column:
+        below = F.transform(F.filter("joints", lambda y: y["parent"] == x["j"]), lambda y: F.get(told, y["j"]))
         return let(below, lambda b: F.when(F.size(b) > 0, chordal_mean(b)).otherwise(none))
 
-    local = F.transform("joints", lambda x: F.struct(x["j"].alias("j"), x["parent"].alias("parent"), F.when(x["parent"] < 0, F.col("p")).otherwise(x["p"]).alias("p"), own(x).alias("q")))
-    rows = forward_kinematics(rows.withColumn("joints", local))
-    return rows.select("clip", "frame", F.posexplode_outer(F.transform("world", lambda w: w["p"])).alias("j", "p")).where("j IS NOT NULL")
+    def local(told: Column, first: Column) -> Column:
+        return F.transform("joints", lambda x: F.struct(x["j"].alias("j"), x["parent"].alias("parent"), F.when(x["parent"] < 0, first).otherwise(x["p"]).alias("p"), own(x, told).alias("q")))
+
+    return forward_kinematics(rows.withColumn("joints", let(turns, lambda told: let(start, lambda first: local(told, first))))).withColumn("turned", F.transform("world", lambda w: w["p"])).drop("world")
 
 
 def feature_row_gate(features: DataFrame, frames: DataFrame, tolerance: float = 1e-4, rigs: DataFrame | None = None) -> DataFrame:
@@ -125,11 +156,20 @@ def feature_row_gate(features: DataFrame, frames: DataFrame, tolerance: float =
     bad = F.exists("f", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     odd = features.groupBy("clip").agg(F.bool_or(bad).alias("odd"))
     start = frames.groupBy("clip").agg(F.min_by(F.get("pose", F.lit(0))["p"], "frame").alias("o"))
-    source = frames.select("clip", "frame", F.posexplode("pose").alias("j", "s")).join(start, "clip").select("clip", "frame", "j", vec(F.col("s.p.x") - F.col("o.x"), F.col("s.p.y"), F.col("s.p.z") - F.col("o.z")).alias("want"))
-    found = recover_positions(features)
+    # a frame is one row all the way: its source joins by clip and frame, after which rows are dealt out by clip once
+    rows = _by_frame(features).join(frames.select("clip", "frame", "pose"), ["clip", "frame"], "left")
+    if rigs is not None:
+        rows = rows.join(rigs.select("rig", "joints"), "rig", "left")
+    rows = _on_path(rows).join(start, "clip")
+
+    def apart(j: Column, p: Column) -> Column:
+        return let(F.get("pose", j)["p"], lambda w: let(vsub(p, vec(w["x"] - F.col("o.x"), w["y"], w["z"] - F.col("o.z"))), vnorm))
+
+    errors = [F.array_max(F.transform(_placed_by_features(), lambda s: apart(s["j"], s["p"])))]
     if rigs is not None:
-        found = found.unionByName(recover_from_rotations(features, rigs))
-    error = found.join(source, ["clip", "frame", "j"]).groupBy("clip").agg(F.max(vnorm(vsub(F.col("p"), F.col("want")))).alias("error"))
+        rows = _placed_by_turns(rows)
+        errors.append(F.array_max(F.transform("turned", lambda p, j: apart(j, p))))
+    error = rows.groupBy("clip").agg(F.max(F.greatest(*errors, F.lit(None).cast("double"))).alias("error"))
     every = frames.select("clip").distinct().join(odd, "clip", "left").join(error, "clip", "left")
     reason = F.when(F.col("odd").isNull(), "no features").when(F.col("odd"), "not finite").when(F.col("error") > tolerance, "recovery differs")
     return every.select("clip", reason.alias("reason"), "error")

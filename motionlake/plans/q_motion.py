@@ -13,10 +13,12 @@ from .views import load, with_views
 
 def _poses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Frames of the rigs with three joints or more, and those rigs with joints 1 and 2 for a facing pair."""
-    positions, joints = load(spark, sf_dir, "positions", "joints")
+    positions, joints, clips = load(spark, sf_dir, "positions", "joints", "clips")
     turn = qunit(quat(F.lit(1.0), F.sin("px") * 0.3, F.sin("py") * 0.3, F.sin("pz") * 0.3))
     frames = positions.groupBy("clip", "rig", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", vec(F.col("px"), F.col("py"), F.col("pz")).alias("p"), turn.alias("q")))), lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q"))).alias("pose"))
-    rigs = joints.groupBy("rig").agg(F.array_sort(F.collect_list(F.struct("j", "parent"))).alias("joints")).where(F.size("joints") >= 3).withColumn("right", F.lit(1)).withColumn("left", F.lit(2))
+    # written: of the rigs those that clips hang on, for each of the steps that look them up
+    rigs = joints.groupBy("rig").agg(F.array_sort(F.collect_list(F.struct("j", "parent"))).alias("joints")).where(F.size("joints") >= 3)
+    rigs = staged(rigs.join(clips.select("rig").distinct(), "rig", "left_semi"), "clip-rigs").withColumn("right", F.lit(1)).withColumn("left", F.lit(2))
     return frames.join(rigs.select("rig"), "rig", "left_semi").select("clip", "rig", "frame", "pose"), rigs
 
 
