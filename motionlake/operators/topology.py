@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .trees import down, to_rigs
 
 
@@ -23,14 +25,24 @@ def laplacian(parents: list[int]) -> np.ndarray:
     return np.eye(n) * (a.sum(axis=1) > 0) - d[:, None] * a * d[None, :]
 
 
+def rig_spectra(joints: DataFrame, k: int = 8) -> DataFrame:
+    """(rig, parents, values): one row a rig with the rows of spectral_features as an array in joint order.
+
+    Only distinct trees are solved, in Arrow batches, and joined back by their
+    parents. Rigs and solved trees are written, so that trees are broadcast if they
+    are few and Spark splits the hot ones otherwise.
+    """
+    rigs = to_rigs(joints, ["parent"]).select("rig", F.transform("joints", lambda x: x["parent"].cast("int")).alias("parents"))
+    rigs = staged(rigs, "spectra-rigs").withColumn("tree", tree_key("parents"))
+    return rigs.join(staged(tree_spectra(rigs, k), "spectra"), "tree").select("rig", "parents", "values")
+
+
 def spectral_features(joints: DataFrame, k: int = 8) -> DataFrame:
     """(rig, j, values): eigenvectors 1 to k of the normalized Laplacian, of length one, zeros where the rig has fewer joints.
 
-    Only distinct trees are solved, in Arrow batches, and joined back by their
-    parents. Signs, and bases of equal eigenvalues, are free.
+    Signs, and bases of equal eigenvalues, are free.
     """
-    rigs = to_rigs(joints, ["parent"]).select("rig", F.transform("joints", lambda x: x["parent"]).alias("parents")).withColumn("tree", tree_key("parents"))
-    return rigs.join(tree_spectra(rigs, k), "tree").select("rig", F.posexplode("values").alias("j", "values"))
+    return rig_spectra(joints, k).select("rig", F.posexplode("values").alias("j", "values"))
 
 
 def tree_key(parents: str) -> Column:
@@ -50,16 +62,38 @@ def tree_spectra(rigs: DataFrame, k: int) -> DataFrame:
     return rigs.groupBy("tree").agg(F.first("parents").alias("parents")).mapInPandas(solve, "tree string, values array<array<double>>")
 
 
-def eigenbasis_audit(joints: DataFrame, features: DataFrame) -> DataFrame:
-    """Per rig and column: the squared length, and the largest residual of L v - (v L v) v, which is zero for an eigenvector."""
-    degree = joints.where("parent >= 0").select("rig", F.explode(F.array("j", "parent")).alias("j")).groupBy("rig", "j").agg(F.count(F.lit(1)).alias("d"))
-    v = features.select("rig", "j", F.posexplode("values").alias("c", "v")).join(degree, ["rig", "j"], "left").withColumn("u", F.col("v") / F.sqrt(F.coalesce("d", F.lit(1))))
-    bones = joints.where("parent >= 0").select("rig", F.col("j").alias("a"), F.col("parent").alias("b"))
-    both = bones.unionByName(bones.select("rig", F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(v.select("rig", F.col("j").alias("b"), "c", F.col("u").alias("w")), ["rig", "b"]).groupBy("rig", F.col("a").alias("j"), "c").agg(F.sum("w").alias("s"))
-    lv = v.join(near, ["rig", "j", "c"], "left").withColumn("lv", F.when(F.col("d").isNull(), 0.0).otherwise(F.col("v") - F.coalesce("s", F.lit(0.0)) / F.sqrt("d")))
-    mean = lv.groupBy("rig", "c").agg(F.sum(F.col("v") * F.col("lv")).alias("l"), F.sum(F.col("v") * F.col("v")).alias("length"))
-    return lv.join(mean, ["rig", "c"]).groupBy("rig", "c", "length").agg(F.max(F.abs(F.col("lv") - F.col("l") * F.col("v"))).alias("residual"))
+def eigenbasis_audit(rigs: DataFrame) -> DataFrame:
+    """rigs(rig, parents, values) as rig_spectra makes them: (rig, c, length, residual), per rig and column the squared length, and the largest residual of L v - (v L v) v, which is zero for an eigenvector.
+
+    A rig's row has all that this takes, so nothing is shuffled; the rigs of an Arrow batch are worked out together.
+    """
+    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parents, values = batch.column("parents"), batch.column("values")
+            n = parents.value_lengths().to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(n > 0)
+            if len(keep) == 0:
+                continue
+            first = np.concatenate(([0], np.cumsum(n[keep])[:-1]))
+            v = values.flatten().flatten().to_numpy(zero_copy_only=False).reshape(n.sum(), -1)
+            up, own = parents.flatten().to_numpy(zero_copy_only=False), np.arange(len(v))
+            at = np.repeat(first, n[keep])
+            child = np.flatnonzero((up >= 0) & (up + at != own))
+            parent = (up + at)[child]
+            degree = np.bincount(np.concatenate((child, parent)), minlength=len(v))[:, None]
+            u = v / np.sqrt(np.maximum(degree, 1))
+            s = np.zeros_like(v)
+            np.add.at(s, child, u[parent])
+            np.add.at(s, parent, u[child])
+            lv = np.where(degree > 0, v - s / np.sqrt(np.maximum(degree, 1)), 0.0)
+            along = np.add.reduceat(v * lv, first)
+            length = np.add.reduceat(v * v, first)
+            residual = np.maximum.reduceat(np.abs(lv - np.repeat(along, n[keep], axis=0) * v), first)
+            k = v.shape[1]
+            rig = batch.column("rig").take(pa.array(np.repeat(keep, k)))
+            yield pa.RecordBatch.from_arrays([rig, pa.array(np.tile(np.arange(k, dtype=np.int32), len(keep))), pa.array(length.ravel()), pa.array(residual.ravel())], ["rig", "c", "length", "residual"])
+
+    return rigs.select("rig", "parents", "values").mapInArrow(audit, "rig string, c int, length double, residual double")
 
 
 def prune_candidates(joints: DataFrame, motion: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.geometry import let, qmul, qrot, qunit, quat, vadd, vec, vnorm
 
 def to_rigs(joints: DataFrame, columns: list[str]) -> DataFrame:
     """joints(rig, j, ...) to one row a rig with an array `joints` of (j, columns) in joint order."""
-    return joints.groupBy("rig").agg(F.array_sort(F.collect_list(F.struct("j", *columns))).alias("joints"))
+    return joints.groupBy("rig").agg(F.sort_array(F.collect_list(F.struct("j", *columns))).alias("joints"))
 
 
 def down(joints: Column, start, step) -> Column:

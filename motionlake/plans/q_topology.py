@@ -13,7 +13,7 @@ from .views import load, with_views
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of unit length inside the eigenspaces, per rig: what is the same whichever basis the solver takes."""
     (joints,) = load(spark, sf_dir, "joints")
-    audit = t.eigenbasis_audit(joints, t.spectral_features(joints, 4))
+    audit = t.eigenbasis_audit(t.rig_spectra(joints, 4))
     return audit.groupBy("rig").agg(F.count_if(F.abs(F.col("length") - 1) < 1e-9).alias("columns"), F.bool_and(F.col("residual") < 1e-9).alias("solved"))
 
 
