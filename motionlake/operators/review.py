@@ -146,24 +146,29 @@ def review_flags(joints: DataFrame, parts: list[str], conflicts: DataFrame, weak
     return out.select("rig", "j", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
-def learn_name_map(joints: DataFrame, min_purity: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """joints(rig, j, parent, name, raw, label): (template, position, label: the majority's, null where it is tied) and (name, label) of names with a label in `min_purity` of their joints."""
-    placed = tree_positions(joints.select("rig", "j", "parent", "name")).join(joints.select("rig", "j", "raw", "label"), ["rig", "j"])
+def placed_joints(joints: DataFrame) -> DataFrame:
+    """joints(rig, j, parent, name, raw, label): (rig, j, label, position, bone), where in its rig's template each joint is and its name without counters, written once to learn from and to apply to."""
+    placed = tree_positions(joints, ("raw", "label"))
+    return staged(placed.select("rig", "j", "label", "position", norm_bone_name(F.col("raw")).alias("bone")), "placed-joints")
 
-    def majority(by: list[str]) -> DataFrame:
-        n = placed.withColumn("bone", norm_bone_name(F.col("raw"))).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
-        top = n.groupBy(*by).agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-        return n.join(top, by).where("n = top.n").groupBy(*by).agg(F.count(F.lit(1)).alias("ties"), F.first("top.label").alias("label"), (F.max("n") / F.max("all")).alias("purity"))
 
-    templates = majority(["template", "position"]).select("template", "position", F.when(F.col("ties") == 1, F.col("label")).alias("label"))
-    return templates, majority(["bone"]).where(F.col("purity") >= min_purity).select("bone", "label")
+def learn_name_map(placed: DataFrame, min_purity: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """placed_joints to (position, label: the majority's, null where it is tied) and (bone, label) of names with a label in `min_purity` of their joints."""
+    def majority(by: str) -> DataFrame:
+        n = placed.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
+        # of the labels with the largest count the last and the first by name, which are one unless they are tied
+        top = n.groupBy(by).agg(F.max(F.struct("n", "label")).alias("top"), F.min(F.struct(-F.col("n"), "label")).alias("low"), F.sum("n").alias("all"))
+        return top.select(by, F.col("top.label").alias("label"), (~F.col("top.label").eqNullSafe(F.col("low.label"))).alias("tied"), (F.col("top.n") / F.col("all")).alias("purity"))
 
+    templates = majority("position").select("position", F.when(~F.col("tied"), F.col("label")).alias("label"))
+    # written: broadcast if names are few, and Spark splits the hot ones otherwise
+    return templates, staged(majority("bone").where(F.col("purity") >= min_purity).select("bone", "label"), "bone-labels")
 
-def apply_name_map(joints: DataFrame, templates: DataFrame, names: DataFrame, weak: Column) -> DataFrame:
-    """Labels by template and position, else by name in place of weak ones: (rig, j, label, source)."""
-    placed = tree_positions(joints.select("rig", "j", "parent", "name")).join(joints.select("rig", "j", "raw", "label"), ["rig", "j"])
-    out = placed.withColumn("bone", norm_bone_name(F.col("raw"))).withColumn("_weak", weak)
-    out = out.join(templates.withColumnRenamed("label", "_t"), ["template", "position"], "left").join(names.withColumnRenamed("label", "_n"), "bone", "left")
+
+def apply_name_map(placed: DataFrame, templates: DataFrame, names: DataFrame, weak: Column) -> DataFrame:
+    """Labels of placed_joints by position, else by name in place of weak ones: (rig, j, label, source)."""
+    out = placed.withColumn("_weak", weak).join(names.withColumnRenamed("label", "_n"), "bone", "left")
+    out = out.join(templates.withColumnRenamed("label", "_t"), "position", "left")
     by_name = F.col("_weak") & F.col("_n").isNotNull()
     label = F.when(F.col("_t").isNotNull(), F.col("_t")).when(by_name, F.col("_n")).otherwise(F.col("label"))
     source = F.when(F.col("_t").isNotNull(), "template").when(by_name, "name").otherwise("own")

@@ -118,7 +118,7 @@ def rest_consistency(rigs: DataFrame, stated: str = "stated") -> DataFrame:
 def signatures(joints: Column) -> Column:
     """For each joint, from the last to the first, (j, parent, sig): SHA-1 of its name and its children's signatures, sorted."""
     def step(done: Column, x: Column) -> Column:
-        below = F.array_sort(F.transform(F.filter(done, lambda d: d["parent"] == x["j"]), lambda d: d["sig"]))
+        below = F.sort_array(F.transform(F.filter(done, lambda d: d["parent"] == x["j"]), lambda d: d["sig"]))
         sig = F.sha1(F.concat(x["name"], F.lit("("), F.array_join(below, ","), F.lit(")")))
         return F.concat(done, F.array(F.struct(x["j"].alias("j"), x["parent"].alias("parent"), sig.alias("sig"))))
 
@@ -136,14 +136,15 @@ def template_of(joints: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.filter(signatures(joints), lambda d: d["parent"] < 0), lambda d: d["sig"])), ",")
 
 
-def tree_positions(joints: DataFrame) -> DataFrame:
-    """(rig, j, template, position): a joint's position is the signatures from its root to it, which siblings with like subtrees share."""
-    rigs = to_rigs(joints.select("rig", F.col("j").cast("int").alias("j"), F.col("parent").cast("int").alias("parent"), "name"), ["parent", "name"])
-    signed = rigs.select("rig", F.array_sort(F.transform(signatures(F.col("joints")), lambda d: F.struct(d["j"].alias("j"), d["parent"].alias("parent"), d["sig"].alias("sig")))).alias("joints"))
-    placed = signed.withColumn("position", down(F.col("joints"), lambda x: x["sig"], lambda up, x: F.concat(up, F.lit("/"), x["sig"])))
-    roots = F.array_sort(F.transform(F.filter("joints", lambda d: d["parent"] < 0), lambda d: d["sig"]))
-    rows = placed.select("rig", F.array_join(roots, ",").alias("template"), F.explode(F.arrays_zip(F.transform("joints", lambda x: x["j"]).alias("j"), "position")).alias("p"))
-    return rows.select("rig", "p.j", "template", F.sha1("p.position").alias("position"))
+def tree_positions(joints: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rig, j, keep, template, position): a joint's position is the rig's template and the signatures from its root to it, which siblings with like subtrees share."""
+    rigs = to_rigs(joints.select("rig", F.col("j").cast("int").alias("j"), F.col("parent").cast("int").alias("parent"), "name", *keep), ["parent", "name", *keep])
+    # joints come in their order, signatures from the last to the first
+    signed = rigs.select("rig", "joints", F.reverse(signatures(F.col("joints"))).alias("signed"))
+    placed = signed.withColumn("path", down(F.col("signed"), lambda x: x["sig"], lambda up, x: F.concat(up, F.lit("/"), x["sig"])))
+    roots = F.sort_array(F.transform(F.filter("signed", lambda d: d["parent"] < 0), lambda d: d["sig"]))
+    rows = placed.select("rig", F.array_join(roots, ",").alias("template"), F.explode(F.arrays_zip("joints", "path")).alias("p"))
+    return rows.select("rig", *(F.col(f"p.joints.{c}").alias(c) for c in ("j", *keep)), "template", F.sha1(F.concat("template", F.lit("/"), "p.path")).alias("position"))
 
 
 def bfs_reorder(joints: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ nc AS (SELECT bone, label, count(*) AS n FROM lb GROUP BY ALL), nm AS (SELECT bo
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named(spark, sf_dir)
+    rows = r.placed_joints(_named(spark, sf_dir))
     return r.apply_name_map(rows, *r.learn_name_map(rows), F.col("label") == "Odd")
 
 
