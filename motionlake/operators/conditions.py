@@ -56,7 +56,7 @@ def rig_condition(joints: DataFrame, pairs: DataFrame | None = None, clamp: int
     # written: the trees that are solved are distinct ones, and each rig takes its own
     rigs = staged(to_rigs(rows, ["parent", "name", "length"]), "condition-rigs").withColumn("parents", F.transform("joints", lambda x: x["parent"])).withColumn("tree", tree_key("parents"))
     out = condition_of(rigs).withColumnRenamed("anc", "up").withColumn("parents", F.transform("joints", lambda x: x["parent"])).withColumn("tree", tree_key("parents"))
-    out = out.join(tree_spectra(rigs, k).withColumnRenamed("values", "spectra"), "tree").drop("tree")
+    out = out.join(staged(tree_spectra(rigs, k).withColumnRenamed("values", "spectra"), "spectra"), "tree").drop("tree")
     out = out.select("rig", "n_joints", "joints", "template", "diameter", "chains", "parents", *matrices(clamp), "spectra")
     bones = F.filter(F.transform("parents", lambda p, j: F.struct(j.alias("j"), p.alias("p"))), lambda x: x["p"] >= 0)
     child, parent = F.transform(bones, lambda x: x["j"]), F.transform(bones, lambda x: x["p"])
@@ -84,8 +84,9 @@ def padded_batches(batches: DataFrame, clips: DataFrame, features: DataFrame, co
     """
     slots = batches.select("batch", F.posexplode("clips").alias("slot", "clip")).join(clips.select("clip", "rig", "dataset"), "clip")
     sizes = slots.join(conditions.select("rig", "n_joints"), "rig").groupBy("batch").agg(F.max("n_joints").alias("w"))
-    frames = features.where(F.col("frame") < length).groupBy("clip", "j").agg(F.array_sort(F.collect_list(F.struct("frame", "f"))).alias("v"))
-    frames = frames.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("v"))
+    # dealt out by clip once, for both groupings
+    frames = features.where(F.col("frame") < length).select("clip", "j", "frame", "f").repartition("clip").groupBy("clip", "j").agg(F.sort_array(F.collect_list(F.struct("frame", "f"))).alias("v"))
+    frames = frames.groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("v"))
 
     def channel_values(name: str, root: bool) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col("is_root") == root, F.struct("channel", name))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.chance import seeded_order
 from ..operators import conditions as c
 from ..operators import training
+from ..sources.staging import staged
 from .q_captions import _LABELS
 from .q_review import _PAIRS, _lengths, _named, _pairs
 from .q_training import _CH, _features
@@ -46,10 +47,12 @@ def _total(nested: Column) -> Column:
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole batch of 16 clips, by the sizes of its padded rows and sums of what they hold."""
-    (clips,) = load(spark, sf_dir, "clips")
-    features = _features(spark, sf_dir)
-    joints = _lengths(spark, sf_dir).join(_named(spark, sf_dir).select("rig", "j", "name"), ["rig", "j"])
-    used = joints.join(clips.select("rig").distinct(), "rig", "left_semi")
+    clips, joints = load(spark, sf_dir, "clips", "joints")
+    # written: clips, and of all rigs' joints those that clips hang on, from which features, lengths and names are taken
+    clips = staged(clips, "clips")
+    given = {"clips": clips, "joints": staged(joints.join(clips.select("rig").distinct(), "rig", "left_semi").select(joints.columns), "clip-joints")}
+    features = _features(spark, sf_dir, given)
+    used = _lengths(spark, sf_dir, given).join(_named(spark, sf_dir, given).select("rig", "j", "name"), ["rig", "j"])
     own = clips.select("clip", "rig", F.substring("rig", -1, 1).alias("dataset"))
     out = c.padded_batches(
         training.export_batches(clips.select("clip"), 16, seeded_order(42, F.col("clip"))), own, features.select("clip", "frame", "j", "f"), c.rig_condition(used), training.stats_frame_weighted(features), LENGTH,

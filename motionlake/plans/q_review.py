@@ -166,8 +166,8 @@ _SIGNED = _UP + ", tn AS (SELECT n.rig, n.j, n.parent, depth, regexp_replace(raw
 ) + ", sg AS (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(8)) + "), tp AS (SELECT rig, string_agg(sig, ',' ORDER BY sig) AS template FROM sg WHERE parent < 0 GROUP BY rig)"
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (raw,) = load(spark, sf_dir, "labels_raw")
+def _named(spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    (raw,) = load(spark, sf_dir, "labels_raw", given=given)
     label = F.regexp_replace(F.regexp_replace("raw", r"_\d+$", ""), "^(Left|Right)", "$1 ")
     label = F.when((_last() == "6") & (F.col("j") == 1), "Odd").otherwise(label)
     return raw.select("rig", "j", "parent", F.regexp_replace("raw", "_[0-9]+$", "").alias("name"), "raw", label.alias("label"))
@@ -198,8 +198,8 @@ MAPPED = with_views(
 )
 
 
-def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (joints,) = load(spark, sf_dir, "joints")
+def _lengths(spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    (joints,) = load(spark, sf_dir, "joints", given=given)
     return joints.select("rig", "j", "parent", F.sqrt(F.col("ox") ** 2 + F.col("oy") ** 2 + F.col("oz") ** 2).alias("length"))
 
 

@@ -10,8 +10,8 @@ from ..operators import training as t
 from .views import load, with_views
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (p,) = load(spark, sf_dir, "positions")
+def _features(spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    (p,) = load(spark, sf_dir, "positions", given=given)
     values = [F.col(a) * k for k in (1.0, 2.0, 0.5, -1.0) for a in ("px", "py", "pz")]
     return p.select((F.substring("rig", -1, 1)).alias("dataset"), "rig", "clip", "frame", "j", F.array(*values).alias("f"))
 
