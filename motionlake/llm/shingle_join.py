@@ -20,7 +20,8 @@ under their LOWEST shingles by hash, each with the middle one in size of those i
 meets, and from then on texts that are connected aren't paired again. Buckets of
 up to SMALL texts then give all their pairs. In larger ones each text is first
 compared with the bucket's first and the next, and then only texts that aren't
-connected by then.
+connected by then; the parities rule out pairs of those inside the bucket, before
+there is a row for them.
 
 Cases: a null doc_id comes before all others; null or blank text has one empty
 shingle; fewer words than a shingle are one shingle; an empty table gives an
@@ -49,7 +50,7 @@ SMALL = 16
 #: Texts in the sample that orders the shingles, and the common shingles it may name.
 SAMPLE = 20_000
 COMMON = 50_000
-BLOCK = 1024
+BLOCK = 256
 #: Texts of a bucket up to which its pairs are made side by side with other buckets'.
 ROWS = 64
 #: Candidates, one long each, up to which their list is broadcast to pick their texts; a longer one is joined by a shuffle.
@@ -114,7 +115,7 @@ def _possible(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
     """Rows (h, node, n, pos, root) sorted by h, n and node to candidate pairs (a < b) of unlike roots; a null root is the node. `middle`: each node with
     its bucket's middle one. `some`: all pairs of a small bucket, of a large one pairs with its first node and of neighbours, and itself as (h, null).
-    `rest`: all pairs. A bucket that spans batches is carried on."""
+    `rest`: all pairs that are likely by the rows' sixth column, the parities. A bucket that spans batches is carried on."""
     few = {"middle": 1, "some": SMALL, "rest": ROWS}[how]
 
     def batch_of(a: list[np.ndarray], b: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
@@ -126,21 +127,30 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([left, right], names=["a", "b"])
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, node, n, pos, root = rows
+        h, node = rows[:2]
         if not len(h):
             return
         once = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
-        h, node, n, pos, root = (x[once] for x in rows)
+        h, node, n, pos, root, *marks = (x[once] for x in rows)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.concatenate((new, [len(h)])))
         a, b, keys, held = [], [], [], 0
+
+        def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = _possible(n, pos, i, j) & (root[i] != root[j])
+            i, j = i[ok], j[ok]
+            if not marks:
+                return i, j
+            ok = 9 * np.bitwise_count(marks[0][i] ^ marks[0][j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            return i[ok], j[ok]
+
         # buckets of few texts side by side: each row with the next, the one after it, and so on, as far as a bucket goes
         i, d = np.flatnonzero((h[1:] == h[:-1]) & (np.repeat(size, size) <= few)[:-1]), 1
         while len(i):
-            ok = _possible(n, pos, i, i + d) & (root[i] != root[i + d])
-            a.append(node[i[ok]])
-            b.append(node[i[ok] + d])
+            x, y = fit(i, i + d)
+            a.append(node[x])
+            b.append(node[y])
             d += 1
             i = i[i + d < len(h)]
             i = i[h[i] == h[i + d]]
@@ -154,20 +164,22 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
                     # chains of neighbours connect what the first doesn't reach
                     i, j = np.concatenate((i, j[:-1])), np.concatenate((j, j[1:]))
                     keys.append(int(h[s]))
-                ok = _possible(n, pos, i, j) & (root[i] != root[j])
-                a.append(node[i[ok]])
-                b.append(node[j[ok]])
-                held += int(ok.sum())
+                i, j = fit(i, j)
+                a.append(node[i])
+                b.append(node[j])
+                held += len(i)
             else:
                 for p in range(s, s + m, BLOCK):
                     for q in range(p, s + m, BLOCK):
                         if 4 * n[q] > 5 * n[min(p + BLOCK, s + m) - 1]:
                             break
                         i, j = (v.ravel() for v in np.meshgrid(np.arange(p, min(p + BLOCK, s + m)), np.arange(q, min(q + BLOCK, s + m)), indexing="ij"))
-                        ok = (i < j) & _possible(n, pos, i, j) & (root[i] != root[j])
-                        a.append(node[i[ok]])
-                        b.append(node[j[ok]])
-                        held += int(ok.sum())
+                        if p == q:
+                            i, j = i[i < j], j[i < j]
+                        i, j = fit(i, j)
+                        a.append(node[i])
+                        b.append(node[j])
+                        held += len(i)
             if held > 1 << 18:
                 yield from batch_of(a, b, keys)
                 a, b, keys, held = [], [], [], 0
@@ -182,6 +194,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
         if not batch.num_rows:
             continue
         rows = [c.to_numpy() for c in [*batch.columns[:4], pc.coalesce(batch.column(4), batch.column(1))]]
+        rows += [c.flatten().to_numpy().view(np.uint64).reshape(-1, MARKS) for c in batch.columns[5:]]
         if held_back and rows[0][-1] == held_back[0][0][0]:
             held_back.append(rows)
             continue
@@ -256,8 +269,9 @@ def groups(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pairs(rows: DataFrame, roots: DataFrame, how: str) -> DataFrame:
-        """Candidates of rows(node, n, hs) by hash, and the large buckets, staged."""
-        opened = rows.join(roots, "node", "left").select(F.posexplode("hs").alias("pos", "h"), "node", "n", "root").select("h", "node", "n", "pos", "root")
+        """Candidates of rows(node, n, hs, and marks for `rest`) by hash, and the large buckets, staged."""
+        told = rows.columns[3:]
+        opened = rows.join(roots, "node", "left").select(F.posexplode("hs").alias("pos", "h"), "node", "n", "root", *told).select("h", "node", "n", "pos", "root", *told)
         if how == "rest":
             opened = opened.join(large, "h", "left_semi")
         dealt = opened.repartition(parts, "h").sortWithinPartitions("h", "n", "node")
@@ -279,7 +293,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if large.isEmpty():
         discard(rows, marks)
         return roots
-    links = links.union(confirmed(pairs(rows.select("node", "n", "hs"), roots, "rest")))
+    links = links.union(confirmed(pairs(rows.select("node", "n", "hs", "marks"), roots, "rest")))
     discard(rows, marks)
     return components(links)
 
