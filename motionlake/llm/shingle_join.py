@@ -8,10 +8,11 @@ confirmed links connect already are left out.
 
 All pairs at 0.8 or more are linked, none below. A text of n distinct shingles,
 in any one order of all shingles, has one of its first n - ceil(0.8 n) + 1 in
-common with the like of every text that similar, so pairs meet under those. The
-parities of 512 bits of each text's shingles differ in no more places than the
-shingles do, which rules out most other pairs without their texts; the bytes of
-both texts' shingles then decide. The order puts shingles that a
+common with the like of every text that similar, so pairs meet under those, and
+only under the first that they share, whose place bounds what they have in common.
+The parities of a text's shingles, of a bit for each of them or more, differ in no
+more places than the shingles do, which rules out most other pairs without their
+texts; the bytes of both texts' shingles then decide. The order puts shingles that a
 bounded sample finds common last, and goes by XXH64 otherwise: it decides how
 many pairs are compared, never which are linked.
 
@@ -55,8 +56,8 @@ BLOCK = 256
 ROWS = 64
 #: Candidates, one long each, up to which their list is broadcast to pick their texts; a longer one is joined by a shuffle.
 LISTED = 2_000_000
-#: Longs of parities, a power of two.
-MARKS = 8
+#: Longs of a text's parities, powers of two: as many as give each shingle a bit, within these.
+MARKS, MOST_MARKS = 8, 128
 #: Shingles, lowest by hash, under which groups of copies meet first.
 LOWEST = 4
 PREFIXES = "node long, n int, hs array<long>, low array<long>, marks array<long>"
@@ -90,7 +91,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, weights: np
             h = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.as_py())], np.uint64).view(np.int64))
             nodes.append(node)
             sizes.append(len(h))
-            odd = (np.bincount(h & (64 * MARKS - 1), minlength=64 * MARKS) & 1).astype(np.uint8)
+            bits = 64 * min(MOST_MARKS, max(MARKS, 1 << ((len(h) - 1) // 64).bit_length()))
+            odd = (np.bincount(h & (bits - 1), minlength=bits) & 1).astype(np.uint8)
             lists[1].append(h[:LOWEST])
             lists[2].append(np.packbits(odd, bitorder="little").view("<i8"))
             if not whole:
@@ -107,11 +109,35 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, weights: np
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sizes and places of a common shingle allow a similarity of 0.8."""
-    most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+    """Whether sizes and places of the first common shingle allow a similarity of 0.8: all that is common is at that place or after it."""
+    most = np.minimum(n[i] - pos[i], n[j] - pos[j])
     return (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * most >= 4 * (n[i] + n[j]))
 
 
+def _apart(flat: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many places the parities of rows i and j differ; the longer ones are folded to the others' length, which keeps them parities."""
+    out, least = np.zeros(len(i), np.int64), np.minimum(size[i], size[j])
+    for width in np.unique(least).tolist():
+        at = np.flatnonzero(least == width)
+        for part in np.array_split(at, 1 + len(at) * width // (1 << 18)):
+            differ = np.zeros((len(part), width), np.uint64)
+            for row in (i[part], j[part]):
+                for k in range(int(size[row].max(initial=0)) // width):
+                    own = np.flatnonzero(size[row] > k * width)
+                    differ[own] ^= flat[(start[row[own]] + k * width)[:, None] + np.arange(width)]
+            out[part] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _of_rows(lists: pa.ListArray) -> np.ndarray:
+    """An array of the rows' arrays of unsigned longs."""
+    ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy().view(np.uint64)
+    out = np.empty(len(lists), object)
+    for k in range(len(out)):
+        out[k] = flat[ends[k] : ends[k + 1]]
+    return out
+
+
 def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
     """Rows (h, node, n, pos, root) sorted by h, n and node to candidate pairs (a < b) of unlike roots; a null root is the node. `middle`: each node with
     its bucket's middle one. `some`: all pairs of a small bucket, of a large one pairs with its first node and of neighbours, and itself as (h, null).
@@ -133,6 +159,9 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
         once = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
         h, node, n, pos, root, *marks = (x[once] for x in rows)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
+        if marks:
+            longs = np.fromiter(map(len, marks[0]), np.int64, len(marks[0]))
+            flat, start = np.concatenate(marks[0]), np.cumsum(longs) - longs
         new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.concatenate((new, [len(h)])))
         a, b, keys, held = [], [], [], 0
@@ -142,7 +171,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
             i, j = i[ok], j[ok]
             if not marks:
                 return i, j
-            ok = 9 * np.bitwise_count(marks[0][i] ^ marks[0][j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            ok = 9 * _apart(flat, start, longs, i, j) <= n[i] + n[j]
             return i[ok], j[ok]
 
         # buckets of few texts side by side: each row with the next, the one after it, and so on, as far as a bucket goes
@@ -194,7 +223,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
         if not batch.num_rows:
             continue
         rows = [c.to_numpy() for c in [*batch.columns[:4], pc.coalesce(batch.column(4), batch.column(1))]]
-        rows += [c.flatten().to_numpy().view(np.uint64).reshape(-1, MARKS) for c in batch.columns[5:]]
+        rows += [_of_rows(c) for c in batch.columns[5:]]
         if held_back and rows[0][-1] == held_back[0][0][0]:
             held_back.append(rows)
             continue
@@ -209,7 +238,9 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.Re
 def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Candidates (a, b) without those whose parities differ in too many places for a similarity of 0.8; marks(node, n, marks)."""
     x, y = (marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("marks").alias(f"m{k}")) for k in "ab")
-    apart = " + ".join(f"bit_count(ma[{k}] ^ mb[{k}])" for k in range(MARKS))
+    # candidates' sizes are within a quarter, so the parities of one are at most twice as many, and folded to the other's
+    folded = "CASE WHEN size(ma) > size(mb) THEN ma[k + size(mb)] WHEN size(mb) > size(ma) THEN mb[k + size(ma)] ELSE 0L END"
+    apart = f"aggregate(sequence(0, least(size(ma), size(mb)) - 1), 0, (s, k) -> s + bit_count(ma[k] ^ mb[k] ^ {folded}))"
     return staged(pairs.join(x, "a").join(y, "b").where(f"9 * ({apart}) <= na + nb").select("a", "b"), "likely")
 
 
@@ -293,7 +324,8 @@ def groups(docs: DataFrame) -> DataFrame:
     if large.isEmpty():
         discard(rows, marks)
         return roots
-    links = links.union(confirmed(pairs(rows.select("node", "n", "hs", "marks"), roots, "rest")))
+    # likely by their buckets' own parities already
+    links = links.union(_verified(pairs(rows.select("node", "n", "hs", "marks"), roots, "rest"), docs))
     discard(rows, marks)
     return components(links)
 
